@@ -56,3 +56,27 @@ def ship(spark: SparkSession) -> None:
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
+def map_arrow(df: DataFrame, make, schema: str) -> DataFrame:
+    """df through make(columns by name) -> columns by name, batch by batch. Columns are Arrow arrays going in (null ids
+    stay null integers) and lists or Arrow arrays coming out. make may be a generator function over batches, marked by
+    an attribute `whole`, to carry state from batch to batch."""
+    from pyspark.sql.types import StructType
+
+    target = StructType.fromDDL(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        to = to_arrow_schema(target)
+
+        def packed(columns):
+            return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in ((columns[f.name], f) for f in to)], schema=to)
+
+        named = ({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches)
+        for columns in make(named) if getattr(make, "whole", False) else map(make, named):
+            yield packed(columns)
+
+    return df.mapInArrow(run, schema)

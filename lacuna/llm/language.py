@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import id_bucket, map_arrow
 
 DIMENSIONS, SEED, MAX_TRAIN = 512, 20240229, 2000
 #: Symbols with vectors of their own; the blank is symbol 0.
@@ -110,24 +110,23 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     """docs' doc_id with held-out mark, language and cosine (0 where it is negative)."""
     names, matrix = model
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            langs, scores = [], []
-            for text in part["text"]:
-                codes, counts = trigrams(text)
-                if not len(codes) or not names:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                v = counts.astype(np.float32) @ trigram_vectors()[codes].astype(np.float32)
-                cosines = matrix @ v / max(float(np.linalg.norm(v)), 1e-9)
-                best = int(np.argmax(cosines))
-                langs.append(names[best])
-                scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": langs, "score": scores})
+    def score(x):
+        langs, scores = [], []
+        for text in x["text"].to_pylist():
+            codes, counts = trigrams(text)
+            if not len(codes) or not names:
+                langs.append("und")
+                scores.append(0.0)
+                continue
+            v = counts.astype(np.float32) @ trigram_vectors()[codes].astype(np.float32)
+            cosines = matrix @ v / max(float(np.linalg.norm(v)), 1e-9)
+            best = int(np.argmax(cosines))
+            langs.append(names[best])
+            scores.append(float(min(1.0, max(0.0, cosines[best]))))
+        return {"doc_id": x["doc_id"], "held_out": x["held_out"], "lang_pred": langs, "score": scores}
 
     rows = docs.select("doc_id", "text", (id_bucket("doc_id", 4) == 2).alias("held_out"))
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import map_arrow
+
 UNIT, FRAME, HEAD, SIDE = 192, 240, 4, 17
 #: Fixed values of the format: bit rates (kbit/s) by (MPEG-1?, layer), sampling rates, samples in a frame.
 BIT_RATES = {
@@ -159,32 +159,34 @@ def stored_payload(raw: bytes, found: dict) -> bytes:
 def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes and media (the stream) of each row."""
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            made = [payload_of(t) for t in part["t"]]
-            yield pd.DataFrame({"doc_id": part["k"], "n_bytes": [n for _, n in made], "media": [encode(p) for p, _ in made]})
+    def rows(x):
+        made = [payload_of(t) for t in x["t"].to_pylist()]
+        return {"doc_id": x["k"], "n_bytes": [n for _, n in made], "media": [encode(p) for p, _ in made]}
 
-    return docs.selectExpr(f"`{key}` as k", f"`{text}` as t").mapInPandas(rows, "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.selectExpr(f"`{key}` as k", f"`{text}` as t"), rows, "doc_id long, n_bytes long, media binary")
 
 
 def described(media: DataFrame) -> DataFrame:
     """What parse() finds in the media column: payload, duration, seek offsets, feature."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, samples long, sample_rate int, duration_s double, bad_checksums long, skipped_bytes long, tags string, seek_offsets array<long>"
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for key, n, raw in zip(part["doc_id"], part["n_bytes"], part["media"], strict=True):
-                raw = bytes(raw or b"")
-                x = parse(raw)
-                payload = stored_payload(raw, x)
-                units = np.frombuffer(payload, np.uint8)
-                mean = f"{units.mean():.4f}" if len(units) else "nan"
-                feature = f"mpeg1-l3;rate={x['rate']};frames={len(x['offsets'])};samples={x['samples']};table={(x['table'] or {}).get('frames', -1)};checked={x['checked']};bad={x['bad_crc']};skipped={x['skipped']};mean={mean};levels={len(np.unique(units))}"
-                out.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, len(x["offsets"]), x["samples"], x["rate"], x["samples"] / (x["rate"] or 1), x["bad_crc"], x["skipped"], ",".join(x["tags"]), x["offsets"]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(rows, schema)
+    names = [c.split()[0] for c in schema.split(", ")][2:]
+
+    def rows(x):
+        out = []
+        for raw in x["media"].to_pylist():
+            raw = raw or b""
+            found = parse(raw)
+            payload = stored_payload(raw, found)
+            units = np.frombuffer(payload, np.uint8)
+            mean = f"{units.mean():.4f}" if len(units) else "nan"
+            n, rate = len(found["offsets"]), found["rate"]
+            feature = f"mpeg1-l3;rate={rate};frames={n};samples={found['samples']};table={(found['table'] or {}).get('frames', -1)};checked={found['checked']};bad={found['bad_crc']};skipped={found['skipped']};mean={mean};levels={len(np.unique(units))}"
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, n, found["samples"], rate, found["samples"] / (rate or 1), found["bad_crc"], found["skipped"], ",".join(found["tags"]), found["offsets"]))
+        columns = zip(*out, strict=True) if out else [()] * len(names)
+        return {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"]} | {k: list(v) for k, v in zip(names, columns, strict=True)}
+
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), rows, schema)
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7_chat
 from .language import op6_language
 from .media import op3_mpeg_audio
+from .packing import op5_packing
 from .quality import op10_quality
 from .sharding import op9_virtual_slots
+from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_mpeg_audio, op6_language, op9_virtual_slots, op10_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mpeg_audio, op5_packing, op6_language, op7_chat, op9_virtual_slots, op10_quality)}
+ORACLES: dict[str, str] = {"op7_chat": OP7_SQL}
