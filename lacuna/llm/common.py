@@ -80,3 +80,8 @@ def map_arrow(df: DataFrame, make, schema: str) -> DataFrame:
             yield packed(columns)
 
     return df.mapInArrow(run, schema)
+
+
+def kept_ddl(df: DataFrame, keep) -> str:
+    """The columns to keep, as the rest of a schema."""
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)

@@ -16,14 +16,14 @@ trained language everything is `und`; ties go to the language that sorts first;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, map_arrow
+from .common import id_bucket, kept_ddl, map_arrow
 
 DIMENSIONS, SEED, MAX_TRAIN = 512, 20240229, 2000
 #: Symbols with vectors of their own; the blank is symbol 0.
@@ -106,8 +106,8 @@ def learned(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.
     return names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
 
 
-def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs' doc_id with held-out mark, language and cosine (0 where it is negative)."""
+def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
+    """docs' doc_id with held-out mark, language and cosine (0 where it is negative), and the columns to keep."""
     names, matrix = model
 
     def score(x):
@@ -123,10 +123,10 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
             best = int(np.argmax(cosines))
             langs.append(names[best])
             scores.append(float(min(1.0, max(0.0, cosines[best]))))
-        return {"doc_id": x["doc_id"], "held_out": x["held_out"], "lang_pred": langs, "score": scores}
+        return {"doc_id": x["doc_id"], "held_out": x["held_out"], "lang_pred": langs, "score": scores} | {c: x[c] for c in keep}
 
-    rows = docs.select("doc_id", "text", (id_bucket("doc_id", 4) == 2).alias("held_out"))
-    return map_arrow(rows, score, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", *{"text", *keep}, (id_bucket("doc_id", 4) == 2).alias("held_out"))
+    return map_arrow(rows, score, "doc_id long, held_out boolean, lang_pred string, score double" + kept_ddl(docs, keep))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

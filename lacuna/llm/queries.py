@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat
 from .language import op6_language
+from .licenses import op8_licences
 from .media import op3_mpeg_audio
+from .mixing import op2_pfair_mix
+from .ngram_join import OP4_SQL, op4_parity_join
 from .packing import op5_packing
 from .quality import op10_quality
 from .sharding import op9_virtual_slots
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mpeg_audio, op5_packing, op6_language, op7_chat, op9_virtual_slots, op10_quality)}
-ORACLES: dict[str, str] = {"op7_chat": OP7_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_pfair_mix, op3_mpeg_audio, op4_parity_join, op5_packing, op6_language, op7_chat, op8_licences, op9_virtual_slots, op10_quality)
+}
+ORACLES: dict[str, str] = {"op4_parity_join": OP4_SQL, "op7_chat": OP7_SQL}

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, map_arrow
+from .common import id_bucket, kept_ddl, map_arrow
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_POSITIVE, MAX_UNLABELLED, MODELS, STEPS, MIN_Z = 4000, 12000, 3, 80, 5.0
@@ -115,17 +116,17 @@ def fitted(pos: list[list[str]], unl: list[list[str]], prior: float, models: int
     return {k: float(total_w[i]) for k, i in vocabulary.items() if abs(total_w[i]) > 1e-4}, float(total_b)
 
 
-def scored(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
+def scored(docs: DataFrame, model: tuple[dict[str, float], float], keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row, and the columns to keep."""
     weights, bias = model
 
     def make(x):
         get = weights.get
         s = _sigmoid(np.array([bias + sum(get(w, 0.0) for w in features(t)) for t in x["text"].to_pylist()], float))
-        return {"doc_id": x["doc_id"], "held_out": x["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)}
+        return {"doc_id": x["doc_id"], "held_out": x["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)} | {c: x[c] for c in keep}
 
-    rows = docs.select("doc_id", "text", (id_bucket("doc_id", 5) == 0).alias("held_out"))
-    return map_arrow(rows, make, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select("doc_id", *{"text", *keep}, (id_bucket("doc_id", 5) == 0).alias("held_out"))
+    return map_arrow(rows, make, "doc_id long, held_out boolean, score double, predicted int" + kept_ddl(docs, keep))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
