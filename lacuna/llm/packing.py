@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-WINDOW, END_ID, SEGMENT, CACHE = 4096, 2, 1_000_000, 500_000
+WINDOW, END_ID, SEGMENT, CACHE = 4096, 2, 1_000_000, 600_000
 SENTENCE, HARD, GAP = 8, 64, 256
 _WORDS = re.compile(r"[^\W\d_]+|[^\s\w]+|[\d_]+")
 #: Contractions and special tokens, characters on which white space rules differ, letters whose lower case depends on others.
@@ -45,6 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.stops = np.array(sorted({self._raw(["."])[0][-1], self._raw(["!"])[0][-1], self._raw(["?"])[0][-1]}), np.uint32)
 
@@ -52,23 +53,35 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     @staticmethod
-    def words(text: str) -> list[str] | None:
-        """The text's words, or None where it can't be cut safely: contractions, special tokens, letters whose
-        lower case or normal form depends on their neighbours."""
-        if any(x in text for x in _UNSAFE) or not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            return None
-        return _WORDS.findall(text.lower())
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.words(t or "") for t in texts]
+    def safe(text: str) -> bool:
+        """Whether the text may be cut at white space and between letters, digits and signs: no contractions or special tokens, no
+        letters whose lower case or normal form depends on their neighbours."""
+        return not any(x in text for x in _UNSAFE) and (text.isascii() or unicodedata.is_normalized("NFC", text))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of chunks (no white space) from those of their words; only new words are encoded."""
+        if len(self.known) > CACHE:
+            self.known.clear()
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for ws in cut if ws for w in ws if w not in known})
+        cut = [_WORDS.findall(c) for c in chunks]
+        new = list({w for ws in cut for w in ws if w not in known})
         for i in range(0, len(new), 20_000):
             known.update(zip(new[i : i + 20_000], (np.array(x, np.uint32).tobytes() for x in self._raw(new[i : i + 20_000])), strict=True))
-        end, get = np.uint32(END_ID).tobytes(), known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)) + end if ws is not None else np.array(self._raw([t])[0], np.uint32).tobytes() + end, np.uint32) for ws, t in zip(cut, texts, strict=True)]
+        get = known.__getitem__
+        self.chunks.update((c, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for c, ws in zip(chunks, cut, strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        end, out = np.uint32(END_ID).tobytes(), []
+        cut = [t.lower().split() if self.safe(t) else None for t in (t or "" for t in texts)]
+        new = set().union(*(c for c in cut if c)) - self.chunks.keys()
+        if len(self.chunks) + len(new) > CACHE:
+            self.chunks.clear()
+            new = set().union(*(c for c in cut if c))
+        self._learn(list(new))
+        get = self.chunks.__getitem__
+        for c, t in zip(cut, texts, strict=True):
+            out.append(np.frombuffer(b"".join(map(get, c)) + end if c is not None else np.array(self._raw([t])[0], np.uint32).tobytes() + end, np.uint32))
+        return out
 
 
 def boundaries(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

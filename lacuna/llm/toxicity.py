@@ -22,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, kept_ddl, map_arrow
+from .common import id_bucket, kept_ddl, map_arrow, stored
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_POSITIVE, MAX_UNLABELLED, MODELS, STEPS, MIN_Z = 4000, 12000, 3, 80, 5.0
+MAX_POSITIVE, MAX_UNLABELLED, MODELS, STEPS, MIN_Z = 4000, 12000, 3, 80, 4.0
 
 
 def features(text: str | None) -> set[str]:
@@ -46,54 +46,43 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def sampled(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED):
-    """(word sets of P, word sets of U, prior). Only words of the bounded sample reach the driver."""
+def sampled(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[DataFrame, float]:
+    """(features w of the sampled texts with their sides p and u, prior)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    n_pos, n_all = n.get(1, 0), sum(n.values())
-    if not n_pos:
-        return [], [], 0.0
+    n_pos, n_all = n.get(1, 0), max(1, sum(n.values()))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     # U is drawn from all labelled rows alike, toxic ones too: it stands for unlabelled text
-    pick = known.select("doc_id", ((F.col("toxic") == 1) & (part < int(1e6 * min(1, max_positive / n_pos)))).alias("p"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1e6 * min(1, max_unlabelled / n_all))).alias("u"))
+    pick = known.select("doc_id", ((F.col("toxic") == 1) & (part < int(1e6 * min(1, max_positive / max(1, n_pos))))).alias("p"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1e6 * min(1, max_unlabelled / n_all))).alias("u"))
+    # at most about max_positive + max_unlabelled rows
     rows = docs.select("doc_id", "text").join(F.broadcast(pick.filter("p or u")), "doc_id").select("text", "p", "u")
-    sets = map_arrow(rows, lambda x: {"w": [" ".join(sorted(features(t))) for t in x["text"].to_pylist()], "p": x["p"], "u": x["u"]}, "w string, p boolean, u boolean").collect()
-    sets.sort(key=lambda r: (r["w"], r["p"], r["u"]))
-    return [r["w"].split() for r in sets if r["p"]], [r["w"].split() for r in sets if r["u"]], n_pos / n_all
+    sets = map_arrow(rows, lambda x: {"w": [sorted(features(t)) for t in x["text"].to_pylist()], "p": x["p"], "u": x["u"]}, "w array<string>, p boolean, u boolean")
+    return stored(sets, "toxicity-sample"), n_pos / n_all
+
+
+def telling(sets: DataFrame, min_z: float = MIN_Z) -> list[str]:
+    """Features, sorted, whose share of texts differs between P and U by min_z standard errors: rare words that a classifier
+    would only learn by heart stay out."""
+    n, m = (max(1, v or 0) for v in sets.agg(F.count_if("p"), F.count_if("u")).first())
+    counts = sets.select("p", "u", F.explode("w").alias("w")).groupBy("w").agg(F.count_if("p").alias("a"), F.count_if("u").alias("b")).filter("a + b >= 3")
+    both = (F.col("a") + F.col("b") + 1) / (n + m + 2)
+    z = F.abs(F.col("a") / n - F.col("b") / m) / F.sqrt(both * (1 - both) * (1 / n + 1 / m))
+    return sorted(r["w"] for r in counts.filter((both < 1) & (z >= min_z)).select("w").collect())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(pos: list[list[str]], unl: list[list[str]], min_z: float = MIN_Z) -> list[str]:
-    """Words, sorted, whose share of texts differs between P and U by min_z standard errors: rare words that a classifier
-    would only learn by heart stay out."""
-    counts: dict[str, list[int]] = {}
-    for side, rows in enumerate((pos, unl)):
-        for row in rows:
-            for w in row:
-                counts.setdefault(w, [0, 0])[side] += 1
-    n, m = len(pos), max(1, len(unl))
-    kept = []
-    for w, (a, b) in counts.items():
-        both = (a + b + 1) / (n + m + 2)
-        if a + b >= 3 and abs(a / n - b / m) >= min_z * (both * (1 - both) * (1 / n + 1 / m)) ** 0.5:
-            kept.append(w)
-    return sorted(kept)
-
-
-def fitted(pos: list[list[str]], unl: list[list[str]], prior: float, models: int = MODELS, steps: int = STEPS, min_z: float = MIN_Z) -> tuple[dict[str, float], float]:
-    """Weights by word and the bias."""
+def fitted(pos: list[list[int]], unl: list[list[int]], names: list[str], prior: float, models: int = MODELS, steps: int = STEPS) -> tuple[dict[str, float], float]:
+    """Weights by feature and the bias. pos and unl hold the places in names of each text's features."""
     if not pos:
         return {}, -30.0
-    vocabulary = {w: i for i, w in enumerate(telling(pos, unl, min_z))}
 
-    def packed(rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        known = [[vocabulary[w] for w in r if w in vocabulary] for r in rows]
-        return np.fromiter((i for r in known for i in r), np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in known])
+    def packed(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter((i for r in rows for i in r), np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
-    n = len(vocabulary)
+    n = len(names)
     (pi, pr), total_w, total_b = packed(pos), np.zeros(n), 0.0
     for model in range(models):
         half = [r for i, r in enumerate(unl) if models == 1 or i % models != model] or unl
@@ -113,7 +102,7 @@ def fitted(pos: list[list[str]], unl: list[list[str]], prior: float, models: int
             move = lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
             w, b = w - move[:-1], b - move[-1]
         total_w, total_b = total_w + w / models, total_b + b / models
-    return {k: float(total_w[i]) for k, i in vocabulary.items() if abs(total_w[i]) > 1e-4}, float(total_b)
+    return {k: float(total_w[i]) for i, k in enumerate(names) if abs(total_w[i]) > 1e-4}, float(total_b)
 
 
 def scored(docs: DataFrame, model: tuple[dict[str, float], float], keep: Sequence[str] = ()) -> DataFrame:
@@ -130,8 +119,13 @@ def scored(docs: DataFrame, model: tuple[dict[str, float], float], keep: Sequenc
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    """A model from the rows whose id hash modulo 5 isn't 0."""
-    return fitted(*sampled(docs, labels.filter(id_bucket("doc_id", 5) != 0)))
+    """A model from the rows whose id hash modulo 5 isn't 0. Only telling features and, of the sample, their places reach the driver."""
+    sets, prior = sampled(docs, labels.filter(id_bucket("doc_id", 5) != 0))
+    names = telling(sets)
+    place = {w: i for i, w in enumerate(names)}
+    rows = map_arrow(sets, lambda x: {"w": [[place[w] for w in ws if w in place] for ws in x["w"].to_pylist()], "p": x["p"], "u": x["u"]}, "w array<int>, p boolean, u boolean").collect()
+    rows.sort(key=lambda r: (r["w"], r["p"], r["u"]))
+    return fitted([r["w"] for r in rows if r["p"]], [r["w"] for r in rows if r["u"]], names, prior)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
