@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import series_queries  # noqa: F401
+from .tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
