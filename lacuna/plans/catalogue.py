@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import series_queries, stats_queries  # noqa: F401
+from . import judge_queries, series_queries, stats_queries  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
