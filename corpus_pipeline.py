@@ -30,12 +30,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group: five-word shingles, similarity 0.8 or more."""
     ship(spark)
-    found = ngram_join.linked(docs, n=5, num=80, den=100).filter("doc_id is not null")
-    gone = found.filter("component_id <> doc_id").select("doc_id")
-    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti")
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(COLUMNS)
+    found = ngram_join.linked(docs, n=5, num=80, den=100)
+    kept = found.filter("component_id = doc_id").select("doc_id").distinct()
+    # one shuffle of the texts; rows that share an id are one document
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ A document is its set of distinct word n-grams, as 64-bit hashes. Two sets with
 D = (a + b)(1 - t)/(1 + t) n-grams. Sizes fall into bands so that similar sets are in the same or in neighbouring bands; for each band
 the hashes are dealt into D + 1 segments, and each segment's XOR is a key. By the pigeonhole principle two similar sets agree in at least one
 segment, so that they meet in a bucket (an equal key of the same band). Besides, each set has a parity sketch: every n-gram flips
-one of SKETCH_BITS bits; the Hamming distance of two sketches is at most the symmetric difference, so pairs that are too far are dropped
+one of a number of bits; the Hamming distance of two sketches is at most the symmetric difference, so pairs that are too far are dropped
 without reading texts. What is left is verified on the texts themselves, n-gram by n-gram.
 
-Groups are never expanded into all pairs. In each bucket every member is compared with the bucket's first document; verified links
+Groups are never expanded into all pairs. Every document is compared with one first document of its buckets (the smallest); verified links
 give components. Only buckets that still hold several components are then compared in full, block by block in numpy (blocks of BLOCK
 documents, so that memory stays bounded; buckets with the same members count once), and their further links are verified too. No link is lost: any
 two similar sets share a bucket, and either they are in one component already or the second step compares them.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored
 
-SKETCH_BITS, BLOCK = 2048, 512
+LEAST_BITS, BLOCK, FILTER_BITS = 256, 512, 1 << 22
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -105,11 +105,18 @@ def keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity of the n-grams that fall on each of SKETCH_BITS bits."""
-    counts = np.bincount((h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    """Parity of the n-grams that fall on each bit. There are at least two bits per n-gram (a power of two, LEAST_BITS at least), so that long
+    sets don't saturate theirs."""
+    bits = max(LEAST_BITS, 1 << (2 * len(h) - 1).bit_length())
+    counts = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits (size bytes): halves XORed, as a bit's number is the hash modulo the bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def profiles(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set, and its sketch (null without n-grams)."""
 
@@ -191,9 +198,24 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
         mask = pa.array(ok, pa.bool_())
         return {"a": x["a"].filter(mask), "b": x["b"].filter(mask)}
 
-    texts = docs.select("doc_id", "text")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return map_arrow(rows.select("a", "b", "ta", "tb"), make, "a long, b long").distinct()
+    pairs = stored(pairs, "pairs")
+    texts = likely(docs.select("doc_id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    # both joins read the same exchange of texts
+    rows = pairs.select(F.col("b").alias("doc_id"), "a").join(texts, "doc_id").select(F.col("a").alias("doc_id"), F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    rows = rows.join(texts, "doc_id").select(F.col("doc_id").alias("a"), "b", F.col("text").alias("ta"), "tb")
+    return map_arrow(rows, make, "a long, b long").distinct()
+
+
+def likely(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """rows whose doc_id may be among the wanted ones: a filter of a fixed number of bits (bits / 8 bytes), so that the join that
+    follows shuffles little else."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = wanted.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    place = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("byte__ & (1 << place__)") > 0
+    found = rows.withColumn("bucket", F.bitmap_bucket_number(h)).join(F.broadcast(maps), "bucket")
+    return found.withColumns({"byte__": byte, "place__": (place % 8).cast("int")}).filter(hit).select(*rows.columns)
 
 
 def close_enough(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -205,8 +227,11 @@ def close_enough(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Data
         import pyarrow as pa
 
         size = (x["na"].to_numpy() + x["nb"].to_numpy()) * (den - num) // (den + num)
-        a, b = (np.frombuffer(b"".join(x[c].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for c in ("sa", "sb"))
-        mask = pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= size)
+        far = []
+        for p, q in zip(x["sa"].to_pylist(), x["sb"].to_pylist(), strict=True):
+            least = min(len(p), len(q))
+            far.append(int(np.bitwise_count(folded(p, least) ^ folded(q, least)).sum()))
+        mask = pa.array(np.array(far, np.int64) <= size)
         return {"a": x["a"].filter(mask), "b": x["b"].filter(mask)}
 
     rows = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
@@ -237,9 +262,12 @@ def compared_in_full(rows: DataFrame, nodes: DataFrame, num: int, den: int, bloc
 
     def make(batches):
         def pairs(group):
-            ids, roots, blocks, sizes, bits = (np.concatenate(c) for c in zip(*group, strict=True))
-            for i in range(0, len(ids), 64):
-                j = slice(i, i + 64)
+            ids, roots, blocks, sizes, raw = (np.concatenate(c) for c in zip(*group, strict=True))
+            least = min(map(len, raw))
+            bits = np.stack([folded(x, least) for x in raw])
+            rows_ = max(1, (1 << 24) // (least * len(ids)))  # at most about 16 MB at a time
+            for i in range(0, len(ids), rows_):
+                j = slice(i, i + rows_)
                 far = np.bitwise_count(bits[j, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
                 hit = (far <= (sizes[j, None] + sizes[None]) * (den - num) // (den + num)) & (roots[j, None] != roots[None]) & (ids[j, None] < ids[None])
                 hit &= den * np.minimum(sizes[j, None], sizes[None]) >= num * np.maximum(sizes[j, None], sizes[None])
@@ -251,7 +279,7 @@ def compared_in_full(rows: DataFrame, nodes: DataFrame, num: int, den: int, bloc
         at, group = None, []
         for x in batches:
             marks = list(zip(*(x[c].to_pylist() for c in ("key", "i", "j")), strict=True))
-            columns = [x[c].to_numpy() for c in ("rep", "root", "r", "n_shingles")] + [np.frombuffer(b"".join(x["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)]
+            columns = [x[c].to_numpy() for c in ("rep", "root", "r", "n_shingles")] + [np.array([*x["sketch"].to_pylist(), None], object)[:-1]]
             edge = [i for i in range(len(marks)) if i == 0 or marks[i] != marks[i - 1]] + [len(marks)]
             a, b = [], []
             for s, e in zip(edge, edge[1:], strict=False):
@@ -283,7 +311,8 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     members = stored(buckets.join(known.select("doc_id", "rep"), "doc_id").select("key", "rep").distinct(), "members")
     lead = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top"), F.bit_xor(F.xxhash64("rep")).alias("bag"), F.count(F.lit(1)).alias("size")).filter("lead < top")
     lead = stored(lead.groupBy("lead", "top", "bag", "size").agg(F.min("key").alias("key")), "leaders")  # buckets with the same members count once
-    tested = stored(members.join(lead.select("key", "lead"), "key").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
+    # each document is compared with one first document only (the smallest of its buckets); what that leaves apart comes below
+    tested = stored(members.join(lead.select("key", "lead"), "key").filter("rep <> lead").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"), "tested")
     # rows that share an id but not a set are linked by it
     by_id = known.filter("other > rep").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     links = stored(verified(close_enough(tested, nodes, num, den), docs, n, num, den).unionByName(by_id), "verified")
