@@ -109,9 +109,9 @@ def low_rank(df: DataFrame, key: str, columns: Sequence[str], rank: int = 2, shr
     return projected(base, columns, mu, q)
 
 
-def projected(df: DataFrame, columns: Sequence[str], mu, q) -> DataFrame:
-    """Missing cells from the centred row times q, twice: first with missing cells at their means, then with the first answer."""
-    for _ in range(2):
+def projected(df: DataFrame, columns: Sequence[str], mu, q, rounds: int = 10) -> DataFrame:
+    """Missing cells from the centred row times q, `rounds` times: first with missing cells at their means, then with the answer before."""
+    for _ in range(rounds):
         centred = [F.coalesce(F.col(f"{c}__f") if f"{c}__f" in df.columns else F.col(c), F.lit(float(mu[i]))) - float(mu[i]) for i, c in enumerate(columns)]
         df = df.withColumns({f"{c}__f": F.coalesce(F.col(c), float(mu[j]) + sum(centred[i] * float(q[i, j]) for i in range(len(columns)))) for j, c in enumerate(columns)})
     return df.select(*(c for c in df.columns if c not in columns and not c.endswith("__f")), *(F.col(f"{c}__f").alias(c) for c in columns))
@@ -164,5 +164,5 @@ def regression(mu, cov, o: list[int], m: list[int]):
 
     if not o:
         return np.zeros((len(m), 0)), cov[np.ix_(m, m)]
-    b = np.linalg.solve(cov[np.ix_(o, o)], cov[np.ix_(o, m)]).T if m else np.zeros((0, len(o)))
+    b = np.linalg.lstsq(cov[np.ix_(o, o)], cov[np.ix_(o, m)], rcond=None)[0].T if m else np.zeros((0, len(o)))
     return b, cov[np.ix_(m, m)] - b @ cov[np.ix_(o, m)]
