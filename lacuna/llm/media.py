@@ -110,17 +110,19 @@ def parse(raw: bytes | None) -> dict:
         out["tags"].append("ID3v1")
         end -= 128
     good: set[bytes] = set()  # header, checksum and side information whose checksum was right
-    synced = False
+    synced, kind = False, None
     while at + 4 <= end:
         h = header(raw, at)
         nxt = at + h[0] if h else 0
-        if not h or nxt > end or not synced and nxt + 4 <= end and not header(raw, nxt):
+        # in step, a header of the stream's own kind is enough; otherwise another must follow at its length (or the end)
+        alike = synced and h and (h[2], h[4:]) == kind
+        if not h or nxt > end or not alike and nxt + 4 <= end and not header(raw, nxt):
             nearest = raw.find(b"\xff", at + 1, end)
             nearest = end if nearest < 0 else nearest
             out["skipped"] += nearest - at
             at, synced = nearest, False
             continue
-        synced = True
+        synced, kind = True, (h[2], h[4:])
         side = side_length(h[6], h[5])
         start = at + 4 + 2 * h[4]
         if h[4] and h[7] == 3:

@@ -107,7 +107,7 @@ def test_media_round_trip_and_resynchronisation(odd):
         assert media.stored_payload(raw, found) == payload and found["bad_crc"] == found["skipped"] == 0
         assert found["samples"] == 1152 * len(payload) // 192 and found["table"]["frames"] == len(payload) // 192
         assert len(payload) % 192 == 0 and len(payload) >= max(192, n)
-        cut = raw.index(b"\xff", 300)
+        cut = found["offsets"][-1]
         broken = raw[:cut] + b"\xff\xfbjunk\xff" + raw[cut:]
         assert media.stored_payload(broken, media.parse(broken)) == payload and media.parse(broken)["skipped"] > 0
     raw = bytearray(media.encode(b" " * 384))
