@@ -9,8 +9,8 @@ where the minimum slides, so that a monotone queue gives each cost in constant t
 Each scan partition is a stream of its own: nothing is shuffled. A stream is solved in segments of SEGMENT tokens; the last window of
 a segment goes back into the next one, so that memory stays bounded and only a stream's last window is short.
 
-Ids are those of the tokenizer over the whole text. Words are looked up in a cache per worker (at most CACHE words) and only new ones are
-encoded; a text is cut into words only where the tokenizer's own rules always cut.
+Ids are those of the tokenizer over the whole text. Chunks between white space, and their words, are looked up in caches per worker (CACHE entries
+at most; what comes later is encoded each time); a text is cut into words only where the tokenizer's own rules always cut.
 
 Defined results: null and empty texts are one token (END_ID); null ids and repeated rows are packed like others; an empty table
 gives an empty result.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from collections import deque
 
 import numpy as np
@@ -34,9 +35,32 @@ SENTENCE, HARD, GAP = 8, 64, 256
 _WORDS = re.compile(r"[^\W\d_]+|[^\s\w]+|[\d_]+")
 #: Contractions and special tokens, characters on which white space rules differ, letters whose lower case depends on others.
 _UNSAFE = ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f", "Σ", "İ")
+#: Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, as the letters from 256 on.
+_BYTES = [chr(b) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else "" for b in range(256)]
+_FREE = iter(range(256, 512))
+_BYTES = [c or chr(next(_FREE)) for c in _BYTES]
 _KEPT: dict = {}
 
 
+class Known(dict):
+    """Ids (as bytes) by text. A miss is noted in `pending`; `extra` holds what this batch needs when there is no more room."""
+
+    def __init__(self):
+        super().__init__()
+        self.extra: dict[str, bytes] = {}
+        self.pending: list[str] = []
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.extra.get(text)
+        if ids is None:
+            self.pending.append(text)
+            return b""
+        return ids
+
+    def keep(self, text: str, ids: bytes) -> None:
+        (self if len(self) < CACHE else self.extra)[text] = ids
+
+
 class Encoder:
     """encode(texts) -> arrays of ids, equal to the tokenizer's own."""
 
@@ -45,12 +69,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.stops = np.array(sorted({self._raw(["."])[0][-1], self._raw(["!"])[0][-1], self._raw(["?"])[0][-1]}), np.uint32)
-
-    def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.known, self.chunks = Known(), Known()
+        self.stops = np.array(sorted({int(np.frombuffer(x, np.uint32)[-1]) for x in self._raw([".", "!", "?"])}), np.uint32)
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """A word of letters is one pre-token: the tokenizer's model takes it as it is, once its bytes are letters of the vocabulary."""
+        if not word.isalpha():
+            return self._raw([word])[0]
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode())))]).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of chunks (no white space) from those of their words; only new words are encoded, many at a time."""
+        cut = {c: _WORDS.findall(c) for c in chunks}
+        for w in {w for ws in cut.values() for w in ws if w not in self.known}:
+            self.known.keep(w, self._word(w))
+        for c, ws in cut.items():
+            self.chunks.keep(c, b"".join(map(self.known.__getitem__, ws)))
 
     @staticmethod
     def safe(text: str) -> bool:
@@ -58,30 +96,20 @@ class Encoder:
         letters whose lower case or normal form depends on their neighbours."""
         return not any(x in text for x in _UNSAFE) and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of chunks (no white space) from those of their words; only new words are encoded."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        cut = [_WORDS.findall(c) for c in chunks]
-        new = list({w for ws in cut for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], (np.array(x, np.uint32).tobytes() for x in self._raw(new[i : i + 20_000])), strict=True))
-        get = known.__getitem__
-        self.chunks.update((c, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for c, ws in zip(chunks, cut, strict=True))
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        end, out = np.uint32(END_ID).tobytes(), []
-        cut = [t.lower().split() if self.safe(t) else None for t in (t or "" for t in texts)]
-        new = set().union(*(c for c in cut if c)) - self.chunks.keys()
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks.clear()
-            new = set().union(*(c for c in cut if c))
-        self._learn(list(new))
-        get = self.chunks.__getitem__
+        get, pending, end = self.chunks.__getitem__, self.chunks.pending, np.uint32(END_ID).tobytes()
+        self.known.extra.clear()
+        self.chunks.extra.clear()
+        cut, out = [t.lower().split() if self.safe(t) else None for t in (t or "" for t in texts)], []
         for c, t in zip(cut, texts, strict=True):
-            out.append(np.frombuffer(b"".join(map(get, c)) + end if c is not None else np.array(self._raw([t])[0], np.uint32).tobytes() + end, np.uint32))
-        return out
+            missed = len(pending)
+            ids = self._raw([t])[0] if c is None else b"".join(map(get, c))
+            out.append(ids if len(pending) == missed else None)
+        if pending:
+            self._learn(set(pending))
+            pending.clear()
+            out = [b"".join(map(get, c)) if ids is None else ids for c, ids in zip(cut, out, strict=True)]
+        return [np.frombuffer(ids + end, np.uint32) for ids in out]
 
 
 def boundaries(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
