@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 500
 #: White space that separates words in every contract of this package.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -65,6 +66,8 @@ def map_arrow(df: DataFrame, make, schema: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
     target = StructType.fromDDL(schema)
+    # whole texts may be long: few rows at a time keep a Python worker's memory bounded
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
         import pyarrow as pa

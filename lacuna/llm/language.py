@@ -27,8 +27,8 @@ from .common import id_bucket, kept_ddl, map_arrow
 
 DIMENSIONS, SEED, MAX_TRAIN = 512, 20240229, 2000
 #: Symbols with vectors of their own; the blank is symbol 0.
-ALPHABET = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
-OTHER = 63 - len(ALPHABET) + 1
+ALPHABET = " abcdefghijklmnopqrstuvwxyzáàâäãåçéèêëíîïñóôöõúùûüß"
+OTHER = 6
 SYMBOLS = len(ALPHABET) + OTHER
 _KEPT: dict = {}
 
