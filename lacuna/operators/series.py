@@ -72,12 +72,9 @@ def local_mean(x: Column, radius: int = 12) -> Column:
 
 def local_linear(df: DataFrame, x: str, out: str, radius: int = 10) -> DataFrame:
     """Least-squares line through the observed rows within the radius, at the gap; needs two of them."""
-    w, i, y = rows(-radius, radius), F.when(F.col(x).isNotNull(), F.col(AT).cast("double")), F.col(x)
-    n, sx, sy = F.count(y).over(w), F.sum(i).over(w), F.sum(y).over(w)
-    sxx, sxy = F.sum(i * i).over(w), F.sum(i * y).over(w)
-    d = n * sxx - sx * sx
-    slope = F.when((n >= 2) & (d != 0), (n * sxy - sx * sy) / d)
-    return df.withColumn(out, F.coalesce(y, sy / n + slope * (F.col(AT) - sx / n)))
+    w, y, i = rows(-radius, radius), F.col(x), F.col(AT).cast("double")
+    fit = F.regr_intercept(y, i).over(w) + F.regr_slope(y, i).over(w) * i
+    return df.withColumn(out, F.coalesce(y, F.when(F.count(y).over(w) >= 2, fit)))
 
 
 def periodic(x: Column, period: int = 24) -> Column:

@@ -70,10 +70,10 @@ def win_08_local_mean_recursive(spark, sf_dir):
 
 
 @register("win_09_local_linear", f"""WITH {G}
-SELECT series, i, round(coalesce(x, CASE WHEN count(x) OVER v >= 2 THEN regr_intercept(x, i) OVER v + regr_slope(x, i) OVER v * i END), 4) AS fit FROM g
+SELECT series, i, round(coalesce(x, CASE WHEN count(x) OVER v >= 2 THEN regr_intercept(x, i) OVER v + regr_slope(x, i) OVER v * i END), 5) AS fit FROM g
 WINDOW v AS ({W} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)""")
 def win_09_local_linear(spark, sf_dir):
-    return rounded(S.local_linear(sensors(spark, sf_dir), "x", "fit").select("series", "i", "fit"), 4)
+    return rounded(S.local_linear(sensors(spark, sf_dir), "x", "fit").select("series", "i", "fit"), 5)
 
 
 @register("win_10_20_periodic_seasonal", f"""WITH {G}, p AS (SELECT *, list_filter([lag(x, 24) OVER w, lead(x, 24) OVER w, lag(x, 48) OVER w, lead(x, 48) OVER w], lambda v: v IS NOT NULL) AS near FROM g WINDOW w AS ({W}))
@@ -113,12 +113,12 @@ def win_14_longest_gap(spark, sf_dir):
 
 
 @register("win_15_local_context", f"""WITH {G}, {GAPS}, j AS (SELECT g.*, length FROM g LEFT JOIN gaps ON gaps.series = g.series AND gaps.start = g.i)
-SELECT series, i, round(avg(CASE WHEN x IS NULL THEN 1.0::DOUBLE ELSE 0 END) OVER v, 6) AS missing_ratio, round(var_samp(x) OVER v, 4) AS variance,
+SELECT series, i, round(avg(CASE WHEN x IS NULL THEN 1.0::DOUBLE ELSE 0 END) OVER v, 6) AS missing_ratio, round(var_samp(x) OVER v, 2) AS variance,
   round(CASE WHEN stddev_samp(x) OVER v > 0 THEN regr_slope(x, i) OVER v / stddev_samp(x) OVER v END, 4) AS trend,
   CASE WHEN x IS NULL THEN last_value(length IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS gap_size,
   least(i - 1, count(*) OVER (PARTITION BY series) - i) AS edge FROM j WINDOW v AS ({W} ROWS BETWEEN 24 PRECEDING AND 23 FOLLOWING)""")
 def win_15_local_context(spark, sf_dir):
-    return rounded(rounded(S.local_context(sensors(spark, sf_dir), "x").select("series", "i", F.round("missing_ratio", 6).alias("missing_ratio"), F.round("variance", 4).alias("variance"), F.round("trend", 4).alias("trend"), "gap_size", "edge")))
+    return rounded(rounded(S.local_context(sensors(spark, sf_dir), "x").select("series", "i", F.round("missing_ratio", 6).alias("missing_ratio"), F.round("variance", 2).alias("variance"), F.round("trend", 4).alias("trend"), "gap_size", "edge")))
 
 
 @register("win_17_23_runs_durbin", f"""WITH {G}, o AS (SELECT series, x, i FROM g WHERE x IS NOT NULL), md AS (SELECT series, median(x) AS md FROM o GROUP BY series),
