@@ -70,10 +70,10 @@ def win_08_local_mean_recursive(spark, sf_dir):
 
 
 @register("win_09_local_linear", f"""WITH {G}
-SELECT series, i, round(coalesce(x, CASE WHEN count(x) OVER v >= 2 THEN regr_intercept(x, i) OVER v + regr_slope(x, i) OVER v * i END), 5) AS fit FROM g
+SELECT series, i, round(coalesce(x, CASE WHEN count(x) OVER v >= 2 THEN regr_intercept(x, i) OVER v + regr_slope(x, i) OVER v * i END), 7) AS fit FROM g
 WINDOW v AS ({W} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)""")
 def win_09_local_linear(spark, sf_dir):
-    return rounded(S.local_linear(sensors(spark, sf_dir), "x", "fit").select("series", "i", "fit"), 5)
+    return rounded(S.local_linear(sensors(spark, sf_dir), "x", "fit").select("series", "i", "fit"), 7)
 
 
 @register("win_10_20_periodic_seasonal", f"""WITH {G}, p AS (SELECT *, list_filter([lag(x, 24) OVER w, lead(x, 24) OVER w, lag(x, 48) OVER w, lead(x, 48) OVER w], lambda v: v IS NOT NULL) AS near FROM g WINDOW w AS ({W}))
