@@ -275,12 +275,12 @@ def imp_38_gaussian(spark, sf_dir):
     return rounded(E.gaussian_conditional(variables(spark, sf_dir), "r", ["a", "b", "c"]), 4)
 
 
-ST = "s AS (SELECT s_suppkey AS k, (s_suppkey * 7 % 17)::DOUBLE AS x, (s_suppkey * 5 % 23)::DOUBLE AS y, s_acctbal AS v, (s_suppkey * 7 % 80)::DOUBLE - 40 AS lat, (s_suppkey * 11 % 160)::DOUBLE - 80 AS lon FROM supplier WHERE s_suppkey <= 100)"
+ST = "s AS (SELECT s_suppkey AS k, (s_suppkey * 7 % 17)::DOUBLE AS x, (s_suppkey * 5 % 23)::DOUBLE AS y, s_acctbal AS v, (s_suppkey * 7 % 80)::DOUBLE - 40 AS lat, (s_suppkey * 11 % 160)::DOUBLE - 80 AS lon FROM supplier)"
 
 
 def stations(spark, sf_dir):
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").filter("s_suppkey <= 100").select(k.alias("k"), (k * 7 % 17).cast("double").alias("x"), (k * 5 % 23).cast("double").alias("y"), F.col("s_acctbal").alias("v"), ((k * 7 % 80).cast("double") - 40).alias("lat"), ((k * 11 % 160).cast("double") - 80).alias("lon"))
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), (k * 7 % 17).cast("double").alias("x"), (k * 5 % 23).cast("double").alias("y"), F.col("s_acctbal").alias("v"), ((k * 7 % 80).cast("double") - 40).alias("lat"), ((k * 11 % 160).cast("double") - 80).alias("lon"))
 
 
 @register("joi_05_06_distances", f"""WITH {ST} SELECT a.k AS i, b.k AS j, round(2 * 6371.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0))), 6) AS km FROM s a JOIN s b ON a.k < b.k""")
@@ -306,11 +306,11 @@ def joi_09_delaunay(spark, sf_dir):
     return P.delaunay(stations(spark, sf_dir), "k")
 
 
-@register("joi_11_12_donors", """WITH p AS (SELECT p_partkey AS k, p_size::DOUBLE AS a, p_retailprice / 100 AS b FROM part), q AS (SELECT * FROM p WHERE k % 50 = 7), d AS (SELECT k AS donor, a AS da, b AS db FROM p WHERE k % 10 = 3),
+@register("joi_11_12_donors", """WITH p AS (SELECT p_partkey AS k, p_size::DOUBLE AS a, p_retailprice / 100 AS b FROM part), q AS (SELECT * FROM p WHERE k % 20 = 0), d AS (SELECT k AS donor, a AS da, b AS db FROM p),
 j AS (SELECT k AS q, donor, sqrt(pow(a - da, 2) + pow(b - db, 2)) AS d FROM q, d) SELECT q, donor, round(d, 6) AS d, row_number() OVER (PARTITION BY q ORDER BY d, donor) AS rank FROM j QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, donor) <= 3""")
 def joi_11_12_donors(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 100).alias("b"))
-    return rounded(P.nearest(p.filter("k % 50 = 7").withColumnRenamed("k", "q"), p.filter("k % 10 = 3").withColumnRenamed("k", "donor"), ["a", "b"], 3))
+    return rounded(P.nearest(p.filter("k % 20 = 0").withColumnRenamed("k", "q"), p.withColumnRenamed("k", "donor"), ["a", "b"], 3))
 
 
 for _name, _gamma in (("matheron", "avg(m * m) / 2"), ("cressie", "pow(avg(sqrt(m)), 4) / (0.457 + 0.494 / count(*)) / 2"), ("genton", "pow(2.2191 * quantile_cont(m, 0.25), 2) / 2")):
@@ -347,11 +347,11 @@ def scl_11_17_scalars(spark, sf_dir):
     return rounded(c.select("c_custkey", X.effect_size("d", F.col("c_acctbal") / 10000).alias("effect"), X.human_bytes(F.col("c_custkey") * 1000).alias("bytes"), X.safe_name(F.col("c_name")).alias("safe"), X.content_hash("c_custkey", "c_name").alias("hash"), X.variogram("spherical", F.abs("c_acctbal") / 1000, 1.0, 10.0, 5.0).alias("gamma")))
 
 
-@register("scl_15_kernels", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 40), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(list_zip(a.v, b.v), lambda t: pow(t[1] - t[2], 2))) AS d, list_sum(list_transform(list_zip(a.v, b.v), lambda t: t[1] * t[2])) AS ab FROM e a JOIN e b ON a.vec_id < b.vec_id)
+@register("scl_15_kernels", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(list_zip(a.v, b.v), lambda t: pow(t[1] - t[2], 2))) AS d, list_sum(list_transform(list_zip(a.v, b.v), lambda t: t[1] * t[2])) AS ab FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
 SELECT i, j, round(exp(-0.5 * d), 6) AS rbf, round(pow(0.1 * ab + 1, 3), 6) AS poly, round((1 + sqrt(3) * sqrt(d)) * exp(-sqrt(3) * sqrt(d)), 6) AS matern FROM p""")
 def scl_15_kernels(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 40").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    p = P.pairs(e, "vec_id", ["v"])
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    p = e.select(F.col("vec_id").alias("i"), F.col("v").alias("v_i")).join(e.select((F.col("vec_id") - 1).alias("i"), F.col("vec_id").alias("j"), F.col("v").alias("v_j")), "i")
     return rounded(p.select("i", "j", X.kernel("rbf", F.col("v_i"), F.col("v_j"), 0.5).alias("rbf"), X.kernel("polynomial", F.col("v_i"), F.col("v_j"), 0.1).alias("poly"), X.kernel("matern:1.5", F.col("v_i"), F.col("v_j")).alias("matern")))
 
 
