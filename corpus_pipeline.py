@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm import language, mixing, ngram_join, packing, toxicity
-from lacuna.llm.common import shared_dir, ship
+from lacuna.llm.common import shared_dir, ship, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text of so many letters and blanks whose cosine with every language is below MIN_COSINE is rejected like one without letters.
@@ -28,12 +28,42 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group: five-word shingles, similarity 0.8 or more."""
+    """Keeps the document with the smallest id of each group: five-word shingles, similarity 0.8 or more.
+
+    Rows without an id are linked with nothing and all kept. Rows that share an id and a text are one document; different texts of one id are
+    documents of their own (in a group of such, the one with the smallest text hash stays).
+    """
     ship(spark)
-    found = ngram_join.linked(docs, n=5, num=80, den=100)
-    kept = found.filter("component_id = doc_id").select("doc_id").distinct()
-    # one shuffle of the texts; rows that share an id are one document
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    rows, more = _nodes(docs.filter("doc_id is not null"))
+    found = ngram_join.linked(rows.select(F.col("node").alias("doc_id"), "text"), n=5, num=80, den=100)
+    if more is None:
+        kept = found.filter("component_id = doc_id").select(F.col("doc_id").alias("node")).distinct()
+    else:
+        place = F.struct(F.coalesce("i", "doc_id").alias("i"), "g", F.col("doc_id").alias("node"))
+        placed = found.join(more.select(F.col("node").alias("doc_id"), F.col("doc_id").alias("i"), F.col("h").alias("g")), "doc_id", "left")
+        kept = placed.groupBy("component_id").agg(F.min(place).alias("b")).select("b.node")
+    # one shuffle of the texts; rows of a node differ in lang, source and n_chars at most
+    once = rows.join(kept, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r")).select("r.*")
+    return once.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
+
+
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a number per id and text, and the numbers that aren't ids (doc_id, h, node; None without any). The text with an id's smallest
+    hash has the id itself, further ones have hashes that are no id and differ."""
+    h = F.xxhash64("text")
+    twice = stored(docs.select("doc_id", h.alias("h")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("doc_id", "lo"), "repeated-ids")
+    if twice.isEmpty():
+        return docs.withColumn("node", F.col("doc_id")), None
+    pairs = stored(docs.select("doc_id", h.alias("h")).distinct().join(twice, "doc_id").filter("h > lo").select("doc_id", "h"), "further-texts")
+    salt = 0
+    while True:
+        more = stored(pairs.withColumn("node", F.xxhash64("doc_id", "h", F.lit(salt))), "numbers")
+        taken = more.groupBy("node").count().filter("count > 1").select("node").unionByName(docs.select(F.col("doc_id").alias("node")).join(more, "node", "left_semi"))
+        if taken.isEmpty():
+            break
+        salt += 1
+    rows = docs.select(*COLUMNS, h.alias("h")).join(more, ["doc_id", "h"], "left").withColumn("node", F.coalesce("node", "doc_id")).drop("h")
+    return stored(rows, "numbered"), more
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -353,3 +353,22 @@ def test_stages_against_brute_force(spark, docs):
     assert list(near.columns) == c.COLUMNS
     mixed = c.mix(spark, docs, SF).toPandas()
     assert sorted(mixed["doc_id"]) == sorted(near["doc_id"].tolist() + [i for i, r in want.items() if i != r])
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    a, b, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abde")
+    rows = [
+        (None, a, "en", "s", 1), (None, "a text of its own without an id", "en", "s", 1), (None, None, None, None, None),
+        (3, a, "en", "s", 1), (3, b, "en", "s", 1), (3, b, "en", "s", 1), (2, a + " x", "en", "s", 1),  # 3's text b is like no other
+        (5, d, "en", "s", 1), (5, d + " x", "en", "s", 1), (5, d, "de", "r", 2),  # near copies of one id
+        (6, e, "en", "t", 1), (6, e, "en", "s", 1),
+    ]
+    want = sorted([rows[0][:2], rows[1][:2], (None, None), (3, b), (2, a + " x"), (6, e)], key=str)
+    for order in (rows, rows[::-1]):
+        got = c.near_duplicates(spark, spark.createDataFrame(order, SCHEMA).repartition(5), SF).collect()
+        five = [r for r in got if r["doc_id"] == 5]
+        assert sorted([(r["doc_id"], r["text"]) for r in got if r["doc_id"] != 5], key=str) == want
+        assert len(five) == 1 and five[0]["text"] == min((d, d + " x"), key=lambda t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
+        assert [r["source"] for r in got if r["doc_id"] == 6] == ["s"]
