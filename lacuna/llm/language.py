@@ -4,8 +4,8 @@ Every letter has a fixed random vector of +1 and -1. A trigram is bound by multi
 permuted (rotated) by its place; a text or a language is the bundle (sum) of its trigrams' vectors; the language of a text is
 the prototype with the largest cosine. The whole text is used.
 
-Letters are lower-cased; the ALPHABET most usual symbols have vectors of their own, all others share OTHER ones by code point, and
-any run of non-letters is one blank. Trigram vectors are a table of SYMBOLS**3 rows that each Python worker builds once from the seed.
+Letters are lower-cased; the letter of every code point has a vector of its own, hashed from the code point and the seed, and any run of
+non-letters is one blank. The distinct trigrams of a text are bound when it is read, BLOCK at a time; no table of trigrams is kept.
 
 Training reads at most `max_train` documents of each language (documented bound; a hash of the id picks them, so that
 the choice doesn't depend on partitions). Prediction reads all rows.
@@ -26,60 +26,64 @@ from pyspark.sql import functions as F
 from .common import id_bucket, kept_ddl, map_arrow
 
 DIMENSIONS, SEED, MAX_TRAIN = 512, 20240229, 2000
-#: Symbols with vectors of their own; the blank is symbol 0.
-ALPHABET = " abcdefghijklmnopqrstuvwxyzáàâäãåçéèêëíîïñóôöõúùûüß"
-OTHER = 6
-SYMBOLS = len(ALPHABET) + OTHER
+#: Trigrams bound at a time; code points whose symbols are worked out at a time.
+BLOCK, PAGE = 2048, 4096
 _KEPT: dict = {}
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 0x3000; letters beyond share the OTHER symbols by code point."""
-    if "symbols" not in _KEPT:
-        table = np.zeros(0x3000, np.int64)
-        for i in range(0x3000):
-            c = chr(i).lower()
-            if c.isalpha():
-                c = c[0]
-                table[i] = ALPHABET.index(c) if c in ALPHABET else len(ALPHABET) + ord(c) % OTHER
-        _KEPT["symbols"] = table
-    return _KEPT["symbols"]
+def _symbols(raw: np.ndarray) -> np.ndarray:
+    """The lower-cased letter of each code point, 0 for what is no letter. Pages of code points are worked out when a text first has them."""
+    if not _KEPT:
+        _KEPT["symbols"], _KEPT["pages"] = np.zeros(0x110000, np.int32), np.zeros(0x110000 // PAGE, bool)
+    table, known = _KEPT["symbols"], _KEPT["pages"]
+    pages = np.unique(raw // PAGE)
+    for page in pages[~known[pages]].tolist():
+        for i in range(page * PAGE, (page + 1) * PAGE):
+            c = chr(i).lower()[0]
+            table[i] = ord(c) if c.isalpha() else 0
+        known[page] = True
+    return table[raw].astype(np.int64)
 
 
-def trigram_vectors() -> np.ndarray:
-    """SYMBOLS**3 rows of DIMENSIONS values +1 or -1."""
-    if "vectors" not in _KEPT:
-        letters = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIMENSIONS), dtype=np.int8) * 2 - 1
-        first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-        _KEPT["vectors"] = (first[:, None, None] * second[None, :, None] * letters[None, None]).reshape(-1, DIMENSIONS)
-    return _KEPT["vectors"]
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """A row of DIMENSIONS values +1 or -1 for each code point."""
+    with np.errstate(over="ignore"):
+        x = (points.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS // 64) + np.arange(DIMENSIONS // 64, dtype=np.uint64) + np.uint64(SEED << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the trigrams of a text's letters and blanks; none if it has no letter."""
-    raw = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _symbol_table()
-    symbols = table[np.minimum(raw, len(table) - 1)]
-    far = raw >= len(table)
-    if far.any():
-        symbols[far] = [len(ALPHABET) + int(x) % OTHER if chr(x).isalpha() else 0 for x in raw[far]]
+    """Codes (three letters of 21 bits) and counts of the trigrams of a text's letters and blanks; none if it has no letter."""
+    symbols = _symbols(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32))
     if not symbols.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     symbols = np.concatenate(([0], symbols, [0]))
     symbols = symbols[np.concatenate(([True], (symbols[1:] != 0) | (symbols[:-1] != 0)))]
-    codes = (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
-    if len(codes) < 60_000:
-        codes.sort()
-        starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-        return codes[starts], np.diff(np.append(starts, len(codes)))
-    counts = np.bincount(codes, minlength=SYMBOLS**3)
-    codes = np.flatnonzero(counts)
-    return codes, counts[codes]
+    codes = symbols[:-2] << 42 | symbols[1:-1] << 21 | symbols[2:]
+    codes.sort()
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[starts], np.diff(np.append(starts, len(codes)))
+
+
+def bundled(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of the trigrams' vectors."""
+    total, low = np.zeros(DIMENSIONS, np.float32), (1 << 21) - 1
+    for i in range(0, len(codes), BLOCK):
+        c = codes[i : i + BLOCK]
+        points, at = np.unique(np.concatenate((c >> 42, c >> 21 & low, c & low)), return_inverse=True)
+        letters, (x, y, z) = letter_vectors(points), at.reshape(3, -1)
+        v = np.roll(letters, 2, axis=1)[x]
+        v *= np.roll(letters, 1, axis=1)[y]
+        v *= letters[z]
+        total += counts[i : i + BLOCK].astype(np.float32) @ v.astype(np.float32)
+    return total
 
 
 def bundle(text: str | None) -> np.ndarray:
-    codes, counts = trigrams(text)
-    return counts.astype(np.float32) @ trigram_vectors()[codes].astype(np.float32)
+    return bundled(*trigrams(text))
 
 
 def learned(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
@@ -118,7 +122,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: Sequen
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            v = counts.astype(np.float32) @ trigram_vectors()[codes].astype(np.float32)
+            v = bundled(codes, counts)
             cosines = matrix @ v / max(float(np.linalg.norm(v)), 1e-9)
             best = int(np.argmax(cosines))
             langs.append(names[best])

@@ -231,6 +231,24 @@ def test_language_odd(odd, none):
     assert {r["lang_pred"] for r in language.predicted(odd, language.learned(none)).collect()} == {"und"}
 
 
+def test_every_letter_has_a_vector_of_its_own(spark):
+    """Greek and Cyrillic words against the same words six letters on, rare Latin letters, and letters beyond the first plane."""
+    rng = np.random.default_rng(3)
+    kinds = {"greek": (0x3B1, 1), "greek6": (0x3B7, 1), "cyrillic": (0x430, 1), "cyrillic6": (0x436, 1), "han": (0x4E00, 6), "han6": (0x4E06, 6), "gothic": (0x10330, 1), "gothic6": (0x10336, 1)}
+    rows = []
+    for k, (first, step) in kinds.items():
+        places = np.random.default_rng(len(k.rstrip("6"))).integers(0, 6, (40, 5))
+        words = ["".join(chr(first + step * int(x)) for x in w) for w in places]
+        rows += [(len(rows) + i, " ".join(words[int(x)] for x in rng.integers(0, 40, 60)), k, "s", 1) for i in range(4)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    out = language.predicted(d, language.learned(d), keep=["lang"]).collect()
+    assert [r["doc_id"] for r in out if r["lang_pred"] != r["lang"]] == [] and len(out) == len(rows)
+    letters = "æøœýìòÿžαωяשع中"
+    assert len({language.bundle(c).tobytes() for c in letters}) == len(letters)
+    v = language.letter_vectors(np.array([ord(c) for c in letters])).astype(int)
+    assert np.abs(v @ v.T - 512 * np.eye(len(letters))).max() < 512 * 0.25
+
+
 # 7 chat
 
 
