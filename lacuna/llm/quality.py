@@ -25,7 +25,7 @@ from .common import SPACE_CLASS, let, stored, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-ALPHA, DELTA, MAX_STRATA = 0.02, 0.05, 64
+ALPHA, DELTA = 0.02, 0.05
 #: The rate of each count per word (per word character for symbols and capitals) that makes a risk of 1.
 SCALES = {"n_symbols": 0.05, "n_bangs": 0.30, "n_capitals": 0.40, "n_dup_lines": 0.05, "n_repeat_words": 0.20, "n_adjacent": 0.10}
 #: Cutoffs on the risk, lenient first.
@@ -113,23 +113,21 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(log_top) * rest)
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
-    """One row per stratum that earns a cutoff: lang, cutoff. At most max_strata languages (the most frequent among
-    labelled rows, ties by name) are strata; the rest have no guarantee and so no cutoff."""
+def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row per stratum that earns a cutoff: lang, cutoff. Every language with labelled good rows is a stratum."""
     good = labels.filter("doc_id is not null and quality = 1").select("doc_id").distinct()
     held = counts.filter(~F.col("base_failed")).select("doc_id", "lang", "risk").join(good, "doc_id")
     sums = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("risk") > c).cast("long")).alias(f"k{i}") for i, c in enumerate(GRID)))
-    first = sums.orderBy(F.desc("n"), "lang").limit(max_strata)
-    strata = first.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    strata = sums.crossJoin(F.broadcast(sums.agg(F.count(F.lit(1)).alias("strata"))))
     tests = strata.select("lang", "n", "strata", F.posexplode(F.array(*(F.struct(F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, c in enumerate(GRID))))).select("lang", "n", "strata", "pos", "col.*")
     tests = tests.withColumn("passes", binomial_cdf(F.col("k"), F.col("n"), alpha) <= delta / F.col("strata"))
     so_far = Window.partitionBy("lang").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return tests.withColumn("passes", F.min("passes").over(so_far)).filter("passes").groupBy("lang").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judged(counts: DataFrame, chosen: DataFrame, max_strata: int = MAX_STRATA) -> DataFrame:
-    """counts with cutoff and kept. chosen has at most max_strata rows, so it is broadcast."""
-    out = counts.join(F.broadcast(chosen.limit(max_strata)), "lang", "left")
+def judged(counts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """counts with cutoff and kept. chosen has only languages with hundreds of labelled rows, so it is broadcast."""
+    out = counts.join(F.broadcast(chosen), "lang", "left")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("cutoff").isNull() | (F.col("risk") <= F.col("cutoff"))))
 
 

@@ -96,6 +96,23 @@ def test_mix_in_blocks_and_odd(spark, odd, none):
     assert set(mixing.mixed(odd, max_sources=1).toPandas()["mixed_as"]) == {"s", "*"}
 
 
+def test_mix_of_many_sources(spark):
+    """Each of 90 sources has its own weight and is less than a block off while all have blocks; pooled sources add up."""
+    sizes = {f"s{i:02}": (64, 16, 4)[i % 3] for i in range(90)}
+    rows = [(i, f"t{i}", None, s, 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    d = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mixed(d, period=50).toPandas().sort_values("position")
+    assert out["position"].tolist() == list(range(len(rows))) and out["doc_id"].is_unique and (out["mixed_as"] == out["source"]).all()
+    assert ((out["release"] <= out["position"]) & (out["position"] < out["deadline"])).all()
+    assert {(sizes[s], w) for s, w in zip(out["source"], out["weight"])} >= {(64, 4), (16, 2), (4, 1)} and out["length"].max() == 210
+    names, on_target = out["source"].to_numpy(), 4 * 210
+    for s, n in sizes.items():
+        assert np.abs(np.cumsum(names[:on_target] == s) - n**0.5 / 2 / 210 * np.arange(1, on_target + 1)).max() < 1
+    counted = spark.createDataFrame([("a", "a", 100), ("b", "*", 100), ("c", "*", 100)], "named string, source string, n long")
+    assert {r["source"]: r["w"] for r in mixing.weighted(counted, period=30).collect()} == {"a": 10, "*": 20}
+    assert {r["source"]: r["w"] for r in mixing.weighted(counted, {"a": 1, "b": 4, "c": 5}, period=10).collect()} == {"a": 1, "*": 9}
+
+
 # 3 media
 
 
@@ -349,6 +366,13 @@ def test_quality_odd(spark, odd, none):
     assert quality.judged(quality.risked(quality.counted(none)), quality.cutoffs(quality.risked(quality.counted(none)), labels)).count() == 0
 
 
+def test_every_labelled_language_is_a_stratum(spark):
+    counts = spark.range(70 * 450).selectExpr("id AS doc_id", "concat('l', id % 70) AS lang", "0.1D AS risk", "false AS base_failed")
+    labels = counts.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    cut = quality.cutoffs(counts, labels)
+    assert cut.count() == 70 and quality.judged(counts, cut).filter("cutoff is null").count() == 0
+
+
 # pipeline
 
 
