@@ -6,14 +6,15 @@ sentences longer than GAP tokens only, every GAP tokens (HARD penalty). The cuts
     cost[j] = penalty[j] + min over i, pos[j] - pos[i] <= window, of cost[i] + window - (pos[j] - pos[i])
 where the minimum slides, so that a monotone queue gives each cost in constant time.
 
-Each scan partition is a stream of its own: nothing is shuffled. A stream is solved in segments of SEGMENT tokens; the last window of
-a segment goes back into the next one, so that memory stays bounded and only a stream's last window is short.
+Each scan partition is a stream of its own: nothing is shuffled. The optimum is that of the whole stream: the queue runs on from document to
+document, and a cut is settled as soon as the best paths to all places in the queue share it; what lies behind it is forgotten. Paths meet
+within some hundred windows, so that a task holds a few million tokens as four-byte ids, however long its stream is.
 
-Ids are those of the tokenizer over the whole text. Chunks between white space, and their words, are looked up in caches per worker (CACHE entries
-at most; what comes later is encoded each time); a text is cut into words only where the tokenizer's own rules always cut.
+Ids are those of the tokenizer over the whole text. Words are looked up in a cache per worker (two generations of CACHE words, what isn't
+used leaves); a text is cut into words only where the tokenizer's own rules always cut.
 
 Defined results: null and empty texts are one token (END_ID); null ids and repeated rows are packed like others; an empty table
-gives an empty result.
+gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-WINDOW, END_ID, SEGMENT, CACHE = 4096, 2, 1_000_000, 600_000
+WINDOW, END_ID, CACHE = 4096, 2, 150_000
 SENTENCE, HARD, GAP = 8, 64, 256
-_WORDS = re.compile(r"[^\W\d_]+|[^\s\w]+|[\d_]+")
+#: A stream looks for settled cuts when another WAITING tokens have come.
+WAITING = 1 << 20
+_WORDS = re.compile(r"[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Contractions and special tokens, characters on which white space rules differ, letters whose lower case depends on others.
 _UNSAFE = ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f", "Σ", "İ")
 #: Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, as the letters from 256 on.
@@ -43,23 +46,22 @@ _KEPT: dict = {}
 
 
 class Known(dict):
-    """Ids (as bytes) by text. A miss is noted in `pending`; `extra` holds what this batch needs when there is no more room."""
+    """Ids (as bytes) by word; a word that is missing is looked up in the generation before, or encoded."""
 
-    def __init__(self):
+    def __init__(self, encode, limit: int = CACHE):
         super().__init__()
-        self.extra: dict[str, bytes] = {}
-        self.pending: list[str] = []
+        self.encode, self.limit, self.old = encode, limit, {}
 
-    def __missing__(self, text: str) -> bytes:
-        ids = self.extra.get(text)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
         if ids is None:
-            self.pending.append(text)
-            return b""
+            ids = self.encode(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
-    def keep(self, text: str, ids: bytes) -> None:
-        (self if len(self) < CACHE else self.extra)[text] = ids
-
 
 class Encoder:
     """encode(texts) -> arrays of ids, equal to the tokenizer's own."""
@@ -70,26 +72,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known, self.chunks = Known(), Known()
-        self.stops = np.array(sorted({int(np.frombuffer(x, np.uint32)[-1]) for x in self._raw([".", "!", "?"])}), np.uint32)
+        self.known = Known(self._word)
+        self.stops = np.array(sorted({int(np.frombuffer(self._raw(x), np.uint32)[-1]) for x in ".!?"}), np.uint32)
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _raw(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         """A word of letters is one pre-token: the tokenizer's model takes it as it is, once its bytes are letters of the vocabulary."""
         if not word.isalpha():
-            return self._raw([word])[0]
+            return self._raw(word)
         return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode())))]).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Ids of chunks (no white space) from those of their words; only new words are encoded, many at a time."""
-        cut = {c: _WORDS.findall(c) for c in chunks}
-        for w in {w for ws in cut.values() for w in ws if w not in self.known}:
-            self.known.keep(w, self._word(w))
-        for c, ws in cut.items():
-            self.chunks.keep(c, b"".join(map(self.known.__getitem__, ws)))
-
     @staticmethod
     def safe(text: str) -> bool:
         """Whether the text may be cut at white space and between letters, digits and signs: no contractions or special tokens, no
@@ -97,94 +91,127 @@ class Encoder:
         return not any(x in text for x in _UNSAFE) and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        get, pending, end = self.chunks.__getitem__, self.chunks.pending, np.uint32(END_ID).tobytes()
-        self.known.extra.clear()
-        self.chunks.extra.clear()
-        cut, out = [t.lower().split() if self.safe(t) else None for t in (t or "" for t in texts)], []
-        for c, t in zip(cut, texts, strict=True):
-            missed = len(pending)
-            ids = self._raw([t])[0] if c is None else b"".join(map(get, c))
-            out.append(ids if len(pending) == missed else None)
-        if pending:
-            self._learn(set(pending))
-            pending.clear()
-            out = [b"".join(map(get, c)) if ids is None else ids for c, ids in zip(cut, out, strict=True)]
-        return [np.frombuffer(ids + end, np.uint32) for ids in out]
-
-
-def boundaries(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows may end, ascending, and the penalties; ends are the documents' ends."""
-    sentence = np.flatnonzero(np.isin(ids, stops)) + 1
-    at = np.union1d(sentence, ends)
-    steps = np.diff(np.concatenate(([0], at)))
-    extra = [np.arange(p + GAP, q, GAP) for p, q in zip((at - steps)[steps > GAP], at[steps > GAP], strict=True)]
-    hard = np.concatenate(extra) if extra else np.zeros(0, at.dtype)
-    where = np.concatenate((at, hard))
-    penalty = np.concatenate((np.where(np.isin(at, ends), 0, SENTENCE), np.full(len(hard), HARD)))
+        get, words, end = self.known.__getitem__, _WORDS.findall, np.uint32(END_ID).tobytes()
+        return [np.frombuffer((b"".join(map(get, words(t.lower()))) if self.safe(t) else self._raw(t)) + end, np.uint32) for t in (t or "" for t in texts)]
+
+
+def boundaries(ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows may end within a document, ascending, and the penalties; the last is its end."""
+    stop = np.zeros(len(ids), bool)
+    for x in stops:
+        stop |= ids == x
+    stop[-1] = True
+    at = np.flatnonzero(stop) + 1
+    penalty = np.full(len(at), SENTENCE)
+    penalty[-1] = 0
+    steps = np.diff(at, prepend=0)
+    if steps.max() <= GAP:
+        return at, penalty
+    hard = np.concatenate([np.arange(p + GAP, q, GAP) for p, q in zip((at - steps)[steps > GAP], at[steps > GAP], strict=True)])
+    where, penalty = np.concatenate((at, hard)), np.concatenate((penalty, np.full(len(hard), HARD)))
     order = np.argsort(where, kind="stable")
     return where[order], penalty[order]
 
 
-def best_cuts(where: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
+class Cutter:
+    """The windows of least cost over a stream of places (ascending, gaps of at most `window`). Places go in by add(); settled() gives the ends of
+    windows that no later place can change, finished() the rest."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost[i] + pos[i], i, pos[i]), keys ascend
+        #: Of the places from number `base`, the last settled one, on: position, and number of the place before on its best path.
+        self.pos, self.back, self.base = array("q", [0]), array("q", [0]), 0
+
+    def __len__(self) -> int:
+        return len(self.pos)
+
+    def add(self, where: list[int], penalty: list[int]) -> None:
+        queue, pos, back, window, j = self.queue, self.pos, self.back, self.window, self.base + len(self.pos)
+        for p, pen in zip(where, penalty, strict=True):
+            low = p - window
+            while queue[0][2] < low:
+                queue.popleft()
+            key, i, _ = queue[0]
+            pos.append(p)
+            back.append(i)
+            key += pen + window  # cost + position: the padding and the penalties so far
+            while queue and queue[-1][0] > key:
+                queue.pop()
+            queue.append((key, j, p))
+            j += 1
+
+    def _forget(self, j: int) -> list[int]:
+        """Cuts of the best path up to place j, which becomes the base."""
+        cuts, at = [], j
+        while at > self.base:
+            cuts.append(self.pos[at - self.base])
+            at = self.back[at - self.base]
+        self.pos, self.back, self.base = self.pos[j - self.base :], self.back[j - self.base :], j
+        return cuts[::-1]
+
+    def settled(self) -> list[int]:
+        """Cuts that the best paths to all places in the queue share: the paths are followed back, the latest place first, until they have met."""
+        marks = bytearray(len(self.pos))
+        for _, i, _ in self.queue:
+            marks[i - self.base] = 1
+        paths, j = len(self.queue), len(marks) - 1
+        while j > 0 and (paths > 1 or not marks[j]):
+            if marks[j]:
+                before = self.back[j] - self.base
+                paths -= marks[before]
+                marks[before] = 1
+            j -= 1
+        return self._forget(self.base + j)
+
+    def finished(self) -> list[int]:
+        """The rest of the cuts of the best path to the last place."""
+        return self._forget(self.base + len(self.pos) - 1)
+
+
+def best_cuts(where: np.ndarray, penalty: np.ndarray, window: int = WINDOW, waiting: int = 4096) -> list[int]:
     """Ends of the windows of least cost; the last is where[-1]. Gaps in where are at most `window`."""
-    pos, pen = [0, *where.tolist()], [0, *penalty.tolist()]
-    cost, back = [0] * len(pos), [0] * len(pos)
-    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost[i] + pos[i], i, pos[i]), keys ascend
-    for j in range(1, len(pos)):
-        p = pos[j]
-        low = p - window
-        while queue[0][2] < low:
-            queue.popleft()
-        key, i, _ = queue[0]
-        cost[j] = c = pen[j] + window - p + key
-        back[j] = i
-        key = c + p
-        while queue and queue[-1][0] > key:
-            queue.pop()
-        queue.append((key, j, p))
-    cuts, j = [], len(pos) - 1
-    while j:
-        cuts.append(pos[j])
-        j = back[j]
-    return cuts[::-1]
+    cutter, out = Cutter(window), []
+    for i in range(0, len(where), waiting):
+        cutter.add(where[i : i + waiting].tolist(), penalty[i : i + waiting].tolist())
+        out += cutter.settled()
+    return out + cutter.finished()
 
 
 class Stream:
     """Documents in, pieces out: (doc_id, start, doc_tokens, sequence, offset, ids)."""
 
-    def __init__(self, stops: np.ndarray, window: int = WINDOW, segment: int = SEGMENT):
-        self.stops, self.window, self.segment = stops, window, segment
-        self.waiting: list[tuple] = []  # (doc_id, ids, start: what is packed already)
-        self.tokens = self.sequence = 0
+    def __init__(self, stops: np.ndarray, window: int = WINDOW):
+        self.stops, self.cutter = stops, Cutter(window)
+        self.waiting: deque[tuple] = deque()  # (doc_id, ids, place of its first id in the stream)
+        self.tokens = self.sequence = self.begin = 0
+        self.look_at = WAITING
 
     def add(self, key, ids: np.ndarray) -> list[tuple]:
-        self.waiting.append((key, ids, 0))
+        where, penalty = boundaries(ids, self.stops)
+        self.cutter.add((where + self.tokens).tolist(), penalty.tolist())
+        self.waiting.append((key, ids, self.tokens))
         self.tokens += len(ids)
-        return self.flush(False) if self.tokens >= self.segment else []
-
-    def flush(self, last: bool) -> list[tuple]:
-        if not self.waiting:
+        if self.tokens < self.look_at:
             return []
-        ids = np.concatenate([x[s:] for _, x, s in self.waiting])
-        ends = np.cumsum([len(x) - s for _, x, s in self.waiting])
-        cuts = best_cuts(*boundaries(ids, ends, self.stops), self.window)
-        cuts = cuts if last or len(cuts) == 1 else cuts[:-1]
-        out, doc, begin, first = [], 0, 0, 0  # begin: of the window; first: of the document's waiting part
+        self.look_at = self.tokens + WAITING
+        return self._cut(self.cutter.settled())
+
+    def finish(self) -> list[tuple]:
+        return self._cut(self.cutter.finished()) if self.waiting else []
+
+    def _cut(self, cuts: list[int]) -> list[tuple]:
+        out = []
         for cut in cuts:
-            at = begin
+            at = self.begin
             while at < cut:
-                key, x, s = self.waiting[doc]
-                stop = min(cut, int(ends[doc]))
-                start = s + at - first
-                out.append((key, start, len(x), self.sequence, at - begin, x[start : start + stop - at].tobytes()))
+                key, ids, first = self.waiting[0]
+                stop = min(cut, first + len(ids))
+                out.append((key, at - first, len(ids), self.sequence, at - self.begin, ids[at - first : stop - first].tobytes()))
+                if stop == first + len(ids):
+                    self.waiting.popleft()
                 at = stop
-                if stop == ends[doc]:
-                    first, doc = stop, doc + 1
-            begin, self.sequence = cut, self.sequence + 1
-        rest = self.waiting[doc:]
-        if rest:
-            rest[0] = (rest[0][0], rest[0][1], rest[0][2] + begin - first)
-        self.waiting, self.tokens = rest, len(ids) - begin
+            self.begin, self.sequence = cut, self.sequence + 1
         return out
 
 
@@ -206,25 +233,20 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, text: str = "t
             return dict(zip(names, map(list, columns), strict=True))
 
         for x in batches:
-            keys, texts = x["doc_id"].to_pylist(), x["t"].to_pylist()
-            files = x["file_name"].to_pylist() if named else [""] * len(keys)
-            for i in range(0, len(keys), 500):
-                out = []
-                for key, file, ids in zip(keys[i : i + 500], files[i : i + 500], encoder.encode(texts[i : i + 500]), strict=True):
-                    if stream is None or file != at:
-                        if stream:
-                            if out:
-                                yield rows(out)
-                                out = []
-                            yield rows(stream.flush(True))
-                        done = stream.sequence if stream else 0
-                        at, stream = file, Stream(encoder.stops, window)
-                        stream.sequence = done
-                    out += stream.add(key, ids)
-                if out:
-                    yield rows(out)
+            out = []
+            for key, file, text in zip(x["doc_id"].to_pylist(), x["file_name"].to_pylist() if named else [""] * len(x["t"]), x["t"], strict=True):
+                if stream is None or file != at:
+                    if stream:
+                        yield rows(out + stream.finish())
+                        out = []
+                    done = stream.sequence if stream else 0
+                    at, stream = file, Stream(encoder.stops, window)
+                    stream.sequence = done
+                out += stream.add(key, encoder.encode([text.as_py()])[0])
+            if out:
+                yield rows(out)
         if stream:
-            yield rows(stream.flush(True))
+            yield rows(stream.finish())
 
     make.whole = True
     rows = docs.select("doc_id", F.col(text).alias("t"), *(["file_name"] if named else []))
