@@ -36,6 +36,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot when it holds more than one in HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot keys, whatever the data.
+HOT_SHARE = 200
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], weights: DataFrame, total: int) -> DataFrame:
+    """rows joined with facts (one row per key) where one key may hold a third of all rows. weights has the keys with n, how many of the `total`
+    rows have each. The facts of hot keys, fewer than HOT_SHARE, are broadcast, so that their rows stay where they are; all other rows
+    meet their facts by a shuffle."""
+    hot = weights.filter(F.col("n") * HOT_SHARE > total).select(*on)
+    if hot.isEmpty():
+        return rows.join(facts, on)
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(facts, on)
+    return rest.unionByName(rows.join(F.broadcast(facts.join(F.broadcast(hot), on, "left_semi")), on).select(*rest.columns))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also when body is a lambda run per element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

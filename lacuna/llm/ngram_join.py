@@ -1,41 +1,50 @@
 """N-gram Jaccard join: parity sketches, pigeonhole, verification.
 
-A document is its set of distinct word n-grams, as 64-bit hashes. Two sets with Jaccard similarity of at least t differ in at most
-D = (a + b)(1 - t)/(1 + t) n-grams. Sizes fall into bands so that similar sets are in the same or in neighbouring bands; for each band
-the hashes are dealt into D + 1 segments, and each segment's XOR is a key. By the pigeonhole principle two similar sets agree in at least one
-segment, so that they meet in a bucket (an equal key of the same band). Besides, each set has a parity sketch: every n-gram flips
-one of a number of bits; the Hamming distance of two sketches is at most the symmetric difference, so pairs that are too far are dropped
-without reading texts. What is left is verified on the texts themselves, n-gram by n-gram.
-
-Groups are never expanded into all pairs. Every document is compared with one first document of its buckets (the smallest); verified links
-give components. Only buckets that still hold several components are then compared in full, block by block in numpy (blocks of BLOCK
-documents, so that memory stays bounded; buckets with the same members count once), and their further links are verified too. No link is lost: any
-two similar sets share a bucket, and either they are in one component already or the second step compares them.
+A document is its set of distinct word n-grams, as 64-bit hashes. Its parity sketch has a bit for each value that a hash may have in a piece: every
+n-gram flips one bit of one piece (the upper half of the hash chooses the piece, the lower half the bit). The Hamming distance of two
+sketches is at most the symmetric difference of the sets. Sets with Jaccard similarity of at least t differ in at most D = (a + b)(1 - t)/(1 + t)
+n-grams. Sizes fall into bands so that similar sets are in the same or in neighbouring bands; for each band the sketch has more than D + 1
+pieces. By the pigeonhole principle two similar sets differ in at most D pieces, so that they meet in a bucket (an equal piece of the same band).
+
+Pieces without a set bit are no keys where a set has more than D others: at least one of these agrees with any similar set. Sets that have fewer
+use their empty pieces too. If either of two similar sets has more than D non-empty pieces, they share one of these; if neither has, both use all.
 
-Equal sets are linked without comparison (equal 128-bit hash of the set).
+Sketches are sparse: a piece is kept as a 64-bit hash of its set bits, and the whole sketch folded (XORed) to a few bits per n-gram, which still bounds the
+difference from below; pairs that are too far by it are dropped without reading texts. What is left is verified on the texts, n-gram by n-gram.
 
-Defined results: null and empty texts and texts without words have no n-grams and are linked with nothing; fewer than n words make one
-n-gram; a null id is linked with nothing (its component is null); rows that share an id are one document for links; ties in the
-choice of a representative go to the smallest id; extra columns aren't read.
+Equal sets are one node (equal size and 128-bit hash); a task keeps the first of a group of copies only. Groups are never expanded into all pairs: every
+set is compared with one leader of its buckets (the set with most shared buckets: an original shares pieces with each of its copies); verified links
+give components. Only buckets that still hold several components are then compared in full, block by block in numpy (blocks of BLOCK
+sets, so that memory stays bounded; buckets with the same members count once): first each block gives no more pairs than join its
+components, then, when these are verified, all pairs that are still apart and that sketches don't exclude. No link is lost: any two similar sets share
+a bucket, and either they are in one component already or the last step verifies them. Joins whose keys may be hot (copies, leaders,
+roots) go by spread_join.
+
+Defined results: null and empty texts and texts without words have no n-grams and are linked with nothing (their component is their own id); fewer than n
+words make one n-gram; a null id is linked with nothing (its component is null); rows that share an id are one document for links, all
+their sets; ties in the choice of a representative go to the smallest id; extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import map_arrow, spread_join, stored
 
-LEAST_BITS, BLOCK, FILTER_BITS = 256, 512, 1 << 22
+LEAST_BITS, BLOCK, PIECE_BYTES = 256, 512, 1 << 18
+#: Bits of the filter of fetched texts: FILTER_PER_ROW for each wanted one, at most FILTER_BITS (64 MB), beyond which it only lets more rows through.
+FILTER_PER_ROW, FILTER_BITS = 16, 1 << 29
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_POWERS: dict[str, np.ndarray] = {}
+_BASE, _STEP, _HALF = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+SET = ["s1", "s2", "n_shingles"]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -45,69 +54,131 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, n at least."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(12, n.bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                _POWERS[name] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, base, np.uint64))), dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, as many as a piece of text has bytes."""
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(PIECE_BYTES, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return up, down
 
 
-def hashes(text: str | None, n: int = 3) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of a text's words (A-Z lower-cased)."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
-    word = (raw != 32) & ((raw < 9) | (raw > 13))
-    if not word.any():
-        return np.zeros(0, np.uint64)
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False]))))
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in at most PIECE_BYTES bytes, and where they begin."""
+    x = np.frombuffer(raw, np.uint8)
+    word = np.zeros(len(x) + 2, np.int8)
+    word[1:-1] = (x != 32) & ((x < 9) | (x > 13))
+    edge = np.flatnonzero(word[1:] != word[:-1])
     begin, end = edge[::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
+    up, down = _powers()
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], dtype=np.uint64, out=sums[1:])
+        return _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _STEP), begin
+
+
+def _long(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a long text, which is cut at white space. A word of more than PIECE_BYTES bytes is cut too, and its parts' hashes are made one."""
+    out, at, inside = [], 0, False
+    while at < len(raw):
+        end = at + PIECE_BYTES
+        split = end < len(raw)
+        if split:
+            blank = max(raw.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            end, split = (end, True) if blank < 0 else (blank + 1, False)
+        words, begin = _words(raw[at:end])
+        if inside and len(words) and begin[0] == 0:
+            with np.errstate(over="ignore"):
+                out[-1] = _mixed(out[-1] * _STEP + words[:1])
+            words = words[1:]
+        out += [words[:-1], words[-1:]] if split and len(words) else [words]
+        at, inside = end, split
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of runs of n words, or of all words where there are fewer."""
+    k = min(n, len(words))
+    x = np.full(len(words) - k + 1 if k else 0, np.uint64(k))
     with np.errstate(over="ignore"):
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
-        words = _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _STEP)
-        k = min(n, len(words))
-        x = np.full(len(words) - k + 1, np.uint64(k))
         for i in range(k):
             x = _mixed(x * _STEP + words[i : len(words) - k + 1 + i])
-    return np.unique(x)
+    return x
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def hashes_of(texts: Sequence[str | None], n: int = 3) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of the n-grams of its words (A-Z lower-cased). Short texts are worked out together."""
+    raws = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    out: list = [None] * len(raws)
+    group: list[int] = []
+
+    def flush() -> None:
+        starts = np.cumsum([0] + [len(raws[i]) + 1 for i in group])
+        words, begin = _words(b"\n".join(raws[i] for i in group))
+        bounds, grams = np.searchsorted(begin, starts).tolist(), _grams(words, n) if len(words) >= n else None
+        for i, s, e in zip(group, bounds, bounds[1:], strict=False):
+            out[i] = _distinct(grams[s : e - n + 1] if e - s >= n else _grams(words[s:e], n))
+        group.clear()
+
+    size = 0
+    for i, raw in enumerate(raws):
+        if len(raw) >= PIECE_BYTES:
+            out[i] = _distinct(_grams(_long(raw), n))
+            continue
+        if size + len(raw) + 1 > PIECE_BYTES and group:
+            flush()
+            size = 0
+        group.append(i)
+        size += len(raw) + 1
+    if group:
+        flush()
+    return out
+
+
+def hashes(text: str | None, n: int = 3) -> np.ndarray:
+    return hashes_of([text], n)[0]
 
 
 @functools.lru_cache(maxsize=None)
-def bands(num: int, den: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
-    """(first size of each band, segments for pairs whose smaller set is in the band; 0 where such pairs are equal sets)."""
+def bands(num: int, den: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first size of each band, most differences of similar sets whose smaller one is in the band, pieces of the band's sketches; 0 where such
+    sets are equal). There are some more pieces than differences and one, so that few sets have too many empty ones."""
     starts = [1]
     while starts[-1] < top:
         starts.append(max(starts[-1] + 1, (starts[-1] - 1) * den // num + 1))
     last = [s - 1 for s in starts[1:]]
     allowed = [(a + a * den // num) * (den - num) // (den + num) for a in last]
-    return np.array(starts, np.int64), np.array([d + 1 if d else 0 for d in allowed], np.int64)
+    return np.array(starts, np.int64), np.array(allowed, np.int64), np.array([(d + 1) * 23 // 20 + 2 if d else 0 for d in allowed], np.int64)
 
 
 def keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The bucket keys of a set: one per segment of its own band and of the band below."""
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    starts, segments = bands(num, den)
-    band = int(np.searchsorted(starts, len(h), "right")) - 1
+    """The bucket keys of a set: the pieces of its sketches for its own band and the band below."""
     out = []
+    starts, allowed, pieces = bands(num, den)
+    band = int(np.searchsorted(starts, len(h), "right")) - 1 if len(h) else 0
     with np.errstate(over="ignore"):
+        bits = _mixed((h & np.uint64(0xFFFFFFFF)) + _STEP)  # a bit's hash; two n-grams on one bit cancel out, as they do in the sketch
         for b in (band, band - 1):
-            m = int(segments[b]) if b >= 0 else 0
+            m = int(pieces[b]) if b >= 0 and len(h) else 0
             if m:
-                seg = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascends with h
-                at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+                piece = ((h >> _HALF) * np.uint64(m)) >> _HALF  # ascends with h
+                at = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
                 xor = np.zeros(m, np.uint64)
-                xor[seg[at].astype(np.int64)] = np.bitwise_xor.reduceat(_mixed(h), at)
-                out.append(_mixed(_mixed(xor + np.uint64(b) * _STEP) + np.arange(m, dtype=np.uint64) * _M1))
+                xor[piece[at].astype(np.int64)] = np.bitwise_xor.reduceat(bits, at)
+                used = np.flatnonzero(xor)
+                if len(used) <= allowed[b]:
+                    used = np.arange(m)
+                out.append(_mixed(_mixed(xor[used] + np.uint64(b) * _STEP) + used.astype(np.uint64) * _M1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity of the n-grams that fall on each bit. There are at least two bits per n-gram (a power of two, LEAST_BITS at least), so that long
-    sets don't saturate theirs."""
-    bits = max(LEAST_BITS, 1 << (2 * len(h) - 1).bit_length())
+    """The parity sketch folded to four bits per n-gram or more (a power of two, LEAST_BITS at least): few differences fall on one bit."""
+    bits = max(LEAST_BITS, 1 << (4 * len(h) - 1).bit_length())
     counts = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -117,49 +188,46 @@ def folded(raw: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
 
 
-def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, and its sketch (null without n-grams)."""
-
-    def make(x):
-        sizes, one, two, bits = [], [], [], []
-        for t in x["text"].to_pylist():
-            h = hashes(t, n)
-            with np.errstate(over="ignore"):
-                one.append(int(h.sum(dtype=np.uint64).astype(np.int64)) if len(h) else None)
-                two.append(int(_mixed(h + _STEP).sum(dtype=np.uint64).astype(np.int64)) if len(h) else None)
-            sizes.append(len(h))
-            bits.append(sketch(h) if len(h) else None)
-        return {"doc_id": x["doc_id"], "n_shingles": sizes, "s1": one, "s2": two, "sketch": bits}
+def profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, th (a hash of the text), n_shingles, two hashes of the set, its sketch, and its keys where the task sees the set for the first time
+    (nulls without n-grams or id)."""
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary")
-
-
-def shared_buckets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(key, doc_id) of buckets with two documents or more. A task emits equal sets once: the rest of a group of copies is known by
-    its hashes. One shuffle of the keys; sorted runs are read as a stream."""
-
-    def emit(batches):
-        seen: set[tuple[int, bytes]] = set()
+    def make(batches):
+        seen: set[tuple[int, int, int]] = set()
         for x in batches:
-            ids, out, who = x["doc_id"].to_pylist(), [], []
-            for key, t in zip(ids, x["text"].to_pylist(), strict=True):
-                h = hashes(t, n)
-                with np.errstate(over="ignore"):
-                    mark = (len(h), h.sum(dtype=np.uint64).tobytes() + _mixed(h + _STEP).sum(dtype=np.uint64).tobytes()) if len(h) else None
-                if key is None or mark is None or mark in seen:
+            sizes, one, two, bits, found = [], [], [], [], []
+            for key, h in zip(x["doc_id"].to_pylist(), hashes_of(x["text"].to_pylist(), n), strict=True):
+                sizes.append(len(h))
+                if key is None or not len(h):
+                    for c in (one, two, bits, found):
+                        c.append(None)
                     continue
+                with np.errstate(over="ignore"):
+                    mark = (int(h.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(h + _STEP).sum(dtype=np.uint64).astype(np.int64)), len(h))
+                one.append(mark[0])
+                two.append(mark[1])
+                bits.append(sketch(h))
+                found.append(None if mark in seen else keys(h, num, den).view(np.int64))
                 seen.add(mark)
-                k = keys(h, num, den)
-                out.append(k.view(np.int64))
-                who.append(np.full(len(k), key, np.int64))
-            yield {"key": np.concatenate(out) if out else [], "doc_id": np.concatenate(who) if who else []}
+            yield {"doc_id": x["doc_id"], "th": x["th"], "n_shingles": sizes, "s1": one, "s2": two, "sketch": bits, "keys": found}
+
+    make.whole = True
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return map_arrow(rows, make, "doc_id long, th long, n_shingles long, s1 long, s2 long, sketch binary, keys array<long>")
 
-    emit.whole = True
+
+def shared_buckets(base: DataFrame) -> DataFrame:
+    """(key, s1) of buckets with two sets or more: one shuffle of the keys; sorted runs are read as a stream."""
 
     def runs(batches):
         last, held, open_run = None, None, False  # the last row so far, whether its run has been emitted
         for x in batches:
-            k, d = x["key"].to_numpy(), x["doc_id"].to_numpy()
+            k, d = x["key"].to_numpy(), x["s1"].to_numpy()
+            new = np.ones(len(k), bool)  # copies that several tasks have seen count once
+            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+            if len(k):
+                new[0] = last is None or k[0] != last or d[0] != held
+            k, d = k[new], d[new]
             if not len(k):
                 continue
             same = np.concatenate(([last is not None and k[0] == last], k[1:] == k[:-1]))
@@ -170,11 +238,11 @@ def shared_buckets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 out_k, out_d = np.concatenate(([last], out_k)), np.concatenate(([held], out_d))
             open_run = bool(same[-1])
             last, held = k[-1], d[-1]
-            yield {"key": out_k, "doc_id": out_d}
+            yield {"key": out_k, "s1": out_d}
 
     runs.whole = True
-    rows = map_arrow(docs.select("doc_id", "text"), emit, "key long, doc_id long")
-    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), runs, "key long, doc_id long")
+    rows = base.filter("keys is not null").select(F.explode("keys").alias("key"), "s1")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key", "s1"), runs, "key long, s1 long")
 
 
 def grams(text: str | None, n: int) -> set:
@@ -183,7 +251,7 @@ def grams(text: str | None, n: int) -> set:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose texts are similar enough."""
+    """Links (a, b) between the representatives' ids, of pairs (ra, ha, rb, hb: ids and text hashes) whose texts are similar enough."""
 
     def make(x):
         last, mine, ok = None, None, []
@@ -196,20 +264,26 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
         import pyarrow as pa
 
         mask = pa.array(ok, pa.bool_())
-        return {"a": x["a"].filter(mask), "b": x["b"].filter(mask)}
+        return {"a": x["ra"].filter(mask), "b": x["rb"].filter(mask)}
 
     pairs = stored(pairs, "pairs")
-    texts = likely(docs.select("doc_id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    # both joins read the same exchange of texts
-    rows = pairs.select(F.col("b").alias("doc_id"), "a").join(texts, "doc_id").select(F.col("a").alias("doc_id"), F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    rows = rows.join(texts, "doc_id").select(F.col("doc_id").alias("a"), "b", F.col("text").alias("ta"), "tb")
-    return map_arrow(rows, make, "a long, b long").distinct()
-
-
-def likely(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """rows whose doc_id may be among the wanted ones: a filter of a fixed number of bits (bits / 8 bytes), so that the join that
-    follows shuffles little else."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    total = pairs.count()
+    wanted = pairs.select(F.inline(F.array(F.struct(F.col("ra").alias("doc_id"), F.col("ha").alias("th")), F.struct(F.col("rb").alias("doc_id"), F.col("hb").alias("th")))))
+    texts = likely(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), wanted, 2 * total)
+    texts = stored(texts.groupBy("doc_id", "th").agg(F.first("text").alias("text")), "texts")
+    rows = pairs
+    for side in "ba":
+        # a hot leader's text is at most about HOT_SHARE times as long as an average one: that many documents are of about its size
+        on = [f"r{side}", f"h{side}"]
+        rows = spread_join(rows, texts.toDF(*on, f"t{side}"), on, pairs.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), total)
+    return map_arrow(rows.select("ra", "rb", "ta", "tb"), make, "a long, b long").distinct()
+
+
+def likely(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """rows whose (doc_id, th) may be among the wanted ones, by a filter of a bounded number of bits, so that the join that follows
+    shuffles little else."""
+    bits = min(FILTER_BITS, 1 << max(15, (FILTER_PER_ROW * n_wanted).bit_length()))
+    h = F.pmod(F.xxhash64("doc_id", "th"), F.lit(bits))
     maps = wanted.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     place = F.bitmap_bit_position(h)
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -218,24 +292,27 @@ def likely(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataF
     return found.withColumns({"byte__": byte, "place__": (place % 8).cast("int")}).filter(hit).select(*rows.columns)
 
 
-def close_enough(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches don't exclude."""
-    def side(c: str) -> DataFrame:
-        return nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+def close_enough(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of sets, those that sizes and sketches don't exclude, with the representatives."""
 
     def make(x):
         import pyarrow as pa
 
         size = (x["na"].to_numpy() + x["nb"].to_numpy()) * (den - num) // (den + num)
         far = []
-        for p, q in zip(x["sa"].to_pylist(), x["sb"].to_pylist(), strict=True):
+        for p, q in zip(x["ka"].to_pylist(), x["kb"].to_pylist(), strict=True):
             least = min(len(p), len(q))
             far.append(int(np.bitwise_count(folded(p, least) ^ folded(q, least)).sum()))
         mask = pa.array(np.array(far, np.int64) <= size)
-        return {"a": x["a"].filter(mask), "b": x["b"].filter(mask)}
+        return {c: x[c].filter(mask) for c in ("ra", "ha", "rb", "hb")}
 
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    return map_arrow(rows.select("a", "b", "na", "nb", "sa", "sb"), make, "a long, b long")
+    total = pairs.count()
+    rows = pairs
+    for side in "ba":
+        facts = sets.select("set_no", "n_shingles", "sketch", "rep", "th").toDF(side, f"n{side}", f"k{side}", f"r{side}", f"h{side}")
+        rows = spread_join(rows, facts, [side], pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), total)
+    rows = rows.filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    return map_arrow(rows.select("na", "nb", "ka", "kb", "ra", "ha", "rb", "hb"), make, "ra long, ha long, rb long, hb long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,28 +321,42 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = large.unionByName(both.filter("v < u").join(least, "u").select("u", F.col("m").alias("v"))).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        after = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(after, "links")
-        # done when every root has no smaller neighbour: each u has one v, and no v is a u
-        open_ends = after.groupBy("u").count().filter("count > 1").select("u").unionByName(after.join(after.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").select("u")).limit(1)
-        if open_ends.isEmpty():
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = spread_join(both, least.select("u", "m"), ["u"], least, 2 * now.count())
+        large = large.select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).filter("u <> v")
+        # after the large star a node has few neighbours below it: no window is hot
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        after = small.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).filter("u <> v")
+        after = stored(after.distinct(), "links")
+        # done when each node has one link downwards, and none that has one is the lower end of another
+        ends = after.select(F.inline(F.array(F.struct("u", F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up")))))
+        ends = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if ends.filter("down > 1 or down = 1 and up = 1").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         now = after
 
 
-def compared_in_full(rows: DataFrame, nodes: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of different components within buckets (key, rep, root) that sizes and sketches don't exclude."""
+def compared_in_full(rows: DataFrame, sets: DataFrame, num: int, den: int, every: bool, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of sets of different components within buckets (key, set_no, root, n: members) that sizes and sketches don't exclude: every
+    one, or for each pair of blocks only so many as join its components."""
 
     def make(batches):
         def pairs(group):
             ids, roots, blocks, sizes, raw = (np.concatenate(c) for c in zip(*group, strict=True))
-            least = min(map(len, raw))
+            least, up = min(map(len, raw)), {}
+
+            def joined(x, y):
+                x, y = (top(z) for z in (x, y))
+                up[max(x, y)] = min(x, y)
+                return x != y
+
+            def top(x):
+                while up.get(x, x) != x:
+                    x = up[x]
+                return x
+
             bits = np.stack([folded(x, least) for x in raw])
-            rows_ = max(1, (1 << 24) // (least * len(ids)))  # at most about 16 MB at a time
+            rows_ = max(1, (1 << 22) // (least * len(ids)))  # at most about 4 MB at a time
             for i in range(0, len(ids), rows_):
                 j = slice(i, i + rows_)
                 far = np.bitwise_count(bits[j, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
@@ -274,12 +365,16 @@ def compared_in_full(rows: DataFrame, nodes: DataFrame, num: int, den: int, bloc
                 if len(set(blocks.tolist())) > 1:
                     hit &= blocks[j, None] != blocks[None]  # pairs within a block have a group of their own
                 p, q = np.nonzero(hit)
+                if not every and len(p):
+                    _, first = np.unique(np.stack([roots[j][p], roots[q]]), axis=1, return_index=True)
+                    first = np.array([k for k in first.tolist() if joined(roots[j][p[k]], roots[q[k]])], np.int64)
+                    p, q = p[first], q[first]
                 yield ids[j][p], ids[q]
 
         at, group = None, []
         for x in batches:
             marks = list(zip(*(x[c].to_pylist() for c in ("key", "i", "j")), strict=True))
-            columns = [x[c].to_numpy() for c in ("rep", "root", "r", "n_shingles")] + [np.array([*x["sketch"].to_pylist(), None], object)[:-1]]
+            columns = [x[c].to_numpy() for c in ("set_no", "root", "r", "n_shingles")] + [np.array([*x["sketch"].to_pylist(), None], object)[:-1]]
             edge = [i for i in range(len(marks)) if i == 0 or marks[i] != marks[i - 1]] + [len(marks)]
             a, b = [], []
             for s, e in zip(edge, edge[1:], strict=False):
@@ -293,39 +388,61 @@ def compared_in_full(rows: DataFrame, nodes: DataFrame, num: int, den: int, bloc
             yield {"a": p, "b": q}
 
     make.whole = True
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "key").withColumn("r", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "rep", "root", "r")
-    full = dealt.join(nodes.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "rep")
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("r", F.pmod(F.xxhash64("set_no"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "set_no", "root", "r")
+    full = dealt.join(sets.select("set_no", "n_shingles", "sketch"), "set_no")
     return map_arrow(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), make, "a long, b long").distinct()
 
 
+def by_id(base: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of sets that share an id."""
+    place = F.struct(*SET)
+    several = stored(base.groupBy("doc_id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo < hi").select("doc_id"), "shared-ids")
+    if several.isEmpty():
+        return sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    ids = base.select("doc_id", *SET).join(several, "doc_id", "left_semi").distinct()
+    ids = stored(ids.join(sets.select(*SET, "rep"), SET).select("doc_id", F.col("rep").alias("b")), "sets-of-ids")
+    first = ids.groupBy("doc_id").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n"))
+    return spread_join(ids, first.select("doc_id", "a"), ["doc_id"], first, ids.count()).filter("a < b").select("a", "b")
+
+
 def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    base = stored(profiles(docs, n), "profiles")
-    reps = base.filter("doc_id is not null and s1 is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    known = stored(base.select("doc_id", "s1", "s2", "n_shingles").join(reps, ["s1", "s2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "copies")
-    nodes = base.filter("sketch is not null").dropDuplicates(["doc_id"])
-    buckets = stored(shared_buckets(docs, n, num, den), "buckets")
-    # in terms of one document per set
-    members = stored(buckets.join(known.select("doc_id", "rep"), "doc_id").select("key", "rep").distinct(), "members")
-    lead = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("top"), F.bit_xor(F.xxhash64("rep")).alias("bag"), F.count(F.lit(1)).alias("size")).filter("lead < top")
-    lead = stored(lead.groupBy("lead", "top", "bag", "size").agg(F.min("key").alias("key")), "leaders")  # buckets with the same members count once
-    # each document is compared with one first document only (the smallest of its buckets); what that leaves apart comes below
-    tested = stored(members.join(lead.select("key", "lead"), "key").filter("rep <> lead").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"), "tested")
-    # rows that share an id but not a set are linked by it
-    by_id = known.filter("other > rep").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    links = stored(verified(close_enough(tested, nodes, num, den), docs, n, num, den).unionByName(by_id), "verified")
+    base = stored(profiles(docs, n, num, den), "profiles")
+    known = base.filter("s1 is not null")
+    sets = known.groupBy(*SET).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    # numbered once, as it is written; what follows reads these numbers
+    sets = stored(sets.select(F.monotonically_increasing_id().alias("set_no"), *SET, F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), "copies", "sketch"), "sets")
+    members = stored(shared_buckets(base).join(sets.select("s1", "set_no"), "s1").select("key", "set_no"), "members")
+    place = F.struct((-F.col("degree")).alias("c"), F.col("set_no").alias("a"))
+    ranked = members.join(members.groupBy("set_no").agg(F.count(F.lit(1)).alias("degree")), "set_no").select("key", "set_no", place.alias("place"))
+    lead = ranked.groupBy("key").agg(F.min("place").alias("lead"), F.min("set_no").alias("low"), F.max("set_no").alias("top"), F.bit_xor(F.xxhash64("set_no")).alias("bag"), F.count(F.lit(1)).alias("n")).filter("low < top")
+    lead = stored(lead.groupBy("lead", "low", "top", "bag", "n").agg(F.min("key").alias("key")), "leaders")  # buckets with the same members count once
+    led = stored(spread_join(members, lead.select("key", "lead"), ["key"], lead, members.count()), "led")
+    # each set is compared with one leader only; what that leaves apart comes below
+    tested = led.filter("set_no <> lead.a").groupBy(F.col("set_no").alias("b")).agg(F.min("lead").alias("lead"))
+    tested = stored(tested.select(F.least("b", "lead.a").alias("a"), F.greatest("b", "lead.a").alias("b")).distinct(), "tested")
+    links = stored(verified(close_enough(tested, sets, num, den), docs, n, num, den).unionByName(by_id(known, sets)), "verified")
     roots = stored(components(links), "roots")
-    # what is still apart in a shared bucket
-    apart = members.join(lead.select("key"), "key").join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    several = apart.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("key")
-    more = compared_in_full(apart.join(several, "key"), nodes, num, den).join(tested, ["a", "b"], "left_anti")
-    further = stored(verified(more, docs, n, num, den), "further")
-    if not further.isEmpty():
-        roots = stored(components(links.unionByName(further)), "roots")
-    out = base.select("doc_id", "n_shingles").join(known.select("doc_id", "rep"), "doc_id", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    for every in (False, True):
+        # what is still apart in a shared bucket
+        nodes = sets.select("set_no", F.col("rep").alias("node")).join(roots, "node", "left").select("set_no", F.coalesce("root", "node").alias("root"))
+        apart = stored(led.select("key", "set_no").join(nodes, "set_no"), "apart")
+        several = stored(apart.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count(F.lit(1)).alias("n")).filter("p < q").select("key", "n"), "several")
+        if several.isEmpty():
+            break
+        more = stored(compared_in_full(spread_join(apart, several, ["key"], several, apart.count()), sets, num, den, every).join(tested, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            continue
+        further = stored(verified(close_enough(more, sets, num, den), docs, n, num, den), "further")
+        if not further.isEmpty():
+            links, tested = links.unionByName(further), tested.unionByName(more)
+            roots = stored(components(links), "roots")
+    # by set, not by row: then one join of the rows, in which copies may be hot
+    found = sets.select(*SET, F.col("rep").alias("node")).join(roots, "node", "left").select(*SET, F.coalesce("root", "node").alias("component_id"))
+    rows = base.select("doc_id", *SET)
+    out = spread_join(rows.filter("s1 is not null"), found, SET, sets.select(*SET, F.col("copies").alias("n")), rows.count()).select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.filter("s1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,93 @@ def test_join_finds_every_link(spark, n, num, den):
     assert all(r["n_shingles"] == len(ngram_join.grams(dict(rows)[r["doc_id"]], n)) for r in out)
 
 
+def test_links_of_ids_with_several_texts(spark):
+    """Rows that share an id are one document with all their sets, however many."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a), (5, a), (5, b), (9, b.replace("b59", "x")), (20, a + " y"), (20, c), (20, d), (30, d + " z"), (31, c), (40, "alone in the world")]
+    out = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)).collect()}
+    assert out == {1: 1, 5: 1, 9: 1, 20: 1, 30: 1, 31: 1, 40: 40}
+
+
+@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100)])
+def test_similar_sets_share_a_key(n, num, den):
+    """Recall of the pigeonhole join is 1: sets as far apart as the threshold allows, of all sizes, also with empty pieces."""
+    rng = np.random.default_rng(n)
+    starts, allowed, pieces = ngram_join.bands(num, den)
+    used_all = 0
+    for size in [*range(2, 60), *rng.integers(60, 2500, 250).tolist()]:
+        for _ in range(12 if size < 60 else 1):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+            out = int(len(a) * (den - num) // den * rng.random() + 0.5)
+            more = int(((len(a) - out) * den - num * len(a)) // num * rng.random() + 0.5)
+            b = np.union1d(rng.permutation(a)[out:], rng.integers(0, 2**63, more, dtype=np.int64).astype(np.uint64)) if out or more else a
+            both = len(np.intersect1d(a, b))
+            if den * both >= num * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+                ka, kb = ngram_join.keys(a, num, den), ngram_join.keys(b, num, den)
+                assert len(np.intersect1d(ka, kb)), (len(a), len(b), both)
+            band = int(np.searchsorted(starts, len(a), "right")) - 1
+            used_all += len(ngram_join.keys(a, num, den)) > 0 and allowed[band] > 0 and len(np.unique(((a >> np.uint64(32)) * np.uint64(pieces[band])) >> np.uint64(32))) <= allowed[band]
+    assert used_all <= 10  # sets whose empty pieces are keys are rare
+
+
+def test_unlike_sets_meet_in_no_bucket():
+    rng = np.random.default_rng(8)
+    for size in (100, 400):
+        for num in (80, 90):
+            k = [ngram_join.keys(np.unique(rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64) * np.uint64(2)), num, 100) for _ in range(300)]
+            values, counts = np.unique(np.concatenate(k), return_counts=True)
+            assert counts.max() == 1
+
+
+def test_recall_of_the_join_is_one(spark):
+    """2,500 texts of mixed sizes, with copies, near copies at both thresholds and shared passages, against brute force."""
+    rng = np.random.default_rng(11)
+    passage, rows = " ".join(f"p{i}" for i in range(60)), []
+    for k in range(500):
+        w = [f"w{x}" for x in rng.integers(0, 3000, int(rng.choice([3, 8, 15, 30, 60, 150])))]
+        for _ in range(5):
+            v = list(w)
+            for _ in range(int(rng.integers(0, max(2, len(w) // 25)))):
+                v[int(rng.integers(0, len(v)))] = f"x{rng.integers(0, 9999)}"
+            rows.append((len(rows), " ".join(v) + (" " + passage if k % 7 == 0 else "")))
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA).repartition(7)
+    for n, num in ((3, 90), (5, 80)):
+        sets = {i: ngram_join.grams(t, n) for i, t in rows}
+        index, root = {}, {i: i for i in sets}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, s in sets.items():
+            for g in s:
+                index.setdefault(g, []).append(i)
+        links = 0
+        for i, s in sets.items():
+            common = {}
+            for g in s:
+                for j in index[g]:
+                    if j < i:
+                        common[j] = common.get(j, 0) + 1
+            for j, both in common.items():
+                if 100 * both >= num * (len(s) + len(sets[j]) - both):
+                    links += 1
+                    x, y = find(i), find(j)
+                    root[max(x, y)] = min(x, y)
+        assert links > 1000
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.linked(d, n, num, 100).collect()} == {i: find(i) for i in sets}
+
+
+def test_hashes_of_batches_and_long_texts():
+    rng = np.random.default_rng(4)
+    texts = [None, "", " \n", "One two", LONG * 3, "z" * 300_000 + " a b c", "y" * 262_144 + " a", "x y " + "z" * 600_000 + " a b " + "z" * 600_000, "Ä Ö a\x0bb\x0cc"] + [" ".join(f"w{x}" for x in rng.integers(0, 50, int(k))) for k in rng.integers(1, 400, 300)]
+    for n in (1, 3, 5):
+        together = ngram_join.hashes_of(texts, n)
+        assert all((x == ngram_join.hashes(t, n)).all() for x, t in zip(together, texts))
+        assert [len(x) for x in together] == [len(ngram_join.grams(t, n)) for t in texts]
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(5)
     for size in (3, 50, 3000):
@@ -213,9 +300,34 @@ def test_cuts_are_the_cheapest():
         assert cost(packing.best_cuts(where, pen, window)) == best
 
 
+def test_settled_cuts_are_those_of_the_whole_stream():
+    """Cuts that are settled while the stream runs cost no more than cuts chosen at its end, and little stays open."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        where = np.unique(rng.integers(1, 4000, 600))
+        pen, window = rng.integers(0, 5, len(where)), max(60, int(np.diff(where, prepend=0).max()))
+        at = {int(p): int(x) for p, x in zip(where, pen)}
+        cost = lambda cuts: sum(window - (q - p) + at[q] for p, q in zip([0, *cuts], cuts))  # noqa: E731,B023
+        whole, parts = packing.best_cuts(where, pen, window, len(where)), packing.best_cuts(where, pen, window, 25)
+        assert cost(whole) == cost(parts) and max(q - p for p, q in zip([0, *parts], parts)) <= window
+    cutter, at, most = packing.Cutter(60), 0, 0
+    for _ in range(200):
+        steps = rng.integers(1, 20, 50)
+        cutter.add((at + np.cumsum(steps)).tolist(), rng.integers(0, 5, 50).tolist())
+        at += int(steps.sum())
+        cutter.settled()
+        most = max(most, len(cutter))
+    assert most < 1000
+
+
+def test_words_leave_a_full_cache():
+    known = packing.Known(str.encode, 3)
+    assert [known[w] for w in "abcabdeafghia"] == [w.encode() for w in "abcabdeafghia"] and len(known) <= 3 and len(known.old) <= 3
+
+
 def test_encoder_equals_the_tokenizer():
     e = packing.Encoder(packing.default_tokenizer())
-    texts = ["don't stop <|endoftext|> it's", "ÀÉ x²y _a1b2 ...!!", "ΑΣ Σ", "é test", "a\x1cb\xa0c d", "İx", "1234 5,6 a.b_c", "日本語 テスト", "", LONG[:3000]]
+    texts = ["don't stop <|endoftext|> it's", "ÀÉ x²y _a1b2 ...!!", "ΑΣ Σ", "é test", "a\x1cb\xa0c d", "İx", "1234 5,6 a.b_c", "!_! __! a__b½ ½_x 12_3 x\u0301y", "日本語 テスト", "", LONG[:3000]]
     for t, ids in zip(texts, e.encode(texts)):
         assert ids.tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID]
 
