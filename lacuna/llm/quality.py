@@ -34,7 +34,7 @@ SUM_TERMS = 2000
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE_CLASS), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE_CLASS), "")
 
 
 def _covered(hashes: Column) -> Column:
@@ -54,30 +54,41 @@ def _covered(hashes: Column) -> Column:
 
 
 def _windows(words: Column) -> Column:
-    return F.when(F.size(words) >= 5, F.transform(
-        F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(5)))
-    )).otherwise(F.array().cast("array<bigint>"))
+    """A hash of each five words in a row (two windows count as equal when their 64-bit hashes are): hashes of words are joined to pairs, these to
+    fours, and a fifth added, array by array, so that no element is looked up by its place."""
+    def joined(left: Column, right: Column, step: int) -> Column:
+        n = F.size(right) - step
+        return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1 + step), n), lambda x, y: F.xxhash64(x, y))
 
+    def fives(h: Column) -> Column:
+        return let(joined(h, h, 1), lambda twos: let(joined(twos, twos, 2), lambda fours: joined(fours, h, 4)))
 
-def _without(text: Column, chars: str) -> Column:
-    return F.octet_length(text) - F.octet_length(F.translate(text, chars, ""))
+    return F.when(F.size(words) >= 5, let(F.transform(words, lambda x: F.xxhash64(x)), fives)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Bytes that one-byte characters of a class take: nothing is built per character."""
+    return F.octet_length(text) - F.octet_length(F.regexp_replace(text, pattern, ""))
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' doc_id and lang with the counts of every whole text."""
     t = text_or_empty(text)
     rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), t.alias("t"), words_of(t).alias("w"))
-    lines = F.filter(F.split(F.col("t"), "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(F.col("t"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    n, w = F.size("w"), F.col("w")
+    # each word beside the one before it
+    adjacent = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda x, y: x == y)
     return rows.select(
         "doc_id", "lang",
-        F.size("w").cast("long").alias("n_words"),
-        F.char_length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
-        _without(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
+        n.cast("long").alias("n_words"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        _matches(F.col("t"), f"[{SYMBOLS}]+").cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(_windows(F.col("w")), _covered).cast("long").alias("n_repeat_words"),
-        _without(F.col("t"), "!").cast("long").alias("n_bangs"),
-        _without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
-        F.size(F.filter(F.col("w"), lambda x, i: (i > 0) & (x == F.get(F.col("w"), i - 1)))).cast("long").alias("n_adjacent"),
+        let(_windows(w), _covered).cast("long").alias("n_repeat_words"),
+        _matches(F.col("t"), "!+").cast("long").alias("n_bangs"),
+        _matches(F.col("t"), "[A-Z]+").cast("long").alias("n_capitals"),
+        F.when(n > 1, F.size(F.array_remove(adjacent, False))).otherwise(0).cast("long").alias("n_adjacent"),
     )
 
 
