@@ -106,7 +106,10 @@ def digested(turns: DataFrame) -> DataFrame:
                     if state:
                         done.append(row())
                     at, state = key, [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(segment) or []:
+                turns = parse(segment)
+                if turns is None:
+                    raise ValueError(f"a turn of conversation {key} can't be read back")
+                for role, text in turns:
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 if start is not None:

@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_bucket, kept_ddl, map_arrow
@@ -87,7 +87,7 @@ def bundle(text: str | None) -> np.ndarray:
 
 
 def learned(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their prototypes, of length 1. Only sums of vectors reach the driver: one per language and task."""
+    """Languages, sorted, and their prototypes, of length 1. Only the sums reach the driver: DIMENSIONS numbers per language."""
     rows = docs.filter("lang is not null").select("doc_id", "text", "lang")
     seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not seen:
@@ -95,16 +95,20 @@ def learned(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.
     share = F.create_map(*(x for k, n in seen.items() for x in (F.lit(k), F.lit(min(1.0, max_train / n)))))
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
 
+    # a task adds up its own texts; the executors add up the tasks', place by place
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for part in parts:
             for lang, text in zip(part["lang"], part["text"], strict=True):
                 total[lang] = total.get(lang, 0) + bundle(text).astype(np.float64)
-        yield pd.DataFrame({"lang": list(total), "v": [x.tolist() for x in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "v": [x.tolist() for x in total.values()]})
 
+    parts = rows.select("lang", "text").mapInPandas(sums, "lang string, v array<double>")
+    total = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     got: dict[str, np.ndarray] = {}
-    for r in rows.select("lang", "text").mapInPandas(sums, "lang string, v array<double>").collect():
-        got[r["lang"]] = got.get(r["lang"], 0) + np.array(r["v"])
+    for r in total.collect():
+        got.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["i"]] = r["x"]
     names = sorted(got)
     matrix = np.array([got[k] for k in names], np.float32)
     return names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
@@ -133,6 +137,13 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: Sequen
     return map_arrow(rows, score, "doc_id long, held_out boolean, lang_pred string, score double" + kept_ddl(docs, keep))
 
 
+def least_cosine(n: Column) -> Column:
+    """The cosine below which a text of n characters is in none of the learned languages. A text of a language has a cosine of about
+    sqrt(n / (n + 400)) with its prototype, as few trigrams are an uneven sample of its profile; chance gives 1 / sqrt(DIMENSIONS). A third of the former, less twice
+    the latter, is a bound that rises smoothly with the length; where it is below zero nothing can be told."""
+    return F.sqrt(n / (n + 400)) / 3 - 2 / DIMENSIONS**0.5
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predicted(docs, learned(docs.filter(id_bucket("doc_id", 4) != 2)))

@@ -10,8 +10,8 @@ the sum L being smaller then; after that the others go on by their weights. No r
 2 x sources + 1 different periods, and all their slots together are no more than the blocks. A fold takes time in proportion to L times its sources.
 Every source has a weight, a release and a deadline of its own, however many there are. L is `period`, or more where the smallest weight would be below 1.
 
-Records are numbered within a source by buckets (a hash of the id) whose sizes are counted first: a source with a third of all rows
-is never sorted in one task.
+Records are numbered within a source by buckets (a hash of the id) whose sizes are counted first; there are so many that the largest source
+has about BUCKET_ROWS rows in each: a source with a third of all rows is never sorted in one task.
 
 Defined results: a null source is the source '' ; only if max_sources is given, sources beyond it (fewest rows, ties by name) share one entry, '*', with
 their summed weight; weights of 0 or less and missing weights count as the smallest step, 1; repeated rows keep places of their own; an empty table gives an
@@ -20,19 +20,22 @@ empty result; extra columns aren't read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-PERIOD, BUCKETS, TEMPERATURE, CHUNK = 1000, 256, 0.5, 256
+PERIOD, BUCKET_ROWS, TEMPERATURE, CHUNK = 1000, 20_000, 0.5, 256
 
 
-def numbered(docs: DataFrame, max_sources: int | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, h, named, bucket, nth in the bucket; offsets of the buckets of each name; sources: named, source, n). The rows keep a hash
-    of the text as the last tie-break."""
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("named"), F.xxhash64("text").alias("h"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int"))
+def numbered(docs: DataFrame, max_sources: int | None = None, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, h, named, bucket, nth in the bucket, and the columns to keep; offsets of the buckets of each name; sources: named, source, n).
+    The rows keep a hash of the text as the last tie-break."""
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("named"), F.xxhash64("text").alias("h"), *keep)
+    largest = rows.groupBy("named").count().agg(F.max("count")).first()[0] or 0
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 + largest // BUCKET_ROWS)).cast("int"))
     counts = stored(rows.groupBy("named", "bucket").count(), "mix-counts")
     if max_sources is None:
         counts = counts.withColumn("source", F.col("named"))
@@ -90,9 +93,10 @@ def schedule(runs: DataFrame) -> DataFrame:
         F.expr("(x.k * length) div who[x.i].w").alias("release"), F.ceil((F.col("x.k") + 1) * F.col("length") / me["w"]).cast("long").alias("deadline"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, period: int = PERIOD, block: int = 1, max_sources: int | None = None) -> DataFrame:
-    """doc_id, h, source, weight (in `length` slots), block_no, release, deadline and position (both of blocks, over the whole mix) of every record."""
-    records, offsets, sources = numbered(docs, max_sources)
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, period: int = PERIOD, block: int = 1, max_sources: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, h, source, weight (in `length` slots), block_no, release, deadline and position (of blocks, over the whole mix) of every record, and the columns
+    to keep."""
+    records, offsets, sources = numbered(docs, max_sources, keep)
     sources = stored(weighted(sources, weights, temperature, period), "mix-sources")
     runs = stored(periods(sources, block), "mix-runs")
     slots = stored(schedule(runs), "mix-slots")
@@ -103,7 +107,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     rows = rows.join(runs.select("p0", "base", "length", F.explode(F.sequence("p0", F.col("p1") - 1)).alias("period")), "period")
     out = rows.join(slots, ["source", "p0", "k"])
     start = F.col("base") + (F.col("period") - F.col("p0")) * F.col("length")
-    return out.select("doc_id", "h", F.col("named").alias("source"), F.col("source").alias("mixed_as"), F.col("w").alias("weight"), "length", "block_no", (start + F.col("release")).alias("release"), (start + F.col("deadline")).alias("deadline"), (start + F.col("at")).alias("position"))
+    return out.select("doc_id", "h", F.col("named").alias("source"), F.col("source").alias("mixed_as"), F.col("w").alias("weight"), "length", "block_no", (start + F.col("release")).alias("release"), (start + F.col("deadline")).alias("deadline"), (start + F.col("at")).alias("position"), *keep)
 
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,13 @@
 Linear classifiers over the distinct lower-cased words of a text and their beginnings (letters only) are trained with numpy from confirmed toxic
 examples (P) and unlabelled text (U). The risk is  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]);  when the second part
 falls below zero, the step goes against it (the non-negative correction). The prior is the share of toxic rows among labelled ones.
-Several classifiers see different halves of U; their logits are averaged.
+Several classifiers see different two thirds of U; their logits are averaged.
 
 Bounds (documented parameters): at most max_positive toxic and max_unlabelled other labelled texts are sampled by a hash of the
 id; of the latter only the text is used. Scoring reads every whole text.
 
 Defined results: null and empty texts, and texts without known words, get the score of the bias alone; null labels and labels
-without a document don't train; repeated label rows count once; without any toxic example all scores are 0; equal texts get equal scores.
+without a document don't train; repeated label rows count once; without any toxic example all scores are next to 0 (the sigmoid of -30); equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -85,17 +85,17 @@ def fitted(pos: list[list[int]], unl: list[list[int]], names: list[str], prior:
     n = len(names)
     (pi, pr), total_w, total_b = packed(pos), np.zeros(n), 0.0
     for model in range(models):
-        half = [r for i, r in enumerate(unl) if models == 1 or i % models != model] or unl
-        ui, ur = packed(half)
+        part = [r for i, r in enumerate(unl) if models == 1 or i % models != model] or unl
+        ui, ur = packed(part)
         w, b, lr = np.zeros(n), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0, 0.05
         m, v = np.zeros(n + 1), np.zeros(n + 1)
         for step in range(1, steps + 1):
             gp = np.bincount(pr, w[pi], len(pos)) + b
-            gu = np.bincount(ur, w[ui], len(half)) + b
+            gu = np.bincount(ur, w[ui], len(part)) + b
             sp, su = _sigmoid(gp), _sigmoid(gu)
             # logistic loss: l(+) = log(1 + e^-g), l(-) = log(1 + e^g)
             negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            dp_plus, dp_minus, du = prior * (sp - 1) / len(pos), prior * sp / len(pos), su / max(1, len(half))
+            dp_plus, dp_minus, du = prior * (sp - 1) / len(pos), prior * sp / len(pos), su / max(1, len(part))
             on_p, on_u = (dp_plus - dp_minus, du) if negative >= 0 else (dp_minus, -du)
             grad = np.append(np.bincount(pi, on_p[pr], n) + np.bincount(ui, on_u[ur], n) + 1e-4 * w, on_p.sum() + on_u.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
