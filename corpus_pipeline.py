@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import language, mixing, ngram_join, packing, toxicity
 from lacuna.llm.common import shared_dir, ship, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text of so many letters and blanks whose cosine with every language is below MIN_COSINE is rejected like one without letters.
-LONG_TEXT, MIN_COSINE = 200, 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are in a language: those with letters, and if long, like one of the learned languages."""
+    """Keeps documents that are in a language: those with letters whose cosine with a learned language isn't too low for their length."""
     ship(spark)
     rows = language.predicted(docs, language.learned(docs), keep=COLUMNS[1:])
-    return rows.filter((F.col("lang_pred") != "und") & ((F.char_length("text") < LONG_TEXT) | (F.col("score") >= MIN_COSINE))).select(COLUMNS)
+    return rows.filter((F.col("lang_pred") != "und") & (F.col("score") >= language.least_cosine(F.char_length("text")))).select(COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,20 +65,13 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order of the mix: sources' shares go by the square root of their sizes."""
-    placed = mixing.mixed(docs).select("doc_id", "h", "position")
-    rows = _joined(docs, placed)
-    return rows.select(COLUMNS)
-
-
-def _joined(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """docs in the order of their positions; rows that are equal in id and text trade places freely."""
-    same = Window.partitionBy("doc_id", "h")
-    left = docs.withColumn("h", F.xxhash64("text")).withColumn("nth", F.row_number().over(same.orderBy("source", "lang", "n_chars")))
-    right = placed.withColumn("nth", F.row_number().over(same.orderBy("position")))
-    right = right.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("nth").alias("m"), "position")
-    rows = left.join(right, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (F.col("nth") == F.col("m")))
-    return rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "position").sortWithinPartitions("position")
+    """All documents, stored in the order of the mix: sources' shares go by the square root of their sizes. A row is known by its file and its
+    place there, so that repeated rows and rows without an id need no numbers of their own; texts are shuffled to their position and then by it."""
+    row = ["file_name", "row_index"]
+    docs = docs.select(*COLUMNS, *(F.col(f"_metadata.{c}").alias(c) for c in row))
+    rows = docs.join(mixing.mixed(docs, keep=row).select(*row, "position"), row)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, "position").sortWithinPartitions("position").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
