@@ -6,12 +6,14 @@ series and share one sort. Missing is NULL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BY, AT = "series", "i"
+#: Rows of a series that are sorted together.
+CHUNK = 1 << 16
 
 
 def ordered(by: str = BY, at: str = AT) -> WindowSpec:
@@ -27,18 +29,39 @@ def forward_fill(x: Column, limit: int | None = None) -> Column:
 
 
 def backward_fill(x: Column, limit: int | None = None) -> Column:
+    """The next value. Without a limit the window runs from the end, as Spark works out a frame up to the end anew for every row."""
+    if limit is None:
+        return F.last(x, ignorenulls=True).over(Window.partitionBy(BY).orderBy(F.desc(AT)).rowsBetween(Window.unboundedPreceding, 0))
     return F.first(x, ignorenulls=True).over(rows(0, limit))
 
 
 def both_fills(df: DataFrame, x: str, out: str, limit: int | None = None) -> DataFrame:
     """Forward, then backward over what is left; the second pass sees the first."""
+    if limit is None:
+        return neighbours(df, x).withColumn(out, F.coalesce("pv", "nv")).drop("pv", "pi", "nv", "ni")
     return df.withColumn(out, forward_fill(F.col(x), limit)).withColumn(out, backward_fill(F.col(out), limit))
 
 
-def neighbours(df: DataFrame, x: str) -> DataFrame:
-    """pv, pi, nv, ni: the nearest observed value and row before (or at) and after (or at) each row."""
-    seen = F.when(F.col(x).isNotNull(), F.col(AT))
-    return df.withColumns({"pv": forward_fill(F.col(x)), "pi": forward_fill(seen), "nv": backward_fill(F.col(x)), "ni": backward_fill(seen)})
+def neighbours(df: DataFrame, x: str, chunk: int = CHUNK) -> DataFrame:
+    """pv, pi, nv, ni: the nearest observed value and row before (or at) and after (or at) each row.
+
+    A series is cut into chunks of rows, which are sorted by themselves; each chunk's first and last observed values (a small table, one row per
+    chunk) are carried over the chunks of a series and joined back. So a series of any length is spread over tasks."""
+    place = F.floor(F.col(AT) / chunk).cast("long")
+    seen = F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("v"), F.col(AT).alias("at")))
+    cut = df.withColumns({"chunk__": place, "seen__": seen})
+    ends = cut.groupBy(BY, "chunk__").agg(F.max_by("seen__", F.when(F.col(x).isNotNull(), F.col(AT))).alias("last"), F.min_by("seen__", F.when(F.col(x).isNotNull(), F.col(AT))).alias("first"))
+    w = Window.partitionBy(BY).orderBy("chunk__")
+    back = Window.partitionBy(BY).orderBy(F.desc("chunk__"))
+    before = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(F.col(BY).alias("series__"), F.col("chunk__").alias("c__"), before.alias("before__"), after.alias("after__"))
+    inside = Window.partitionBy(BY, "chunk__")
+    up, down = (inside.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(AT), F.desc(AT)))
+    near = cut.withColumns({"p__": F.last("seen__", ignorenulls=True).over(up), "n__": F.last("seen__", ignorenulls=True).over(down)})
+    near = near.join(carried, F.col(BY).eqNullSafe(F.col("series__")) & (F.col("chunk__") == F.col("c__")), "left")
+    p, n = F.coalesce("p__", "before__"), F.coalesce("n__", "after__")
+    return near.withColumns({"pv": p["v"], "pi": p["at"], "nv": n["v"], "ni": n["at"]}).drop("chunk__", "seen__", "series__", "c__", "before__", "after__", "p__", "n__")
 
 
 def linear(df: DataFrame, x: str, out: str, limit: int | None = None, direction: str = "both") -> DataFrame:
@@ -175,20 +198,64 @@ def akima(df: DataFrame, x: str, out: str) -> DataFrame:
     return both.withColumn(out, F.when(F.col("n_seen") >= 5, F.col("cubic")).when(inside, F.col("straight")).otherwise(F.col(x))).drop("cubic", "straight", "n_seen")
 
 
+def in_order(df: DataFrame, columns: Sequence[str], schema: str, start: Callable[[], object], step: Callable) -> DataFrame:
+    """Each series read in order as a stream: step(state, rows, last) -> (state, rows of the result), with rows as a pandas frame of series, i and the columns
+    (one batch of one series; `last` marks the end). A task holds a batch and the state, however long a series is."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, waiting = None, None, None
+
+        def ended():
+            return step(state, waiting.iloc[:0], True)[1] if waiting is not None else waiting
+
+        for batch in batches:
+            # rows of a series stand together
+            for _, part in batch.groupby((batch["series"] != batch["series"].shift()).cumsum(), sort=False):
+                name = part["series"].iloc[0]
+                if waiting is None or name != at:
+                    if waiting is not None:
+                        yield ended()
+                    at, state = name, start()
+                waiting = part
+                state, out = step(state, part, False)
+                yield out
+        if waiting is not None:
+            yield ended()
+
+    rows_ = df.select(F.col(BY).cast("string").alias("series"), F.col(AT).cast("long").alias("i"), *columns)
+    return rows_.repartition("series").sortWithinPartitions("series", "i").mapInPandas(run, schema)
+
+
 def kalman(df: DataFrame, x: str, q: float = 1e-5, r: float = 1e-2) -> DataFrame:
-    """Random-walk filter per series (series, i, filtered): a fold over the series in order. One series is one array, so series should
-    be cut to a length that fits a row; see streaming for unbounded ones."""
-    rows_ = df.groupBy(BY).agg(F.sort_array(F.collect_list(F.struct(AT, x))).alias("a"))
-    start = F.aggregate("a", F.lit(None).cast("double"), lambda s, v: F.coalesce(s, v[x]))
-    zero = F.struct(start.alias("m"), F.lit(1.0).alias("p"), F.array().cast("array<struct<i:bigint,filtered:double>>").alias("o"))
-
-    def step(s: Column, v: Column) -> Column:
-        p = s["p"] + q
-        gain = p / (p + r)
-        m = F.when(v[x].isNull(), s["m"]).otherwise(s["m"] + gain * (v[x] - s["m"]))
-        return F.struct(m.alias("m"), F.when(v[x].isNull(), p).otherwise((1 - gain) * p).alias("p"), F.array_append(s["o"], F.struct(v[AT].cast("long").alias("i"), m.alias("filtered"))).alias("o"))
-
-    return rows_.select(BY, F.inline(F.aggregate("a", zero, step)["o"]))
+    """Random-walk filter per series (series, i, filtered): a series is read in order, its state is carried from batch to batch. Rows before the
+    first observed one stay null until it is known; they take its value."""
+    import numpy as np
+    import pandas as pd
+
+    def step(state, part, last):
+        m, p, early = state
+        names, at, y = list(part["series"]), part["i"].tolist(), part[x].astype(float).tolist()
+        if early and (last or any(v == v for v in y)):
+            # the filter starts from the first observed value, over the rows before it too
+            names, at, y = early[0] + names, early[1] + at, [float("nan")] * len(early[1]) + y
+            early = None
+        if m is None and not any(v == v for v in y) and not last:
+            old = early or ([], [])
+            return (m, p, (old[0] + names, old[1] + at)), pd.DataFrame({"series": [], "i": [], "filtered": []}).astype({"series": object, "i": "int64", "filtered": float})
+        if m is None:
+            m = next((v for v in y if v == v), float("nan"))
+        out = np.empty(len(y))
+        for k, v in enumerate(y):
+            p += q
+            if v == v:
+                gain = p / (p + r)
+                m += gain * (v - m)
+                p *= 1 - gain
+            out[k] = m
+        return (m, p, early), pd.DataFrame({"series": pd.Series(names, dtype=object), "i": pd.Series(at, dtype="int64"), "filtered": out})
+
+    return in_order(df, [x], "series string, i long, filtered double", lambda: (None, 1.0, None), step)
 
 
 def autocorrelation(df: DataFrame, x: str, max_lag: int = 24) -> DataFrame:

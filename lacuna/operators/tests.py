@@ -139,11 +139,11 @@ def corrected(df: DataFrame, p: str, order: list[str]) -> DataFrame:
     """Bonferroni, Holm and Benjamini-Hochberg for a family of p-values (one family: a small table)."""
     one = Window.partitionBy(F.lit(0))
     up, m = one.orderBy(p, *order), F.count(F.lit(1)).over(one)
-    k = F.row_number().over(up)
+    k, down = F.row_number().over(up), one.orderBy(F.desc("k_"))
     d = df.withColumns({"m_": m, "k_": k}).withColumns({"h_": (F.col("m_") - F.col("k_") + 1) * F.col(p), "b_": F.col("m_") / F.col("k_") * F.col(p)})
     return d.withColumns({
         "bonferroni": F.least(F.lit(1.0), F.col("m_") * F.col(p)), "holm": F.least(F.lit(1.0), F.max("h_").over(up.rowsBetween(Window.unboundedPreceding, 0))),
-        "bh": F.least(F.lit(1.0), F.min("b_").over(up.rowsBetween(0, Window.unboundedFollowing)))}).drop("m_", "k_", "h_", "b_")
+        "bh": F.least(F.lit(1.0), F.min("b_").over(down.rowsBetween(Window.unboundedPreceding, 0)))}).drop("m_", "k_", "h_", "b_")
 
 
 def little_mcar(df: DataFrame, columns: list[str]) -> tuple[float, int, float]:
