@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(sc, "_lacuna_dir", None) or tempfile.mkdtemp(prefix="lacuna-")
         sc._lacuna_dir = base
     if sc._jsc.sc().getCheckpointDir().isEmpty():
