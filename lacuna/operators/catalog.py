@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,11 +61,13 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("mixed")).select("n", F.sha2(F.concat_ws("|", "n", "total", "mixed"), 256).alias("hash"))
 
 
-def intact(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """(path, ok): whether each file's content still has the stored hash (path, hash)."""
-    listed = [r["path"] for r in paths.select("path").limit(10_000).collect()]
-    now = spark.read.format("binaryFile").load(listed).select(F.col("path").alias("p"), F.sha2("content", 256).alias("now"))
-    return paths.join(now, now["p"].endswith(paths["path"]), "left").select("path", (F.col("now") == F.col("hash")).alias("ok"))
+def intact(spark: SparkSession, root: str, known: DataFrame, name: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, ok): whether each file under root still has the content of its stored hash (known: path, hash); null where there is no such file. Files are
+    hashed by the executors and joined by path, relative to root unless `name` derives it from the full path."""
+    full = F.col("path")
+    path = name(full) if name else F.regexp_replace(full, "^.*" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+    now = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(path.alias("path"), F.sha2("content", 256).alias("now"))
+    return known.join(now, "path", "left").select("path", (F.col("now") == F.col("hash")).alias("ok"))
 
 
 def active_jobs(jobs: DataFrame, datasets: DataFrame, projects: DataFrame) -> DataFrame:

@@ -44,6 +44,39 @@ def nearest(queries: DataFrame, donors: DataFrame, columns: Sequence[str], k: in
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "donor"))).filter(F.col("rank") <= k).select("q", "donor", "d", "rank")
 
 
+def nearest_on_grid(queries: DataFrame, donors: DataFrame, k: int, x: str = "x", y: str = "y", strict: bool = False) -> DataFrame:
+    """(q, donor, d, rank): the k nearest donors in the plane, ties by donor. Points meet by an equi-join on grid cells and their neighbours; the answer holds
+    where the k-th distance is no more than a cell. Other queries go on with cells twice as wide, until a cell spans all donors. With `strict`
+    a donor of the query's own id doesn't count. Queries or donors without coordinates have no neighbours."""
+    from ..sources.files import kept
+
+    donors = donors.select("donor", F.col(x).alias("dx"), F.col(y).alias("dy")).filter("dx is not null and dy is not null")
+    left = queries.select("q", F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
+    box = donors.agg(F.count(F.lit(1)).alias("n"), F.min("dx").alias("x0"), F.max("dx").alias("x1"), F.min("dy").alias("y0"), F.max("dy").alias("y1")).first()
+    far = left.agg(F.max(F.greatest(F.abs(F.col("x") - (box["x0"] or 0.0)), F.abs(F.col("x") - (box["x1"] or 0.0)), F.abs(F.col("y") - (box["y0"] or 0.0)), F.abs(F.col("y") - (box["y1"] or 0.0)))).alias("far")).first()["far"] or 0.0
+    span = max(far, 1e-9)
+    cell = max(((box["x1"] or 0.0) - (box["x0"] or 0.0)) * ((box["y1"] or 0.0) - (box["y0"] or 0.0)) * (k + 1) / max(1, box["n"]), 1e-12) ** 0.5
+    out = None
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    while True:
+        last = cell >= span
+        a = left.withColumn("sx", F.explode(steps)).withColumn("sy", F.explode(steps)).withColumns({"gx": F.floor(F.col("x") / cell) + F.col("sx"), "gy": F.floor(F.col("y") / cell) + F.col("sy")})
+        b = donors.withColumns({"gx": F.floor(F.col("dx") / cell), "gy": F.floor(F.col("dy") / cell)})
+        d = a.join(b, ["gx", "gy"]).select("q", "donor", F.sqrt(F.pow(F.col("x") - F.col("dx"), F.lit(2)) + F.pow(F.col("y") - F.col("dy"), F.lit(2))).alias("d"))
+        d = d.filter("q <> donor") if strict else d
+        w = Window.partitionBy("q")
+        d = d.withColumn("rank", F.row_number().over(w.orderBy("d", "donor"))).filter(F.col("rank") <= k)
+        d = d.withColumn("sure", (F.count(F.lit(1)).over(w) == k) & (F.max("d").over(w) < cell))
+        found = kept((d if last else d.filter("sure")).select("q", "donor", "d", "rank"), "nearest")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out
+        left = kept(left.join(found.select("q").distinct(), "q", "left_anti"), "queries")
+        if left.isEmpty():
+            return out
+        cell *= 2
+
+
 def semivariogram(points: DataFrame, key: str, bins: int, x: str = "x", y: str = "y", v: str = "v", estimator: str = "matheron") -> DataFrame:
     """(bin, n, distance, gamma) over equal-width bins up to the largest distance (its own bin closes the last)."""
     p = pairs(points, key, [x, y, v])
@@ -181,4 +214,4 @@ def inverse_distance(edges: DataFrame, values: DataFrame) -> DataFrame:
     return n.groupBy(F.col("i").alias("k")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("estimate"))
 
 
-__all__ = ["delaunay", "distances", "fitted_variogram", "inverse_distance", "kriged", "moran", "nearest", "pairs", "semivariogram", "variogram", "within"]
+__all__ = ["delaunay", "distances", "fitted_variogram", "inverse_distance", "kriged", "moran", "nearest", "nearest_on_grid", "pairs", "semivariogram", "variogram", "within"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import judge_queries, series_queries, stats_queries, system_queries  # noqa: F401
+from . import judge_queries, report_queries, series_queries, stats_queries, system_queries  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -291,8 +291,7 @@ def joi_05_06_distances(spark, sf_dir):
 @register("joi_07_knn_graph", f"""WITH {ST}, d AS (SELECT a.k AS q, b.k AS donor, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM s a JOIN s b ON a.k <> b.k) SELECT q, donor, round(1 / (d + 1e-6), 4) AS weight FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, donor) <= 3""")
 def joi_07_knn_graph(spark, sf_dir):
     s = stations(spark, sf_dir)
-    n = P.nearest(s.withColumnRenamed("k", "q"), s.withColumnRenamed("k", "donor"), ["x", "y"], 4).filter("q <> donor")
-    n = n.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "donor"))).filter("r <= 3")
+    n = P.nearest_on_grid(s.withColumnRenamed("k", "q"), s.withColumnRenamed("k", "donor"), 3, strict=True)
     return n.select("q", "donor", F.round(1 / (F.col("d") + 1e-6), 4).alias("weight"))
 
 
@@ -310,7 +309,7 @@ def joi_09_delaunay(spark, sf_dir):
 j AS (SELECT k AS q, donor, sqrt(pow(a - da, 2) + pow(b - db, 2)) AS d FROM q, d) SELECT q, donor, round(d, 6) AS d, row_number() OVER (PARTITION BY q ORDER BY d, donor) AS rank FROM j QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, donor) <= 3""")
 def joi_11_12_donors(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 100).alias("b"))
-    return rounded(P.nearest(p.filter("k % 20 = 0").withColumnRenamed("k", "q"), p.withColumnRenamed("k", "donor"), ["a", "b"], 3))
+    return rounded(P.nearest_on_grid(p.filter("k % 20 = 0").withColumnRenamed("k", "q"), p.withColumnRenamed("k", "donor"), 3, "a", "b"))
 
 
 for _name, _gamma in (("matheron", "avg(m * m) / 2"), ("cressie", "pow(avg(sqrt(m)), 4) / (0.457 + 0.494 / count(*)) / 2"), ("genton", "pow(2.2191 * quantile_cont(m, 0.25), 2) / 2")):

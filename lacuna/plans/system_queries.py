@@ -125,12 +125,12 @@ for _name, _fill in (("imp_05_spline", K.spline), ("imp_06_polynomial", K.polyno
 
 @register("imp_13_forest")
 def imp_13_forest(spark, sf_dir):
-    return rounded(K.forest(variables(spark, sf_dir), "r", ["a", "b", "c"], rounds=1), 4)
+    return rounded(K.forest(variables(spark, sf_dir), "r", ["a", "b", "c"]), 4)
 
 
-@register("str_06_pipeline", f"""WITH {G}, {PREV}, f AS (SELECT series, i, {LIN} AS y FROM n), k AS (SELECT * FROM f WHERE i <= 500), m AS (SELECT min(y) AS lo, max(y) AS hi FROM k) SELECT series, i, round((y - lo) / (hi - lo), 6) AS y, y IS NULL AS has_missing FROM k, m""")
+@register("str_06_pipeline", f"""WITH {G}, {PREV}, f AS (SELECT series, i, {LIN} AS y FROM n), k AS (SELECT * FROM f WHERE y > 20), m AS (SELECT min(y) AS lo, max(y) AS hi FROM k) SELECT series, i, round((y - lo) / (hi - lo), 6) AS y, y IS NULL AS has_missing FROM k, m""")
 def str_06_pipeline(spark, sf_dir):
-    spec = '[{"op": "impute", "column": "x", "method": "linear", "out": "y"}, {"op": "filter", "condition": "i <= 500"}, {"op": "transform", "columns": {"y": "normalize"}}, {"op": "validate", "columns": ["y"]}, {"op": "select", "columns": ["series", "i", "y", "has_missing"]}]'
+    spec = '[{"op": "impute", "column": "x", "method": "linear", "out": "y"}, {"op": "filter", "condition": "y > 20"}, {"op": "transform", "columns": {"y": "normalize"}}, {"op": "validate", "columns": ["y"]}, {"op": "select", "columns": ["series", "i", "y", "has_missing"]}]'
     return rounded(R.run_pipeline(sensors(spark, sf_dir), spec))
 
 

@@ -13,7 +13,7 @@ GAP = "event_id % 7 = 3 OR event_id % 50 BETWEEN 10 AND 19"
 G = f"""g AS (SELECT event_type AS series, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS i,
   event_id, ts, user_id, value AS truth, CASE WHEN {GAP} THEN NULL ELSE value END AS x FROM events)"""
 #: Several variables of one frame, with gaps of their own.
-L = """l AS (SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS BIGINT) AS r, l_returnflag AS flag, l_shipdate AS ts,
+L = """l AS (SELECT CAST(l_orderkey * 100 + l_linenumber AS BIGINT) AS r, l_returnflag AS flag, l_shipdate AS ts,
   CASE WHEN (l_orderkey + l_linenumber) % 9 = 2 THEN NULL ELSE l_quantity END AS a,
   CASE WHEN (l_orderkey * 3 + l_linenumber) % 11 = 5 THEN NULL ELSE l_extendedprice / 1000 END AS b,
   CASE WHEN l_partkey % 13 = 4 THEN NULL ELSE l_discount * 100 END AS c FROM lineitem)"""
@@ -42,7 +42,7 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variables(spark: SparkSession, sf_dir: str, number: bool = True) -> DataFrame:
-    """lineitem as a frame of three gappy variables a, b, c. r numbers the rows; leave it out where it isn't needed, as it sorts all rows in one task."""
+    """lineitem as a frame of three gappy variables a, b, c. r is the row's key, order and line."""
     t = table(spark, sf_dir, "lineitem")
     cols = [
         F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("ts"),
@@ -50,7 +50,7 @@ def variables(spark: SparkSession, sf_dir: str, number: bool = True) -> DataFram
         F.when((F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 11 != 5, F.col("l_extendedprice") / 1000).alias("b"),
         F.when(F.col("l_partkey") % 13 != 4, F.col("l_discount") * 100).alias("c")]
     if number:
-        cols = [F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber")).cast("long").alias("r"), *cols]
+        cols = [(F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("long").alias("r"), *cols]
     return t.select(*cols)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
@@ -17,6 +19,23 @@ NA_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "-")
 SECONDS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the cluster's shared folder, spark.checkpoint.dir; only where that is unset (one machine), under a local one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_lacuna_scratch", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.sparkContext._lacuna_scratch = tempfile.mkdtemp(prefix="lacuna-")
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class NotSupported(Exception):
     """A format whose reader isn't installed."""
 
@@ -76,7 +95,8 @@ def read(spark: SparkSession, path: str, *, date_column: str | None = None, colu
         names = [date_column, *names]
     if unknown := [c for c in names if c not in df.columns]:
         raise ValueError(f"unknown columns: {', '.join(unknown)}")
-    return df.select(*(as_time(c).alias(c) if c == date_column else as_number(c, na).alias(c) if numbers else F.col(c) for c in names))
+    kinds = dict(df.dtypes)
+    return df.select(*((F.col(c).cast("timestamp") if kinds[c].startswith("timestamp") else as_time(c)).alias(c) if c == date_column else as_number(c, na).alias(c) if numbers else F.col(c) for c in names))
 
 
 def rows_of_json(df: DataFrame) -> DataFrame:
@@ -115,11 +135,11 @@ def partition_profile(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"), F.sum(miss).alias("missing"))
 
 
-def synthetic(spark: SparkSession, hours: int, stations: int = 20, seed: int = 42) -> DataFrame:
+def synthetic(spark: SparkSession, hours: int, stations: int = 20, seed: int = 42, noise: float = 3.0) -> DataFrame:
     """(station, i, ts, value): daily and weekly waves, a decaying station effect, a trend, noise; never negative."""
     d = spark.range(hours).select(F.col("id").alias("i")).crossJoin(F.broadcast(spark.range(stations).select(F.col("id").alias("station"))))
     t = F.col("i")
-    v = (50 + 15 * F.sin(2 * F.pi() * t / 24) + 8 * F.sin(2 * F.pi() * t / 168)) * F.exp(-F.col("station") / 20) + 5 * t / hours + 3 * F.randn(seed)
+    v = (50 + 15 * F.sin(2 * F.pi() * t / 24) + 8 * F.sin(2 * F.pi() * t / 168)) * F.exp(-F.col("station") / 20) + 5 * t / hours + noise * F.randn(seed)
     return d.select(F.col("station").cast("string").alias("station"), "i", F.timestamp_seconds(1672531200 + t * 3600).alias("ts"), F.greatest(v, F.lit(0.0)).alias("value"))
 
 

@@ -14,8 +14,9 @@ def windowed(df: DataFrame, width: str = "1 hour", slide: str | None = None, lat
     return d.groupBy(F.window("ts", width, slide or width).alias("w"), "series").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "series", "n", "mean")
 
 
-def sessions(df: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    return df.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "series").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "series", "n")
+def sessions(df: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", watermark: bool = True) -> DataFrame:
+    d = df.withWatermark("ts", late) if watermark else df
+    return d.groupBy(F.session_window("ts", gap).alias("w"), "series").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "series", "n")
 
 
 def carried_fill(df: DataFrame) -> DataFrame:
