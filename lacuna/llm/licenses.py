@@ -1,7 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Lines that speak of licences (ANCHOR, looked for in the whole text) are compared with notice templates as sparse TF-IDF vectors; document
-frequencies are counted over all such lines of all files and over the templates. A file's own licence is the best template at or above MIN_COSINE. A
+Lines that speak of licences (ANCHOR, looked for in the whole text), and windows of WINDOWS words around each such word, over line ends too, are
+compared with notice templates as sparse TF-IDF vectors: a notice inside a long line, or wrapped over lines, isn't diluted. Document
+frequencies are counted over all these units of all files and over the templates. A file's own licence is the best template at or above MIN_COSINE. A
 directory declares what most of its own files declare (in `named` mode only files named LICENSE, COPYING, NOTICE count). A file without
 its own licence takes that of its directory, or else of the nearest ancestor directory that declares one.
 
@@ -17,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import spread_join, stored, text_or_empty
 
 ANCHOR = r"(?i)licen[sc]e|copyright|spdx|permission is hereby|public domain|redistribution"
+ANCHOR_WORD = r"^(licen[sc]e[sd]?|copyright|spdx|permission|public|redistributions?)$"
+#: Lengths of the windows around a word that speaks of licences: about those of the templates.
+WINDOWS = (6, 10, 16, 24, 32)
 LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 MIN_COSINE = 0.5
 #: Notices of well-known licences.
@@ -54,11 +58,25 @@ def licence_lines(files: DataFrame, key: str = "doc_id", text: str = "text") ->
     return lines.filter(F.col("line").rlike(ANCHOR)).select("doc_id", "line_no", _terms("line").alias("terms"))
 
 
+def licence_windows(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line_no null, terms) of the windows around each anchor word: it stands at the start, at each quarter and at the end of a window."""
+    t, most = text_or_empty(text), max(WINDOWS)
+    words = files.filter(t.rlike(ANCHOR)).select(F.col(key).alias("doc_id"), _terms(t).alias("w"))
+    near = F.transform("w", lambda x, i: F.when(x.rlike(ANCHOR_WORD), i))
+    places = words.select("doc_id", "w", F.explode(F.array_compact(near)).alias("at"))
+    first = F.greatest(F.col("at") - most, F.lit(0))
+    # of a long text only the surroundings go on
+    about = places.select("doc_id", (F.col("at") - first).alias("at"), F.slice("w", first + 1, F.lit(2 * most)).alias("w"))
+    cuts = F.array(*(F.struct(F.lit(n - 1 - n * q // 4 if q < 4 else 0).alias("before"), F.lit(n).alias("n")) for n in WINDOWS for q in range(5)))
+    rows = about.select("doc_id", "at", "w", F.explode(cuts).alias("c")).select("doc_id", F.slice("w", F.greatest(F.col("at") - F.col("c.before"), F.lit(0)) + 1, F.col("c.n")).alias("terms"))
+    return rows.select("doc_id", F.lit(None).cast("int").alias("line_no"), "terms").distinct()
+
+
 def own_licences(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(doc_id, licence, cosine, line_no): the best match of each file that has one."""
     spark = files.sparkSession
     # the same lines in different files are compared once
-    lines = stored(licence_lines(files), "licence-lines")
+    lines = stored(licence_lines(files).unionByName(licence_windows(files)), "licence-lines")
     forms = lines.groupBy("terms").agg(F.count(F.lit(1)).alias("n")).withColumn("form", F.xxhash64("terms"))
     names = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(TEMPLATES)], "template int, licence string, notice string").select("template", "licence", _terms("notice").alias("terms"))
     total = lines.agg(F.count(F.lit(1)).alias("n_lines")).select((F.col("n_lines") + len(TEMPLATES)).alias("n_lines"))
@@ -91,7 +109,9 @@ def inherited(files: DataFrame, own: DataFrame, named: bool = False) -> DataFram
     dirs = rows.select("directory").distinct().select("directory", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
     dirs = dirs.withColumn("ancestor", F.concat_ws("/", F.slice(parts, F.lit(1), F.col("depth"))))
     nearest = dirs.join(declared, "ancestor").groupBy("directory").agg(F.max(F.struct("depth", "ancestor", "inherited")).alias("b")).select("directory", F.col("b.ancestor").alias("ancestor"), F.col("b.inherited").alias("inherited"))
-    out = rows.join(nearest, "directory", "left")
+    sizes = rows.groupBy("directory").agg(F.count(F.lit(1)).alias("n"))
+    facts = sizes.join(nearest, "directory", "left").drop("n")
+    out = spread_join(rows, facts, ["directory"], sizes, rows.count())
     from_own = F.col("licence").isNotNull()
     return out.select(
         "doc_id", "path", F.col("licence").alias("own_licence"), "cosine", F.coalesce("licence", "inherited").alias("effective_licence"),
@@ -100,7 +120,8 @@ def inherited(files: DataFrame, own: DataFrame, named: bool = False) -> DataFram
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files in source/language/block directories."""
+    """All documents as files in source/language/block directories. One whose first line speaks of a licence is its directory's LICENSE file, and only these
+    declare a licence for others."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.expr("doc_id div 1000").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return inherited(docs.select("doc_id", path.alias("path")), own_licences(docs))
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.expr("doc_id div 1000").cast("string"), F.lit("-")), F.concat(F.when(F.substring_index(text_or_empty(), "\n", 1).rlike(ANCHOR), "LICENSE-").otherwise(""), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")))
+    return inherited(docs.select("doc_id", path.alias("path")), own_licences(docs), named=True)

@@ -3,7 +3,7 @@
 `encode` stores bytes losslessly in an MPEG-1 layer III stream: 192 bytes in the ancillary part of each frame of 240 bytes
 (48 kHz, 80 kbit/s, one channel, checksums on), after an ID3v2 tag and a frame with a variable-bitrate (Xing) table, before an ID3v1
 tag. `parse` reads any such stream: it skips tags, finds frame headers (resynchronising over whatever isn't one: a header counts
-when another, or the end, follows at its frame's length), reads the table, verifies each checksum, and gives the exact
+when another, or the end, follows at its frame's length), reads the table (Xing, Info or VBRI), verifies each checksum, and gives the exact
 duration (samples and rate) and the byte offset of every frame.
 
 Defined results: null text is stored as blanks like empty text; equal texts give equal media; null media parses to no frames;
@@ -134,6 +134,13 @@ def parse(raw: bytes | None) -> dict:
                 else:
                     out["bad_crc"] += 1
         mark = raw[start + side : start + side + 4]
+        if not offsets and out["table"] is None and raw[at + 36 : at + 40] == b"VBRI":
+            # the other kind of table: always 32 bytes after the header, with the bytes of each run of frames
+            size, frames, entries, scale, width, run = struct.unpack(">IIHHHH", raw[at + 46 : at + 62])
+            steps = [int.from_bytes(raw[p : p + width], "big") * scale for p in range(at + 62, at + 62 + entries * width, max(1, width))] if width in (1, 2, 3, 4) else []
+            out["table"] = {"frames": frames, "bytes": size, "run": run, "steps": steps}
+            at = nxt
+            continue
         if not offsets and out["table"] is None and mark in (b"Xing", b"Info"):
             flags, p = int.from_bytes(raw[start + side + 4 : start + side + 8], "big"), start + side + 8
             table = {}
@@ -193,4 +200,4 @@ def described(media: DataFrame) -> DataFrame:
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = described(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_s")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "samples", "sample_rate", "duration_s", "bad_checksums", "skipped_bytes", "tags", "seek_offsets")

@@ -68,6 +68,11 @@ def store_version(path: str, version: DataFrame) -> None:
     version.select("version", "vslot", "shard").coalesce(1).write.mode("append").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.schema("version int, vslot int, shard int").parquet(path)
     return table.join(F.broadcast(table.agg(F.max("version").alias("version"))), "version")
@@ -92,7 +97,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS,
     at = f"{path}/loads"
     loads.coalesce(1).write.mode("overwrite").parquet(at)
     loads = spark.read.schema("vslot int, n_rows bigint, n_bytes bigint").parquet(at)
-    store_version(f"{path}/map", first_map(spark, n_shards, n_slots))
+    if not _exists(spark, f"{path}/map"):
+        store_version(f"{path}/map", first_map(spark, n_shards, n_slots))
     store_version(f"{path}/map", rebalanced(loads, latest(spark, f"{path}/map"), n_shards))
     return placed(rows, loads, latest(spark, f"{path}/map"))
 

@@ -133,6 +133,17 @@ def test_media_round_trip_and_resynchronisation(odd):
     assert media.parse(None)["offsets"] == []
 
 
+def test_foreign_stream_with_the_other_table():
+    """Frames of 128 kbit/s at 44.1 kHz without checksums, padding now and then, a VBRI table, junk between two frames."""
+    plain, padded = bytes((0xFF, 0xFB, 0x90, 0x00)).ljust(417, b"\1"), bytes((0xFF, 0xFB, 0x92, 0x00)).ljust(418, b"\1")
+    table = bytes((0xFF, 0xFB, 0x90, 0x00)) + bytes(32) + b"VBRI" + bytes((0, 1, 0, 0, 0, 75)) + (2086).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"\0\2\0\1\0\2\0\3" + (1252).to_bytes(2, "big") + (834).to_bytes(2, "big")
+    raw = table.ljust(417, b"\0") + plain + padded + plain + b"junk" + plain + padded
+    found = media.parse(raw)
+    assert found["table"] == {"frames": 5, "bytes": 2086, "run": 3, "steps": [1252, 834]}
+    assert found["offsets"] == [417, 834, 1252, 1673, 2090] and found["lengths"] == [417, 418, 417, 417, 418]
+    assert found["samples"] == 5 * 1152 and found["rate"] == 44100 and found["skipped"] == 4 and found["checked"] == 0
+
+
 def test_media_headers():
     assert media.header(bytes((0xFF, 0xFB, 0x90, 0x00)))[:4] == (417, 1152, 44100, 128)
     assert media.header(bytes((0xFF, 0xFB, 0xF0, 0x00))) is None
@@ -410,6 +421,46 @@ def test_licences_and_inheritance(spark, odd, none):
     assert licenses.own_licences(none).count() == 0 and licenses.own_licences(odd).count() == 0
 
 
+def test_notices_in_long_and_wrapped_lines(spark):
+    rng = np.random.default_rng(6)
+    talk = [" ".join(f"talk{x}" for x in rng.integers(0, 500, 120)) for _ in range(12)]
+    rows = [(i, f"{talk[i]} {t.lower()} {talk[i + 1]}") for i, (_, t) in enumerate(licenses.TEMPLATES[:6])]
+    rows += [(10, talk[8] + "\n// Licensed under the\n// Apache License,\n// Version 2.0; you may not use this file except in\n// compliance with the License.\n" + talk[9]), (11, talk[10] + " the public house gave its permission " + talk[11]), (12, talk[3])]
+    out = {r["doc_id"]: r["licence"] for r in licenses.own_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: k for i, (k, _) in enumerate(licenses.TEMPLATES[:6])} | {10: "Apache-2.0"}
+
+
+def test_cosines_equal_a_plain_version(spark):
+    """The best cosine of each file, worked out with counters in plain Python over the same units."""
+    import re
+
+    texts = {1: "Released under the MIT License.", 2: "a b c\nThis work is licensed under CC BY 4.0, Creative Commons Attribution 4.0 International.\nend", 3: "no such thing", 4: "x " * 40 + "Released under the ISC License. " + "y " * 40}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    units = [(r["doc_id"], tuple(r["terms"])) for r in licenses.licence_lines(d).unionByName(licenses.licence_windows(d)).select("doc_id", "terms").collect()]
+    names = [(k, tuple(w for w in re.split(r"[\W_]+", t.lower()) if w)) for k, t in licenses.TEMPLATES]
+    df = {}
+    for terms in [t for _, t in units] + [t for _, t in names]:
+        for w in set(terms):
+            df[w] = df.get(w, 0) + 1
+    total = len(units) + len(names)
+
+    def vector(terms):
+        v = {w: terms.count(w) * (math.log((total + 1) / (df[w] + 1)) + 1) for w in set(terms)}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    best = {}
+    for i, terms in units:
+        v = vector(terms)
+        for k, t in names:
+            u = vector(t)
+            c = round(sum(x * u.get(w, 0.0) for w, x in v.items()), 9)
+            if c >= licenses.MIN_COSINE and c > best.get(i, (0, ""))[0]:
+                best[i] = (c, k)
+    got = {r["doc_id"]: (r["cosine"], r["licence"]) for r in licenses.own_licences(d).collect()}
+    assert set(got) == set(best) == {1, 2, 4} and all(got[i][1] == best[i][1] and abs(got[i][0] - best[i][0]) < 1e-6 for i in best)
+
+
 # 9 sharding
 
 
