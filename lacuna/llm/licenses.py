@@ -23,7 +23,7 @@ from .common import spread_join, stored, text_or_empty
 ANCHOR = r"(?i)licen[sc]e|copyright|spdx|permission is hereby|public domain|redistribution"
 ANCHOR_WORD = r"^(licen[sc]e[sd]?|copyright|spdx|permission|public|redistributions?)$"
 #: Lengths of the windows around a word that speaks of licences: about those of the templates.
-WINDOWS = (6, 10, 16, 24, 32)
+WINDOWS = (6, 12, 24)
 LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 MIN_COSINE = 0.5
 #: Notices of well-known licences.
@@ -59,7 +59,7 @@ def licence_lines(files: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def licence_windows(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no null, terms) of the windows around each anchor word: it stands at the start, at each quarter and at the end of a window."""
+    """(doc_id, line_no null, terms) of the windows around each anchor word: it stands at the start, in the middle and at the end of a window."""
     t, most = text_or_empty(text), max(WINDOWS)
     words = files.filter(t.rlike(ANCHOR)).select(F.col(key).alias("doc_id"), _terms(t).alias("w"))
     near = F.transform("w", lambda x, i: F.when(x.rlike(ANCHOR_WORD), i))
@@ -67,7 +67,7 @@ def licence_windows(files: DataFrame, key: str = "doc_id", text: str = "text") -
     first = F.greatest(F.col("at") - most, F.lit(0))
     # of a long text only the surroundings go on
     about = places.select("doc_id", (F.col("at") - first).alias("at"), F.slice("w", first + 1, F.lit(2 * most)).alias("w"))
-    cuts = F.array(*(F.struct(F.lit(n - 1 - n * q // 4 if q < 4 else 0).alias("before"), F.lit(n).alias("n")) for n in WINDOWS for q in range(5)))
+    cuts = F.array(*(F.struct(F.lit((n - 1) * q // 2).alias("before"), F.lit(n).alias("n")) for n in WINDOWS for q in range(3)))
     rows = about.select("doc_id", "at", "w", F.explode(cuts).alias("c")).select("doc_id", F.slice("w", F.greatest(F.col("at") - F.col("c.before"), F.lit(0)) + 1, F.col("c.n")).alias("terms"))
     return rows.select("doc_id", F.lit(None).cast("int").alias("line_no"), "terms").distinct()
 
