@@ -73,7 +73,7 @@ def met_07_10_preservation(spark, sf_dir):
 @register("met_12_bootstrap")
 def met_12_bootstrap(spark, sf_dir):
     d = filled(spark, sf_dir).select("series", "i", F.when(F.col("x").isNull(), F.abs(F.col("lin") - F.col("truth"))).alias("e"))
-    return rounded(Q.bootstrap(d, "series", "e", 100))
+    return rounded(Q.bootstrap(d, "series", "e"))
 
 
 @register("met_15_folds", f"""WITH {G}, k AS (SELECT *, CAST(floor((i - 1) * 6 / count(*) OVER (PARTITION BY series)) AS BIGINT) AS fold FROM g), m AS (SELECT series, fold, avg(x) AS m, count(x) AS n FROM k GROUP BY 1, 2),
