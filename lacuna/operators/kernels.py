@@ -1,14 +1,16 @@
-"""Fills that need dense algebra per series: splines, polynomials, Gaussian process, Fourier, kernel ridge, online weights. Each series is one
-pandas group; a series should be cut to a length that fits memory."""
+"""Fills that need dense algebra: splines, polynomials, Gaussian process, kernel ridge go block by block, each block with a halo of its neighbours'
+rows, so that a group's size is bounded whatever a series' length. Fourier and online weights see a whole series as one pandas group."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import AT, BY
+from .series import AT, BY, observed_before
+
+FILLED = "series string, i long, filled double"
 
 
 def per_series(df: DataFrame, x: str, solve: Callable) -> DataFrame:
@@ -25,92 +27,143 @@ def per_series(df: DataFrame, x: str, solve: Callable) -> DataFrame:
             out[~seen] = np.asarray(solve(i, v, seen), float)[~seen]
         return pd.DataFrame({"series": pdf["series"], "i": pdf["i"], "filled": out})
 
-    return df.select(F.col(BY).alias("series"), F.col(AT).alias("i"), F.col(x).alias("x")).groupBy("series").applyInPandas(run, "series string, i long, filled double")
+    return df.select(F.col(BY).alias("series"), F.col(AT).alias("i"), F.col(x).alias("x")).groupBy("series").applyInPandas(run, FILLED)
+
+
+def in_blocks(rows: DataFrame, place: str, size: int, halo: int, solve: Callable) -> DataFrame:
+    """(series, i, filled): rows (series, i, x, a place, more columns of the series) in blocks of `size` places; a block also sees the observed rows up to
+    `halo` places beyond it. solve(rows, values, observed mask, wanted mask, frame) -> values of the wanted rows, which are the block's gaps."""
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        i, v, own = pdf["i"].to_numpy(float), pdf["x"].to_numpy(float), (pdf["home"] == pdf["block"]).to_numpy()
+        seen = ~np.isnan(v)
+        want, out = own & ~seen, v.copy()
+        if want.any() and seen.any():
+            out[want] = solve(i, v, seen, want, pdf)
+        return pd.DataFrame({"series": pdf["series"], "i": pdf["i"], "filled": out})[own]
+
+    at = F.col(place)
+    reach = F.when(F.col("x").isNull(), F.array("home")).otherwise(F.sequence(F.floor((at - halo) / size), F.floor((at + halo) / size)))
+    return rows.withColumn("home", F.floor(at / size)).withColumn("block", F.explode(reach)).groupBy("series", "block").applyInPandas(run, FILLED)
 
 
-def cubic(k, y, at):
-    """Cubic spline with not-a-knot ends at the places `at`; NaN beyond the knots."""
+def base(df: DataFrame, x: str) -> DataFrame:
+    v = F.col(x).cast("double")
+    return df.select(F.col(BY).alias("series"), F.col(AT).alias("i"), F.when(~F.isnan(v), v).alias("x"))
+
+
+def with_moments(rows: DataFrame) -> DataFrame:
+    """The rows with mean and population deviation (1 where it is 0) of their series."""
+    m = rows.groupBy(F.col("series").alias("s__")).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    m = m.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    return rows.join(m, F.col("series").eqNullSafe(F.col("s__"))).drop("s__")
+
+
+def basis(knots, order: int, at):
+    """B-splines of the order over the knots (one column each) at the places `at`, by the recurrence over orders."""
+    import numpy as np
+
+    span = np.clip(np.searchsorted(knots, at, side="right") - 1, order, len(knots) - order - 2)
+    b = np.zeros((len(at), len(knots) - 1))
+    b[np.arange(len(at)), span] = 1.0
+    for d in range(1, order + 1):
+        width = knots[d:] - knots[:-d]
+        share = np.divide(1.0, width, out=np.zeros_like(width), where=width > 0)
+        up = (at[:, None] - knots[: -d - 1]) * share[:-1]
+        down = (knots[d + 1 :] - at[:, None]) * share[1:]
+        b = up * b[:, :-1] + down * b[:, 1:]
+    return b
+
+
+def interpolating(k, y, at, order: int = 3):
+    """The interpolating spline of the order through (k, y) at the places `at`, NaN beyond the ends. Inner knots are data places for odd orders and midpoints for
+    even ones, so that the ends are not-a-knot; with no more points than the order it is linear."""
     import numpy as np
 
-    n = len(k)
-    if n < 4:
+    if len(k) <= order:
         return np.interp(at, k, y, left=np.nan, right=np.nan)
-    h, s = np.diff(k), np.diff(y) / np.diff(k)
-    lower, diag, upper, rhs = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(s)
-    # not-a-knot: the first and last curvatures follow from their neighbours
-    diag[0] += h[0] + h[0] ** 2 / h[1]
-    upper[0] -= h[0] ** 2 / h[1]
-    diag[-1] += h[-1] + h[-1] ** 2 / h[-2]
-    lower[-1] -= h[-1] ** 2 / h[-2]
-    for j in range(1, n - 2):
-        f = lower[j] / diag[j - 1]
-        diag[j] -= f * upper[j - 1]
-        rhs[j] -= f * rhs[j - 1]
-    m = np.zeros(n)
-    for j in range(n - 3, -1, -1):
-        m[j + 1] = (rhs[j] - (upper[j] * m[j + 2] if j < n - 3 else 0)) / diag[j]
-    m[0] = m[1] - h[0] / h[1] * (m[2] - m[1])
-    m[-1] = m[-2] + h[-1] / h[-2] * (m[-2] - m[-3])
-    p = np.clip(np.searchsorted(k, at, side="right") - 1, 0, n - 2)
-    a, b, hh = k[p + 1] - at, at - k[p], h[p]
-    out = (m[p] * a**3 + m[p + 1] * b**3) / (6 * hh) + (y[p] / hh - m[p] * hh / 6) * a + (y[p + 1] / hh - m[p + 1] * hh / 6) * b
+    half = (order + 1) // 2
+    inner = k[half:-half] if order % 2 else ((k[1:] + k[:-1]) / 2)[order // 2 : -(order // 2)]
+    knots = np.concatenate([np.full(order + 1, k[0]), inner, np.full(order + 1, k[-1])])
+    out = basis(knots, order, at) @ np.linalg.solve(basis(knots, order, k), y)
     return np.where((at < k[0]) | (at > k[-1]), np.nan, out)
 
 
-def spline(df: DataFrame, x: str, order: int = 3) -> DataFrame:
+def spline(df: DataFrame, x: str, order: int = 3, size: int = 256, halo: int = 48) -> DataFrame:
+    """Interpolating splines of order 1 to 5. Blocks are of `size` observed rows and see `halo` more on either side: a value's weight falls by more
+    than half from row to row even at order 5, so the result is that of the whole series to rounding. Rows before the first or after the last observed stay null."""
     if not 1 <= order <= 5:
         raise ValueError("order must be from 1 to 5")
 
-    def solve(i, v, seen):
-        import numpy as np
+    def solve(i, v, seen, want, _):
+        return interpolating(i[seen], v[seen], i[want], order)
 
-        return cubic(i[seen], v[seen], i) if order >= 3 and seen.sum() > order else np.interp(i, i[seen], v[seen], left=np.nan, right=np.nan)
-
-    return per_series(df, x, solve)
+    rows = observed_before(base(df, x), "x", "k").withColumn("k", F.greatest(F.col("k") - 1, F.lit(0)))
+    return in_blocks(rows, "k", size, halo, solve)
 
 
-def polynomial(df: DataFrame, x: str, order: int = 2, radius: int = 12) -> DataFrame:
-    """Least-squares polynomial through the observed rows around each gap."""
+def polynomial(df: DataFrame, x: str, order: int = 2, radius: int = 12, size: int = 4096) -> DataFrame:
+    """Least-squares polynomial through the observed rows within the radius of each gap; null where there are no more of them than the order."""
 
-    def solve(i, v, seen):
+    def solve(i, v, seen, want, _):
         import numpy as np
 
-        out = v.copy()
-        for j in np.flatnonzero(~seen):
-            near = seen & (np.abs(i - i[j]) <= radius)
-            if near.sum() > order:
-                out[j] = np.polyval(np.polyfit(i[near] - i[j], v[near], order), 0.0)
+        first = int(i[0]) - radius
+        grid = np.full(int(i[-1]) - first + radius + 1, np.nan)
+        grid[i.astype(int) - first] = v
+        near = np.lib.stride_tricks.sliding_window_view(grid, 2 * radius + 1)[i[want].astype(int) - first - radius]
+        ok = ~np.isnan(near)
+        powers = (np.arange(-radius, radius + 1) / radius)[:, None] ** np.arange(order + 1)
+        enough, out = ok.sum(axis=1) > order, np.full(len(near), np.nan)
+        left = np.einsum("gw,wp,wq->gpq", ok[enough].astype(float), powers, powers)
+        right = np.where(ok, near, 0.0)[enough] @ powers
+        out[enough] = np.linalg.solve(left, right[:, :, None])[:, 0, 0]
         return out
 
-    return per_series(df, x, solve)
+    return in_blocks(base(df, x), "i", size, radius, solve)
 
 
-def gaussian_process(df: DataFrame, x: str, lengths: tuple[float, ...] = (2.0, 5.0, 12.0, 24.0), noise: float = 0.1, block: int = 400) -> DataFrame:
-    """RBF and white noise on row numbers; the length is chosen by marginal likelihood; long series go block by block."""
+def gaussian_process(df: DataFrame, x: str, lengths: Sequence[float] = (2.0, 5.0, 12.0, 24.0), noise: float = 0.1, block: int = 400) -> DataFrame:
+    """RBF and white noise on row numbers, values scaled by their series. A series' length is the one with the largest marginal likelihood, summed over blocks; then
+    each block's gaps are the conditional means given the observed rows of the block and of four lengths on either side. Where none is that near, this is the
+    series' mean."""
+    import numpy as np
+    import pandas as pd
 
-    def solve(i, v, seen):
-        import numpy as np
+    def factor(i, ell):
+        return np.linalg.cholesky(np.exp(-0.5 * ((i[:, None] - i) / ell) ** 2) + noise * np.eye(len(i)))
 
-        out = v.copy()
-        for s in range(0, len(i), block):
-            e = slice(max(0, s - 50), s + block + 50)
-            a, y, ok = i[e], v[e], seen[e]
-            if ok.sum() < 3:
-                continue
-            m, sd = y[ok].mean(), y[ok].std() or 1.0
-            z, best = (y[ok] - m) / sd, None
-            for ell in lengths:
-                k = np.exp(-0.5 * ((a[ok][:, None] - a[ok]) / ell) ** 2) + noise * np.eye(ok.sum())
-                c = np.linalg.cholesky(k)
-                w = np.linalg.solve(c.T, np.linalg.solve(c, z))
-                like = -0.5 * z @ w - np.log(np.diag(c)).sum()
-                if best is None or like > best[0]:
-                    best = (like, ell, w)
-            here = np.arange(s, min(s + block, len(i)))
-            out[here] = m + sd * np.exp(-0.5 * ((i[here][:, None] - a[ok]) / best[1]) ** 2) @ best[2]
-        return out
+    def likelihood(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, z = pdf["i"].to_numpy(float), ((pdf["x"] - pdf["mean"]) / pdf["sd"]).to_numpy(float)
+        found = []
+        for ell in lengths:
+            c = factor(i, ell)
+            w = np.linalg.solve(c, z)
+            found.append(-0.5 * (w @ w) - np.log(np.diag(c)).sum())
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "length": lengths, "like": found})
 
-    return per_series(df, x, solve)
+    def solve(i, v, seen, want, pdf):
+        mean, sd, ell = (pdf[c].iloc[0] for c in ("mean", "sd", "length"))
+        c = factor(i[seen], ell)
+        w = np.linalg.solve(c.T, np.linalg.solve(c, (v[seen] - mean) / sd))
+        return mean + sd * np.exp(-0.5 * ((i[want][:, None] - i[seen]) / ell) ** 2) @ w
+
+    rows = with_moments(base(df, x))
+    each = rows.filter("x is not null").withColumn("block", F.floor(F.col("i") / block)).groupBy("series", "block").applyInPandas(likelihood, "series string, length double, like double")
+    each = each.groupBy("series", "length").agg(F.sum("like").alias("like"))
+    best = each.groupBy(F.col("series").alias("s__")).agg(F.max_by("length", F.struct("like", "length")).alias("length"))
+    rows = rows.join(best, F.col("series").eqNullSafe(F.col("s__")), "left").drop("s__")
+    out = in_blocks(rows, "i", block, int(4 * max(lengths)), solve)
+    return or_mean(out, rows)
+
+
+def or_mean(filled: DataFrame, rows: DataFrame) -> DataFrame:
+    """What a process says far from all data: the mean of its series."""
+    m = rows.groupBy(F.col("series").alias("s__")).agg(F.avg("x").alias("mean"))
+    return filled.join(m, F.col("series").eqNullSafe(F.col("s__"))).select("series", "i", F.coalesce("filled", "mean").alias("filled"))
 
 
 def fourier(df: DataFrame, x: str, terms: int = 10) -> DataFrame:
@@ -130,20 +183,18 @@ def fourier(df: DataFrame, x: str, terms: int = 10) -> DataFrame:
     return per_series(df, x, solve)
 
 
-def kernel_ridge(df: DataFrame, x: str, length: float = 12.0, ridge: float = 0.1, radius: int = 200) -> DataFrame:
-    def solve(i, v, seen):
-        import numpy as np
+def kernel_ridge(df: DataFrame, x: str, length: float = 12.0, ridge: float = 0.1, size: int = 200) -> DataFrame:
+    """Ridge regression with a Laplacian kernel on row numbers around the series' mean, by blocks that see ten lengths on either side; the mean where
+    nothing observed is that near."""
+    import numpy as np
 
-        out = v.copy()
-        for s in range(0, len(i), radius):
-            here, near = slice(s, s + radius), seen & (i >= i[s] - 3 * length) & (i <= i[min(s + radius, len(i)) - 1] + 3 * length)
-            if near.any():
-                a, y = i[near], v[near]
-                w = np.linalg.solve(np.exp(-np.abs(a[:, None] - a) / length) + ridge * np.eye(len(a)), y - y.mean())
-                out[here] = y.mean() + np.exp(-np.abs(i[here][:, None] - a) / length) @ w
-        return out
+    def solve(i, v, seen, want, pdf):
+        mean, a = pdf["mean"].iloc[0], i[seen]
+        w = np.linalg.solve(np.exp(-np.abs(a[:, None] - a) / length) + ridge * np.eye(len(a)), v[seen] - mean)
+        return mean + np.exp(-np.abs(i[want][:, None] - a) / length) @ w
 
-    return per_series(df, x, solve)
+    rows = with_moments(base(df, x))
+    return or_mean(in_blocks(rows, "i", size, int(10 * length), solve), rows)
 
 
 def online_weights(wide: DataFrame, truth: str, methods: list[str], rate: float = 1e-4) -> DataFrame:

@@ -64,6 +64,18 @@ def neighbours(df: DataFrame, x: str, chunk: int = CHUNK) -> DataFrame:
     return near.withColumns({"pv": p["v"], "pi": p["at"], "nv": n["v"], "ni": n["at"]}).drop("chunk__", "seen__", "series__", "c__", "before__", "after__", "p__", "n__")
 
 
+def observed_before(df: DataFrame, x: str, out: str, chunk: int = CHUNK) -> DataFrame:
+    """How many observed rows a series has up to each row, itself included: counted within chunks of rows, to which the chunks before are added
+    (one row per chunk)."""
+    cut = df.withColumn("chunk__", F.floor(F.col(AT) / chunk).cast("long"))
+    w = Window.partitionBy(BY).orderBy("chunk__").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(BY, "chunk__").agg(F.count(x).alias("n__"))
+    carried = sums.select(F.col(BY).alias("series__"), F.col("chunk__").alias("c__"), F.coalesce(F.sum("n__").over(w), F.lit(0)).alias("n__"))
+    inside = F.count(x).over(Window.partitionBy(BY, "chunk__").orderBy(AT).rowsBetween(Window.unboundedPreceding, 0))
+    near = cut.withColumn("in__", inside).join(carried, F.col(BY).eqNullSafe(F.col("series__")) & (F.col("chunk__") == F.col("c__")))
+    return near.withColumn(out, F.col("in__") + F.col("n__")).drop("chunk__", "series__", "c__", "in__", "n__")
+
+
 def linear(df: DataFrame, x: str, out: str, limit: int | None = None, direction: str = "both") -> DataFrame:
     """Linear interpolation by row position; beyond the ends the nearest value. limit: rows filled from each observed side."""
     i = F.col(AT)

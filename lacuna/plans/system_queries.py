@@ -116,13 +116,29 @@ def imp_44_per_block(spark, sf_dir):
     return rounded(d.join(m, ["series", "b"]).select("series", "i", F.coalesce("x", "m").alias("filled")))
 
 
-for _name, _fill in (("imp_05_spline", K.spline), ("imp_06_polynomial", K.polynomial), ("imp_09_gaussian_process", K.gaussian_process), ("imp_10_fourier", K.fourier), ("imp_40_kernel_ridge", K.kernel_ridge)):
+for _name, _fill in (("imp_05_spline", K.spline), ("imp_09_gaussian_process", K.gaussian_process), ("imp_10_fourier", K.fourier), ("imp_40_kernel_ridge", K.kernel_ridge)):
     def _query(spark, sf_dir, fill=_fill):
         return rounded(fill(sensors(spark, sf_dir), "x"), 4)
 
     register(_name)(_query)
 
 
+@register("imp_05_linear_spline", f"WITH {G}, {PREV} SELECT series, i, round(coalesce(x, CASE WHEN pv IS NOT NULL AND nv IS NOT NULL THEN {LIN} END), 4) AS filled FROM n")
+def imp_05_linear_spline(spark, sf_dir):
+    """Order 1, which is linear between the ends: the blocks' seams against SQL."""
+    return rounded(K.spline(sensors(spark, sf_dir), "x", order=1), 4)
+
+
+_MOMENTS = ", ".join([*(f"sum(pow((b.i - a.i) / 12.0, {p})) AS s{p}" for p in range(5)), *(f"sum(b.x * pow((b.i - a.i) / 12.0, {p})) AS t{p}" for p in range(3))])
+
+
+@register("imp_06_polynomial", f"""WITH {G}, m AS (SELECT a.series, a.i, {_MOMENTS} FROM g a JOIN g b ON a.series = b.series AND b.i BETWEEN a.i - 12 AND a.i + 12 WHERE a.x IS NULL AND b.x IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT series, i, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) AS y FROM m WHERE s0 > 2)
+SELECT series, i, round(coalesce(x, y), 4) AS filled FROM g LEFT JOIN p USING (series, i)""")
+def imp_06_polynomial(spark, sf_dir):
+    return rounded(K.polynomial(sensors(spark, sf_dir), "x"), 4)
+
+
 @register("imp_13_forest")
 def imp_13_forest(spark, sf_dir):
     return rounded(K.forest(variables(spark, sf_dir), "r", ["a", "b", "c"]), 4)

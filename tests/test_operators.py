@@ -61,6 +61,57 @@ def test_spline_reproduces_a_cubic(spark):
     assert np.allclose(got(kernels.spline(line(spark, holes), "x"), "filled"), v)
 
 
+def gappy(n, seed=3):
+    rng = np.random.default_rng(seed)
+    v = np.cumsum(rng.normal(size=n)) + 50
+    return [None if t % 7 == 3 or 200 <= t < 215 or rng.random() < 0.1 else float(y) for t, y in enumerate(v)]
+
+
+def whole(values):
+    v = np.array([np.nan if x is None else x for x in values])
+    i = np.arange(1.0, len(v) + 1)
+    return i, v, ~np.isnan(v)
+
+
+def filled(df):
+    return np.array([np.nan if x is None else x for x in got(df, "filled")])
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5])
+def test_splines_by_blocks_equal_those_of_the_whole_series(spark, order):
+    values = [None, None, *gappy(700), None]
+    i, v, seen = whole(values)
+    want = np.where(seen, v, kernels.interpolating(i[seen], v[seen], i, order))
+    assert np.allclose(filled(kernels.spline(line(spark, values), "x", order, size=64)), want, atol=1e-7, equal_nan=True)
+    t = np.arange(12.0)
+    assert np.allclose(kernels.interpolating(t, t**order - t, np.array([0.5, 3.3, 11.0]), order), [x**order - x for x in (0.5, 3.3, 11.0)])
+
+
+def test_local_polynomials_equal_a_plain_version(spark):
+    values = [*gappy(300), *[None] * 40, 5.0]
+    i, v, seen = whole(values)
+    want = v.copy()
+    for j in np.flatnonzero(~seen):
+        near = seen & (np.abs(i - i[j]) <= 12)
+        if near.sum() > 2:
+            want[j] = np.polyval(np.polyfit(i[near] - i[j], v[near], 2), 0.0)
+    assert np.allclose(filled(kernels.polynomial(line(spark, values), "x", size=50)), want, atol=1e-6, equal_nan=True)
+
+
+def test_processes_by_blocks_are_near_those_of_the_whole_series(spark):
+    values = [*gappy(600), *[None] * 400, 60.0]
+    i, v, seen = whole(values)
+    mean, sd = v[seen].mean(), v[seen].std()
+    k = np.exp(-np.abs(i[seen][:, None] - i[seen]) / 12) + 0.1 * np.eye(seen.sum())
+    ridge = np.where(seen, v, mean + np.exp(-np.abs(i[:, None] - i[seen]) / 12) @ np.linalg.solve(k, v[seen] - mean))
+    assert np.allclose(filled(kernels.kernel_ridge(line(spark, values), "x")), ridge, atol=5e-3)
+    k = np.exp(-0.5 * ((i[seen][:, None] - i[seen]) / 5) ** 2) + 0.1 * np.eye(seen.sum())
+    gp = np.where(seen, v, mean + sd * np.exp(-0.5 * ((i[:, None] - i[seen]) / 5) ** 2) @ np.linalg.solve(k, (v[seen] - mean) / sd))
+    out = filled(kernels.gaussian_process(line(spark, values), "x", lengths=(5.0,), block=100))
+    assert np.allclose(out, gp, atol=5e-2)
+    assert kernels.gaussian_process(line(spark, values).filter("false"), "x").count() == 0
+
+
 def test_fourier_finds_a_wave(spark):
     v = [math.sin(2 * math.pi * t / 8) for t in range(64)]
     out = got(kernels.fourier(line(spark, [*v, None]), "x"), "filled")
