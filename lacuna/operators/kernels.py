@@ -47,7 +47,12 @@ def in_blocks(rows: DataFrame, place: str, size: int, halo: int, solve: Callable
 
     at = F.col(place)
     reach = F.when(F.col("x").isNull(), F.array("home")).otherwise(F.sequence(F.floor((at - halo) / size), F.floor((at + halo) / size)))
-    return rows.withColumn("home", F.floor(at / size)).withColumn("block", F.explode(reach)).groupBy("series", "block").applyInPandas(run, FILLED)
+    return spread(rows.withColumn("home", F.floor(at / size)).withColumn("block", F.explode(reach))).groupBy("series", "block").applyInPandas(run, FILLED)
+
+
+def spread(blocks: DataFrame) -> DataFrame:
+    """The blocks over as many tasks as the session shuffles into: few bytes, much algebra, so partitions shouldn't be merged by their bytes."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series", "block")
 
 
 def base(df: DataFrame, x: str) -> DataFrame:
@@ -92,7 +97,7 @@ def interpolating(k, y, at, order: int = 3):
     return np.where((at < k[0]) | (at > k[-1]), np.nan, out)
 
 
-def spline(df: DataFrame, x: str, order: int = 3, size: int = 256, halo: int = 48) -> DataFrame:
+def spline(df: DataFrame, x: str, order: int = 3, size: int = 128, halo: int = 48) -> DataFrame:
     """Interpolating splines of order 1 to 5. Blocks are of `size` observed rows and see `halo` more on either side: a value's weight falls by more
     than half from row to row even at order 5, so the result is that of the whole series to rounding. Rows before the first or after the last observed stay null."""
     if not 1 <= order <= 5:
@@ -126,33 +131,32 @@ def polynomial(df: DataFrame, x: str, order: int = 2, radius: int = 12, size: in
     return in_blocks(base(df, x), "i", size, radius, solve)
 
 
-def gaussian_process(df: DataFrame, x: str, lengths: Sequence[float] = (2.0, 5.0, 12.0, 24.0), noise: float = 0.1, block: int = 400) -> DataFrame:
+def gaussian_process(df: DataFrame, x: str, lengths: Sequence[float] = (2.0, 5.0, 12.0, 24.0), noise: float = 0.1, block: int = 200) -> DataFrame:
     """RBF and white noise on row numbers, values scaled by their series. A series' length is the one with the largest marginal likelihood, summed over blocks; then
     each block's gaps are the conditional means given the observed rows of the block and of four lengths on either side. Where none is that near, this is the
     series' mean."""
     import numpy as np
     import pandas as pd
 
-    def factor(i, ell):
-        return np.linalg.cholesky(np.exp(-0.5 * ((i[:, None] - i) / ell) ** 2) + noise * np.eye(len(i)))
+    def covariance(i, ell):
+        return np.exp(-0.5 * ((i[:, None] - i) / ell) ** 2) + noise * np.eye(len(i))
 
     def likelihood(pdf: pd.DataFrame) -> pd.DataFrame:
         i, z = pdf["i"].to_numpy(float), ((pdf["x"] - pdf["mean"]) / pdf["sd"]).to_numpy(float)
         found = []
         for ell in lengths:
-            c = factor(i, ell)
+            c = np.linalg.cholesky(covariance(i, ell))
             w = np.linalg.solve(c, z)
             found.append(-0.5 * (w @ w) - np.log(np.diag(c)).sum())
         return pd.DataFrame({"series": pdf["series"].iloc[0], "length": lengths, "like": found})
 
     def solve(i, v, seen, want, pdf):
         mean, sd, ell = (pdf[c].iloc[0] for c in ("mean", "sd", "length"))
-        c = factor(i[seen], ell)
-        w = np.linalg.solve(c.T, np.linalg.solve(c, (v[seen] - mean) / sd))
+        w = np.linalg.solve(covariance(i[seen], ell), (v[seen] - mean) / sd)
         return mean + sd * np.exp(-0.5 * ((i[want][:, None] - i[seen]) / ell) ** 2) @ w
 
     rows = with_moments(base(df, x))
-    each = rows.filter("x is not null").withColumn("block", F.floor(F.col("i") / block)).groupBy("series", "block").applyInPandas(likelihood, "series string, length double, like double")
+    each = spread(rows.filter("x is not null").withColumn("block", F.floor(F.col("i") / block))).groupBy("series", "block").applyInPandas(likelihood, "series string, length double, like double")
     each = each.groupBy("series", "length").agg(F.sum("like").alias("like"))
     best = each.groupBy(F.col("series").alias("s__")).agg(F.max_by("length", F.struct("like", "length")).alias("length"))
     rows = rows.join(best, F.col("series").eqNullSafe(F.col("s__")), "left").drop("s__")

@@ -152,6 +152,59 @@ def kriged(points: DataFrame, targets: DataFrame, model: tuple[str, float, float
     return points.select("t", "x", "y", "v").groupBy("t").applyInPandas(solve, "t long, target string, estimate double, variance double")
 
 
+def places(points: DataFrame, key: str, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
+    """(k, x, y, v, n): one row per place, with its least key, mean value and number of values. Points without a place or a value don't count."""
+    known = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(v).isNotNull())
+    return known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.min(key).alias("k"), F.avg(v).alias("v"), F.count(F.lit(1)).alias("n")).select("k", "x", "y", "v", "n")
+
+
+def neighbourhood_system(x, y, v, n, at, model: tuple[str, float, float, float]) -> tuple[float, float]:
+    """(estimate, variance) at a place from its neighbours by ordinary kriging. A neighbour that is the mean of n values has an n-th of the nugget."""
+    import numpy as np
+
+    name, nugget, sill, reach = model
+
+    def gamma(h):
+        return np.where(h > 0, nugget + (sill - nugget) * shape(name, h, reach), 0.0)
+
+    m = len(x)
+    a = np.ones((m + 1, m + 1))
+    a[:m, :m] = gamma(np.hypot(x[:, None] - x, y[:, None] - y)) + np.diag(nugget * (1 - 1 / n))
+    a[m, m] = 0.0
+    b = np.append(gamma(np.hypot(x - at[0], y - at[1])), 1.0)
+    w = np.linalg.lstsq(a, b, rcond=None)[0]
+    return float(w[:m] @ v), float(max(0.0, w @ b))
+
+
+def kriged_near(at: DataFrame, targets: DataFrame, model: tuple[str, float, float, float], k: int = 16, strict: bool = False) -> DataFrame:
+    """(target, estimate, variance): ordinary kriging of every target (target, x, y) from its k nearest places (see `places`), the moving neighbourhood:
+    each target is a system of k + 1 equations, whatever the number of places. With `strict` a place of the target's own id doesn't count
+    (leave one out). Targets without coordinates, and all targets if there is no place, have no row."""
+    import numpy as np
+    import pandas as pd
+
+    near = nearest_on_grid(targets.withColumnRenamed("target", "q"), at.withColumnRenamed("k", "donor"), k, strict=strict)
+    near = near.join(at.withColumnRenamed("k", "donor"), "donor").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y", "v", "n"))).alias("r"))  # at most k
+    rows = near.join(targets.select(F.col("target").alias("q"), F.col("x").alias("tx"), F.col("y").alias("ty")), "q")
+    rows = rows.select(F.col("q").alias("target"), "tx", "ty", *(F.col("r")[c].cast("array<double>").alias(c) for c in ("x", "y", "v", "n")))
+
+    def solve(parts):
+        for pdf in parts:
+            out = [neighbourhood_system(*(np.asarray(r[c], float) for c in ("x", "y", "v", "n")), (r["tx"], r["ty"]), model) for r in pdf.to_dict("records")]
+            yield pd.DataFrame({"target": pdf["target"], "estimate": [e for e, _ in out], "variance": [e for _, e in out]})
+
+    kind = dict(targets.dtypes)["target"]
+    return rows.mapInPandas(solve, f"target {kind}, estimate double, variance double")
+
+
+def cross_validated(at: DataFrame, model: tuple[str, float, float, float], k: int = 16) -> DataFrame:
+    """One row: rmse, mae, r2 and the share within 1.96 kriging deviations, every place kriged from the others."""
+    e = kriged_near(at, at.withColumnRenamed("k", "target"), model, k, strict=True).join(at.select(F.col("k").alias("target"), "v"), "target")
+    d = F.col("estimate") - F.col("v")
+    inside = (F.abs(d) <= 1.96 * F.sqrt("variance")).cast("int")
+    return e.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), (1 - F.avg(d * d) / F.var_pop("v")).alias("r2"), F.avg(inside).alias("coverage"))
+
+
 def moran(points: DataFrame, key: str, threshold: float, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
     """One row: Moran's I and Geary's C with weights 1 / d within the threshold."""
     one = points.agg(F.avg(v).alias("m"), F.var_pop(v).alias("s2"), F.count(v).alias("n"))
@@ -214,4 +267,4 @@ def inverse_distance(edges: DataFrame, values: DataFrame) -> DataFrame:
     return n.groupBy(F.col("i").alias("k")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("estimate"))
 
 
-__all__ = ["delaunay", "distances", "fitted_variogram", "inverse_distance", "kriged", "moran", "nearest", "nearest_on_grid", "pairs", "semivariogram", "variogram", "within"]
+__all__ = ["cross_validated", "delaunay", "distances", "fitted_variogram", "inverse_distance", "kriged", "kriged_near", "moran", "nearest", "nearest_on_grid", "pairs", "places", "semivariogram", "variogram", "within"]

@@ -327,14 +327,32 @@ def agg_04_moran(spark, sf_dir):
     return rounded(P.moran(stations(spark, sf_dir), "k", 4.0))
 
 
+def variogram_model(s):
+    """An exponential model fitted to the stations' twelve bins."""
+    v = [(r["distance"], r["gamma"], r["n"] ** 0.5) for r in P.semivariogram(s, "k", 12).orderBy("bin").collect()]
+    return "exponential", *P.fitted_variogram(v, "exponential")
+
+
 @register("krg_02_03_kriging")
 def krg_02_03_kriging(spark, sf_dir):
-    """Variogram fit and ordinary kriging of every twentieth station from the others."""
+    """Variogram fit, and ordinary kriging of every place from the sixteen nearest others."""
     s = stations(spark, sf_dir)
-    v = [(r["distance"], r["gamma"], r["n"] ** 0.5) for r in P.semivariogram(s, "k", 12).orderBy("bin").collect()]
-    model = ("exponential", *P.fitted_variogram(v, "exponential"))
-    seen = s.filter("k % 20 <> 0").select(F.lit(0).cast("long").alias("t"), "x", "y", "v").dropDuplicates(["x", "y"])
-    return rounded(P.kriged(seen, s.filter("k % 20 = 0").select(F.col("k").cast("string").alias("target"), "x", "y"), model), 3)
+    at = P.places(s, "k")
+    return rounded(P.kriged_near(at, at.withColumnRenamed("k", "target"), variogram_model(s), strict=True), 3)
+
+
+@register("krg_05_cross_validation")
+def krg_05_cross_validation(spark, sf_dir):
+    s = stations(spark, sf_dir)
+    return rounded(P.cross_validated(P.places(s, "k"), variogram_model(s)), 4)
+
+
+@register("krg_03_nearest_place", f"""WITH {ST}, p AS (SELECT min(k) AS k, x, y, avg(v) AS v, count(*) AS n FROM s GROUP BY x, y), j AS (SELECT a.k AS target, b.v, 2 * (1 + 9 * (1 - exp(-3 * sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 5))) - 1 + 1.0 / b.n AS variance,
+row_number() OVER (PARTITION BY a.k ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.k) AS r FROM p a JOIN p b ON a.k <> b.k) SELECT target, round(v, 3) AS estimate, round(variance, 3) AS variance FROM j WHERE r = 1""")
+def krg_03_nearest_place(spark, sf_dir):
+    """Ordinary kriging from one neighbour, whose solution is known: its value, and twice the semivariance less what its mean saves of the nugget."""
+    at = P.places(stations(spark, sf_dir), "k")
+    return rounded(P.kriged_near(at, at.withColumnRenamed("k", "target"), ("exponential", 1.0, 10.0, 5.0), 1, strict=True), 3)
 
 
 @register("scl_11_17_scalars", """SELECT c_custkey, CASE WHEN abs(c_acctbal / 10000) < 0.2 THEN 'negligible' WHEN abs(c_acctbal / 10000) < 0.5 THEN 'small' WHEN abs(c_acctbal / 10000) < 0.8 THEN 'medium' ELSE 'large' END AS effect,

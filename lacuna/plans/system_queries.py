@@ -123,10 +123,10 @@ for _name, _fill in (("imp_05_spline", K.spline), ("imp_09_gaussian_process", K.
     register(_name)(_query)
 
 
-@register("imp_05_linear_spline", f"WITH {G}, {PREV} SELECT series, i, round(coalesce(x, CASE WHEN pv IS NOT NULL AND nv IS NOT NULL THEN {LIN} END), 4) AS filled FROM n")
+@register("imp_05_linear_spline", f"WITH {G}, {PREV} SELECT series, i, round(coalesce(x, CASE WHEN pv IS NOT NULL AND nv IS NOT NULL THEN {LIN} END), 6) AS filled FROM n")
 def imp_05_linear_spline(spark, sf_dir):
     """Order 1, which is linear between the ends: the blocks' seams against SQL."""
-    return rounded(K.spline(sensors(spark, sf_dir), "x", order=1), 4)
+    return rounded(K.spline(sensors(spark, sf_dir), "x", order=1))
 
 
 _MOMENTS = ", ".join([*(f"sum(pow((b.i - a.i) / 12.0, {p})) AS s{p}" for p in range(5)), *(f"sum(b.x * pow((b.i - a.i) / 12.0, {p})) AS t{p}" for p in range(3))])

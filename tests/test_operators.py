@@ -154,6 +154,30 @@ def test_kriging_is_exact_at_its_points(spark):
         assert r["estimate"] == pytest.approx(3.0, abs=1e-6) and r["variance"] == pytest.approx(0, abs=1e-6)
 
 
+def test_kriging_by_neighbourhood_equals_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": range(60), "x": rng.integers(0, 9, 60).astype(float), "y": rng.integers(0, 9, 60).astype(float), "v": rng.normal(size=60)})
+    s = spark.createDataFrame(pdf).withColumn("n", F.lit("extra"))
+    model = ("exponential", 0.3, 2.0, 6.0)
+    at = spatial.places(s, "k")
+    p = at.orderBy("k").toPandas()
+    assert p["n"].sum() == 60 and len(p) == len(pdf[["x", "y"]].drop_duplicates())
+    out = spatial.kriged_near(at, at.withColumnRenamed("k", "target"), model, 5, strict=True).orderBy("target").toPandas()
+    assert list(out["target"]) == list(p["k"])
+    cov = lambda h: 1.7 * np.exp(-3 * h / 6.0)  # noqa: E731  the same model as covariances
+    for (_, t), e, var in zip(p.iterrows(), out["estimate"], out["variance"], strict=True):
+        o = p[p["k"] != t["k"]].assign(d=lambda o: np.hypot(o["x"] - t["x"], o["y"] - t["y"])).sort_values(["d", "k"]).head(5)  # noqa: B023
+        x, y = o["x"].to_numpy(), o["y"].to_numpy()
+        c = cov(np.hypot(x[:, None] - x, y[:, None] - y)) + np.diag(0.3 / o["n"].to_numpy())
+        inv, c0, one = np.linalg.inv(c), cov(o["d"].to_numpy()), np.ones(5)
+        mu = (1 - one @ inv @ c0) / (one @ inv @ one)
+        w = inv @ (c0 + mu * one)
+        assert e == pytest.approx(w @ o["v"].to_numpy(), abs=1e-6) and var == pytest.approx(2.0 - w @ c0 + mu, abs=1e-6)
+    r = spatial.cross_validated(at, model, 5).first()
+    assert r["n"] == len(p) and r["rmse"] == pytest.approx(np.sqrt(((out["estimate"] - p["v"]) ** 2).mean()))
+    assert spatial.kriged_near(at.filter("false"), at.withColumnRenamed("k", "target"), model).count() == 0
+
+
 def test_delaunay_of_a_square(spark):
     d = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.1), (3, 1.0, 1.0)], "k long, x double, y double")
     edges = {(r["i"], r["j"]) for r in spatial.delaunay(d, "k").collect()}
