@@ -172,6 +172,31 @@ def quantile_band(df: DataFrame, by: str, y: str, lo: str, hi: str, held: Column
     return rest.groupBy(by).agg(F.first("margin").alias("margin"), F.avg(F.col(y).between(low, high).cast("int")).alias("coverage"), F.avg(high - low).alias("width"))
 
 
+def cv_plus(df: DataFrame, by: str, y: str, fold: str, alpha: float) -> DataFrame:
+    """(group, lo, hi): the CV+ interval of a group's mean. The mean of the other folds predicts a fold's rows; the interval reaches from the low quantile
+    of prediction less residual to the high quantile of prediction plus residual. Rows without y don't count; a group with one fold has no interval."""
+    from .tests import conformal_quantile
+
+    seen = df.filter(F.col(y).isNotNull())
+    w = Window.partitionBy(by)
+    sums = seen.groupBy(by, fold).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+    mean = F.try_divide(F.sum("s").over(w) - F.col("s"), F.sum("n").over(w) - F.col("n"))
+    d = seen.join(sums.select(by, fold, mean.alias("mean__")), [by, fold])
+    e = F.abs(F.col(y) - F.col("mean__"))
+    d = d.select(by, (F.col("mean__") + e).alias("up"), (e - F.col("mean__")).alias("down"))
+    hi, lo = (conformal_quantile(d, by, c, alpha) for c in ("up", "down"))
+    return lo.select(by, (-F.col("q")).alias("lo")).join(hi.select(by, F.col("q").alias("hi")), by)
+
+
+def draws(df: DataFrame, x: str, fill: Column, sd: Column, id_: Column, m: int) -> DataFrame:
+    """The rows m times (draw 1 to m), with `value`: x, or where it is missing a normal draw around the fill. The draw depends on id and number alone, so
+    a task that runs again gives the same."""
+    u = (F.pmod((id_ + 7 * F.col("draw")) * 2654435761, F.lit(1000)) + 0.5) / 1000
+    v = F.pmod((id_ + 13 * F.col("draw")) * 40503, F.lit(997)) / 997.0
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
+    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(m)))).withColumn("value", F.coalesce(F.col(x), fill + sd * z))
+
+
 def correlation_error(df: DataFrame, pairs: Sequence[tuple[str, str]], truth: str, filled: str) -> DataFrame:
     """One row: mean absolute and root mean square difference of the correlations between variables before and after a fill. Columns are
     named variable_truth and variable_filled."""

@@ -197,6 +197,29 @@ def kriged_near(at: DataFrame, targets: DataFrame, model: tuple[str, float, floa
     return rows.mapInPandas(solve, f"target {kind}, estimate double, variance double")
 
 
+def trans_gaussian(points: DataFrame, key: str, model: tuple[str, float, float, float], k: int = 16, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
+    """(target, estimate): every place kriged from the others on ln(v - least + 1), and back with the lognormal's mean."""
+    least = points.agg(F.min(v).alias("least__"))
+    shifted = points.crossJoin(F.broadcast(least)).withColumn(v, F.log(F.col(v) - F.col("least__") + 1)).drop("least__")  # one row
+    at = places(shifted, key, x, y, v)
+    e = kriged_near(at, at.withColumnRenamed("k", "target"), model, k, strict=True).crossJoin(F.broadcast(least))
+    return e.select("target", (F.exp(F.col("estimate") + F.col("variance") / 2) + F.col("least__") - 1).alias("estimate"))
+
+
+def block_variogram(at: DataFrame, corner: tuple[float, float], side: float, model: tuple[str, float, float, float], cells: int = 4) -> DataFrame:
+    """(k, gamma, within): the mean semivariance between each place and a square block, and within the block, over the centres of cells x cells parts."""
+    name, nugget, sill, reach = model
+    steps = [(c + 0.5) * side / cells for c in range(cells)]
+    centres = [(corner[0] + a, corner[1] + b) for a in steps for b in steps]
+
+    def mean(px, py):
+        h = [F.sqrt(F.pow(px - F.lit(cx), F.lit(2)) + F.pow(py - F.lit(cy), F.lit(2))) for cx, cy in centres]
+        return F.aggregate(F.array(*h), F.lit(0.0), lambda s, d: s + variogram(name, d, nugget, sill, reach)) / len(centres)
+
+    inside = sum((mean(F.lit(cx), F.lit(cy)) for cx, cy in centres), F.lit(0.0)) / len(centres)
+    return at.select("k", mean(F.col("x"), F.col("y")).alias("gamma"), inside.alias("within"))
+
+
 def cross_validated(at: DataFrame, model: tuple[str, float, float, float], k: int = 16) -> DataFrame:
     """One row: rmse, mae, r2 and the share within 1.96 kriging deviations, every place kriged from the others."""
     e = kriged_near(at, at.withColumnRenamed("k", "target"), model, k, strict=True).join(at.select(F.col("k").alias("target"), "v"), "target")
@@ -267,4 +290,4 @@ def inverse_distance(edges: DataFrame, values: DataFrame) -> DataFrame:
     return n.groupBy(F.col("i").alias("k")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("estimate"))
 
 
-__all__ = ["cross_validated", "delaunay", "distances", "fitted_variogram", "inverse_distance", "kriged", "kriged_near", "moran", "nearest", "nearest_on_grid", "pairs", "places", "semivariogram", "variogram", "within"]
+__all__ = ["block_variogram", "cross_validated", "delaunay", "distances", "fitted_variogram", "inverse_distance", "kriged", "kriged_near", "moran", "nearest", "nearest_on_grid", "pairs", "places", "semivariogram", "trans_gaussian", "variogram", "within"]

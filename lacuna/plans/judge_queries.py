@@ -355,6 +355,22 @@ def krg_03_nearest_place(spark, sf_dir):
     return rounded(P.kriged_near(at, at.withColumnRenamed("k", "target"), ("exponential", 1.0, 10.0, 5.0), 1, strict=True), 3)
 
 
+@register("krg_09_trans_gaussian", f"""WITH {ST}, l AS (SELECT min(v) AS least FROM s), p AS (SELECT min(k) AS k, x, y, avg(ln(v - least + 1)) AS v, count(*) AS n FROM s, l GROUP BY x, y), j AS (SELECT a.k AS target, b.v, 2 * (0.01 + 0.09 * (1 - exp(-3 * sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 5))) - 0.01 + 0.01 / b.n AS variance,
+row_number() OVER (PARTITION BY a.k ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.k) AS r FROM p a JOIN p b ON a.k <> b.k) SELECT target, round(exp(v + variance / 2) + least - 1, 3) AS estimate FROM j, l WHERE r = 1""")
+def krg_09_trans_gaussian(spark, sf_dir):
+    """From one neighbour, whose solution SQL knows (tests use more)."""
+    return rounded(P.trans_gaussian(stations(spark, sf_dir), "k", ("exponential", 0.01, 0.1, 5.0), 1), 3)
+
+
+_SPHERE = "CASE WHEN h > 0 THEN 1 + 9 * CASE WHEN h <= 5 THEN 1.5 * h / 5 - 0.5 * pow(h / 5, 3) ELSE 1 END ELSE 0 END"
+
+
+@register("krg_13_block_variogram", f"""WITH {ST}, p AS (SELECT min(k) AS k, x, y FROM s GROUP BY x, y), c AS (SELECT a + 1.0 AS cx, b + 1.0 AS cy FROM (VALUES (0), (2), (4), (6)) u(a), (VALUES (0), (2), (4), (6)) v(b)),
+h AS (SELECT k, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS h FROM p, c), w AS (SELECT avg({_SPHERE}) AS within FROM (SELECT sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS h FROM c a, c b)) SELECT k, round(avg({_SPHERE}), 6) AS gamma, round(any_value(within), 6) AS within FROM h, w GROUP BY k""")
+def krg_13_block_variogram(spark, sf_dir):
+    return rounded(P.block_variogram(P.places(stations(spark, sf_dir), "k"), (0.0, 0.0), 8.0, ("spherical", 1.0, 10.0, 5.0)))
+
+
 @register("scl_11_17_scalars", """SELECT c_custkey, CASE WHEN abs(c_acctbal / 10000) < 0.2 THEN 'negligible' WHEN abs(c_acctbal / 10000) < 0.5 THEN 'small' WHEN abs(c_acctbal / 10000) < 0.8 THEN 'medium' ELSE 'large' END AS effect,
   CASE WHEN c_custkey * 1000 < 1024 THEN (c_custkey * 1000) || ' B' WHEN c_custkey * 1000 < 1048576 THEN printf('%.2f', round(c_custkey * 1000 / 1024.0, 2)) || ' KB' ELSE printf('%.2f', round(c_custkey * 1000 / 1048576.0, 2)) || ' MB' END AS bytes,
   substr(regexp_replace(c_name, '[^A-Za-z0-9_-]', '_', 'g'), 1, 100) AS safe, sha256(coalesce(c_custkey::VARCHAR, '') || '|' || coalesce(c_name, '')) AS hash,

@@ -261,6 +261,28 @@ def cnf_03_06_quantile_band(spark, sf_dir):
     return rounded(P.quantile_band(d, "series", "truth", "lo", "hi", F.col("event_id") % 2 == 0, 0.1))
 
 
+@register("cnf_04_cv_plus", f"""WITH {G}, s AS (SELECT series, event_id % 5 AS fold, sum(x) AS s, count(x) AS n FROM g WHERE x IS NOT NULL GROUP BY 1, 2), m AS (SELECT series, fold, (sum(s) OVER (PARTITION BY series) - s) / (sum(n) OVER (PARTITION BY series) - n) AS mu FROM s),
+e AS (SELECT g.series, mu + abs(x - mu) AS up, abs(x - mu) - mu AS down FROM g JOIN m ON m.series = g.series AND m.fold = g.event_id % 5 WHERE x IS NOT NULL), k AS (SELECT series, list_sort(list(up)) AS u, list_sort(list(down)) AS d, CAST(least(count(*), ceil((count(*) + 1) * 0.9)) AS BIGINT) AS k FROM e GROUP BY 1),
+q AS (SELECT series, -d[k] AS lo, u[k] AS hi FROM k) SELECT series, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(avg((truth BETWEEN lo - 1e-9 AND hi + 1e-9)::INT), 6) AS coverage FROM g JOIN q USING (series) WHERE x IS NULL GROUP BY series""")
+def cnf_04_cv_plus(spark, sf_dir):
+    """Intervals from the observed rows, judged on the gaps' true values."""
+    d = sensors(spark, sf_dir).withColumn("fold", F.col("event_id") % 5)
+    q = P.cv_plus(d, "series", "x", "fold", 0.1)
+    hit = F.col("truth").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9).cast("int")
+    return rounded(d.filter("x is null").join(q, "series").groupBy("series").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.avg(hit).alias("coverage")))
+
+
+@register("imp_39_met_13_multiple", f"""WITH {G}, p AS (SELECT series, avg(x) AS m, stddev_pop(x) AS s FROM g GROUP BY 1), d AS (SELECT g.series, draw, coalesce(x, m + s * sqrt(-2 * ln((((event_id + 7 * draw) * 2654435761) % 1000 + 0.5) / 1000)) * cos(2 * pi() * ((((event_id + 13 * draw) * 40503) % 997) / 997.0))) AS v FROM g JOIN p USING (series), range(1, 6) k(draw)),
+e AS (SELECT series, draw, avg(v) AS q, var_samp(v) / count(*) AS u FROM d GROUP BY 1, 2) SELECT series, round(avg(q), 6) AS pooled, round(avg(u) + 1.2 * var_samp(q), 6) AS total, round(1.2 * var_samp(q) / (avg(u) + 1.2 * var_samp(q)), 6) AS fmi FROM e GROUP BY series""")
+def imp_39_met_13_multiple(spark, sf_dir):
+    """Five imputations, each series' mean in each of them, pooled by Rubin's rules."""
+    d = sensors(spark, sf_dir)
+    m = d.groupBy("series").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    v = P.draws(d.join(m, "series"), "x", F.col("m"), F.col("s"), F.col("event_id"), 5)
+    each = v.groupBy("series", "draw").agg(F.avg("value").alias("q"), (F.var_samp("value") / F.count("value")).alias("u"))
+    return rounded(H.rubin(each, "series", "q", "u").select("series", "pooled", "total", "fmi"))
+
+
 @register("tst_13_rubin", "WITH a AS (SELECT l_returnflag AS g, count(*) AS m, avg(l_tax) AS pooled, avg(l_discount) AS within, var_samp(l_tax) AS b FROM lineitem GROUP BY 1) SELECT g, round(pooled, 6) AS pooled, round(within + (1 + 1.0 / m) * b, 6) AS total, round(pooled / sqrt(within + (1 + 1.0 / m) * b), 6) AS t FROM a")
 def tst_13_rubin(spark, sf_dir):
     d = H.rubin(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "g"), "g", "l_tax", "l_discount")
