@@ -93,23 +93,40 @@ def linear(df: DataFrame, x: str, out: str, limit: int | None = None, direction:
     return neighbours(df, x).withColumn(out, value).drop("pv", "pi", "nv", "ni")
 
 
+def locally(df: DataFrame, reach: int, add: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
+    """What `add` makes of the frame and a window in row order that it may open up to `reach` rows either way. A series is cut into chunks, each with copies of
+    the rows within reach of it, so that a series of any length is spread over tasks."""
+    at = F.col(AT)
+    copies = F.explode_outer(F.sequence(F.floor((at - reach) / CHUNK), F.floor((at + reach) / CHUNK)))
+    out = add(df.withColumn("chunk__", copies), Window.partitionBy(BY, "chunk__").orderBy(AT))
+    return out.filter(F.col("chunk__").eqNullSafe(F.floor(at / CHUNK))).drop("chunk__")
+
+
 def moving_average(df: DataFrame, x: str, out: str, window: int = 24, min_periods: int = 1) -> DataFrame:
     """Centred mean over rows -(w // 2) .. (w - 1) // 2; what is left takes the expanding mean of the filled series."""
-    w = rows(-(window // 2), (window - 1) // 2)
-    mean = F.when(F.count(x).over(w) >= min_periods, F.avg(x).over(w))
-    return df.withColumn(out, F.coalesce(F.col(x), mean)).withColumn(out, F.coalesce(F.col(out), F.avg(out).over(rows(None, 0))))
+
+    def add(d: DataFrame, inside: WindowSpec) -> DataFrame:
+        w = inside.rowsBetween(-(window // 2), (window - 1) // 2)
+        return d.withColumn(out, F.coalesce(F.col(x), F.when(F.count(x).over(w) >= min_periods, F.avg(x).over(w))))
+
+    return locally(df, window // 2, add).withColumn(out, F.coalesce(F.col(out), F.avg(out).over(rows(None, 0))))
 
 
-def local_mean(x: Column, radius: int = 12) -> Column:
+def local_mean(df: DataFrame, x: str, out: str, radius: int = 12) -> DataFrame:
     """Mean of observed rows within the radius, or within twice the radius where there are none."""
-    return F.coalesce(x, F.avg(x).over(rows(-radius, radius)), F.avg(x).over(rows(-2 * radius, 2 * radius)))
+    return locally(df, 2 * radius, lambda d, w: d.withColumn(out, F.coalesce(x, *(F.avg(x).over(w.rowsBetween(-r, r)) for r in (radius, 2 * radius)))))
 
 
 def local_linear(df: DataFrame, x: str, out: str, radius: int = 10) -> DataFrame:
     """Least-squares line through the observed rows within the radius, at the gap; needs two of them."""
-    w, y, i = rows(-radius, radius), F.col(x), F.col(AT).cast("double")
-    fit = F.regr_intercept(y, i).over(w) + F.regr_slope(y, i).over(w) * i
-    return df.withColumn(out, F.coalesce(y, F.when(F.count(y).over(w) >= 2, fit)))
+    y, i = F.col(x), F.col(AT).cast("double")
+
+    def add(d: DataFrame, inside: WindowSpec) -> DataFrame:
+        w = inside.rowsBetween(-radius, radius)
+        fit = F.regr_intercept(y, i).over(w) + F.regr_slope(y, i).over(w) * i
+        return d.withColumn(out, F.coalesce(y, F.when(F.count(y).over(w) >= 2, fit)))
+
+    return locally(df, radius, add)
 
 
 def periodic(x: Column, period: int = 24) -> Column:
@@ -285,9 +302,13 @@ def gaps(df: DataFrame, x: str) -> DataFrame:
 
 def uncertainty(df: DataFrame, x: str, filled: str, out: str, window: int = 24) -> DataFrame:
     """1.96 x centred sample deviation of the filled values x (1 + share missing), at missing rows."""
-    w = rows(-(window // 2), (window - 1) // 2)
-    value = 1.96 * F.stddev_samp(filled).over(w) * (1 + F.avg(F.col(x).isNull().cast("double")).over(w))
-    return df.withColumn(out, F.when(F.col(x).isNull(), value))
+
+    def add(d: DataFrame, inside: WindowSpec) -> DataFrame:
+        w = inside.rowsBetween(-(window // 2), (window - 1) // 2)
+        value = 1.96 * F.stddev_samp(filled).over(w) * (1 + F.avg(F.col(x).isNull().cast("double")).over(w))
+        return d.withColumn(out, F.when(F.col(x).isNull(), value))
+
+    return locally(df, window // 2, add)
 
 
 def local_context(df: DataFrame, x: str, radius: int = 24) -> DataFrame:

@@ -83,7 +83,7 @@ def adaptive(df: DataFrame, x: str, out: str) -> DataFrame:
     where none is left, the mean of the series."""
     d = S.local_context(S.linear(df, x, "lin__"), x)
     col = F.col(x)
-    d = d.withColumns({"loc__": S.local_mean(col), "sea__": S.seasonal_slot(col), "avg__": F.avg(x).over(Window.partitionBy(S.BY))})
+    d = S.local_mean(d, x, "loc__").withColumns({"sea__": S.seasonal_slot(col), "avg__": F.avg(x).over(Window.partitionBy(S.BY))})
     gap = F.coalesce(F.col("gap_size"), F.lit(0))
     weights = {"lin__": F.when(gap <= 3, 0.7).when(gap <= 12, 0.4).otherwise(0.1), "loc__": 0.2 + 0.2 * F.least(F.lit(1.0), F.coalesce("missing_ratio", F.lit(0.0))), "sea__": F.when(gap > 12, 0.6).when(gap > 3, 0.3).otherwise(0.05)}
     kept = {k: F.when((w > 0.1) & F.col(k).isNotNull(), w).otherwise(0.0) for k, w in weights.items()}

@@ -58,7 +58,7 @@ def win_07_moving_average(spark, sf_dir):
 @register("win_08_local_mean", f"""WITH {G}
 SELECT series, i, round(coalesce(x, avg(x) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING), avg(x) OVER ({W} ROWS BETWEEN 24 PRECEDING AND 24 FOLLOWING)), 6) AS local FROM g""")
 def win_08_local_mean(spark, sf_dir):
-    return rounded(sensors(spark, sf_dir).select("series", "i", S.local_mean(F.col("x")).alias("local")))
+    return rounded(S.local_mean(sensors(spark, sf_dir), "x", "local").select("series", "i", "local"))
 
 
 @register("win_08_local_mean_recursive", f"""WITH RECURSIVE {G}, a AS (SELECT series, list(x ORDER BY i) AS v, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY series),

@@ -178,6 +178,23 @@ def test_kriging_by_neighbourhood_equals_a_plain_version(spark):
     assert spatial.kriged_near(at.filter("false"), at.withColumnRenamed("k", "target"), model).count() == 0
 
 
+def test_local_windows_do_not_depend_on_chunks(spark, monkeypatch):
+    d = line(spark, [*gappy(120), *[None] * 30, 5.0]).withColumn("lin", F.coalesce("x", F.lit(1.0)))
+
+    def all_of():
+        out = series.local_mean(d, "x", "a")
+        out = series.local_linear(series.moving_average(out, "x", "b"), "x", "c")
+        return series.uncertainty(out, "x", "lin", "u").orderBy("i").collect()
+
+    once = all_of()
+    monkeypatch.setattr(series, "CHUNK", 17)
+    small = all_of()
+    assert len(small) == len(once) == 151
+    for a, b in zip(once, small, strict=True):
+        for c in "abcu":
+            assert (a[c] is None) == (b[c] is None) and (a[c] is None or a[c] == pytest.approx(b[c], abs=1e-7))
+
+
 def test_delaunay_of_a_square(spark):
     d = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.1), (3, 1.0, 1.0)], "k long, x double, y double")
     edges = {(r["i"], r["j"]) for r in spatial.delaunay(d, "k").collect()}
