@@ -103,11 +103,11 @@ for _name, _fill, _kind, _doc, _defaults in (
     ("linear", _whole(S.linear), "interpolation", "straight lines by row", {}),
     ("pchip", _whole(S.pchip), "interpolation", "monotone cubic", {}),
     ("akima", _whole(S.akima), "interpolation", "Akima cubic", {}),
-    ("spline", _joined(K.spline), "interpolation", "not-a-knot cubic spline", {}),
+    ("spline", _joined(K.spline), "interpolation", "not-a-knot spline", {}),
     ("polynomial", _joined(K.polynomial), "interpolation", "local polynomial", {}),
     ("convolution", lambda df, x, out, sigma=5 / 3, radius=5: S.convolved(df, x, out, sigma, radius), "interpolation", "linear, then Gaussian smoothing", {}),
     ("moving_average", _whole(S.moving_average), "window", "centred mean", {"window": 24}),
-    ("local_mean", _window(S.local_mean), "window", "mean nearby", {}),
+    ("local_mean", _whole(S.local_mean), "window", "mean nearby", {}),
     ("local_linear", _whole(S.local_linear), "window", "regression nearby", {}),
     ("periodic", _window(S.periodic), "seasonal", "same place one and two periods away", {"period": 24}),
     ("seasonal_slot", _window(S.seasonal_slot), "seasonal", "mean of the slot", {"period": 24}),
