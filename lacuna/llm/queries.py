@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat
+from .codes import OP13_SQL, op13_heap_lloyd
 from .language import op6_language
 from .licenses import op8_licences
 from .media import op3_mpeg_audio
@@ -15,6 +16,6 @@ from .toxicity import op1_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_pfair_mix, op3_mpeg_audio, op4_parity_join, op5_packing, op6_language, op7_chat, op8_licences, op9_virtual_slots, op10_quality)
+    for f in (op1_toxicity, op2_pfair_mix, op3_mpeg_audio, op4_parity_join, op5_packing, op6_language, op7_chat, op8_licences, op9_virtual_slots, op10_quality, op13_heap_lloyd)
 }
-ORACLES: dict[str, str] = {"op4_parity_join": OP4_SQL, "op7_chat": OP7_SQL}
+ORACLES: dict[str, str] = {"op4_parity_join": OP4_SQL, "op7_chat": OP7_SQL, "op13_heap_lloyd": OP13_SQL}
