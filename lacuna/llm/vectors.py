@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whole numbers below this are exact as doubles, and so are sums of products that stay below it.
@@ -43,3 +46,15 @@ def arrow_schema(ddl: str):
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 32) -> Iterator[None]:
+    """Jobs started within send Python workers so many rows at a time: for rows that are whole blocks. The session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
