@@ -14,7 +14,7 @@ Bounds are doubles and err by rounding; keys are made smaller by more than that,
 
 Defined results: rows whose vector is null or has a null or non-finite component are dropped; shorter vectors end in zeros, and the width is rounded up to a
 multiple of the parts; rows with a null id are coded but are no first entries; of repeated ids the smaller vector comes first; with fewer rows than
-entries the codebook is smaller; an empty table gives an empty result; ties go to the lower index; extra columns aren't read.
+entries the codebook is smaller; an empty table gives an empty result; ties go to the lower index; components so large that a squared distance could pass 64 bits raise; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spread_join, stored
-from .vectors import EXACT, arrow_schema, matrix, whole_numbers
+from .vectors import EXACT, arrow_schema, matrix, whole_numbers, within_64_bits
 
 PARTS, ENTRIES, ROUNDS, BLOCK = 16, 64, 2, 2048
 
@@ -39,6 +39,7 @@ def squares(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     if 4 * top * top * max(x.shape[1], 1) < EXACT:
         a, b = x.astype(np.float64), book.astype(np.float64)
         return ((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)).astype(np.int64)
+    within_64_bits(4 * top * top * max(x.shape[1], 1))
     return sum((x[:, j, None] - book[None, :, j]) ** 2 for j in range(x.shape[1]))
 
 

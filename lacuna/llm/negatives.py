@@ -13,8 +13,8 @@ all blocks meet all groups: anchors are a stated query set, compared block by bl
 
 Defined results: rows with a null id, a null label, a null vector or a null or non-finite component take no part; shorter vectors end in zeros; labels are whole
 numbers; ties go to the smaller id; rows repeated with one id are rows of their own (an anchor counts once for each different row), and no row with the anchor's id
-is its positive or negative; an anchor without positives or without rows in the window has no result; an empty table gives an empty result; extra columns
-aren't read.
+is its positive or negative; an anchor without positives or without rows in the window has no result; an empty table gives an empty result; components so
+large that an inner product could pass 64 bits raise; extra columns aren't read.
 """
 
 from __future__ import annotations

@@ -93,19 +93,34 @@ def chunks_of(texts, by_word: bool = True):
 
 
 def planes(a: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, all lowest bytes first: high bytes, mostly zero, compress to nothing."""
-    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit numbers byte by byte, all lowest bytes first, compressed: high bytes are mostly zero."""
+    return _zstd()[0].compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(_zstd()[1].decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def strings(lengths: np.ndarray, raw: bytes):
+    """Strings from their lengths and their bytes, one after the other."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)).to_pylist()
 
 
 def cut(docs: DataFrame, text: str, keep: Sequence[str], buckets: int, by_word: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents: a row for each bucket of a block's distinct chunks (first: the place of the first one) and one for each document (places)."""
+    """Blocks of documents: a row for each bucket of a block's distinct chunks, sorted and compressed (at: the place of the first one), and one for each document (places)."""
     names = [f"k{i}" for i in range(len(keep))]
     kept = [f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)]
-    ddl = ", ".join(["block bigint", "bucket int", "at bigint", "chunks array<string>", "places binary", *kept])
+    ddl = ", ".join(["block bigint", "bucket int", "at bigint", "lengths binary", "chunks binary", "places binary", *kept])
     schema = arrow_schema(ddl)
     rows = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)))
 
@@ -120,13 +135,18 @@ def cut(docs: DataFrame, text: str, keep: Sequence[str], buckets: int, by_word:
             coded = chunks.dictionary_encode()
             distinct = coded.dictionary
             bucket = (pd.util.hash_array(distinct.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(buckets)).astype(np.int64) if len(distinct) else np.empty(0, np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = pc.sort_indices(distinct).to_numpy().astype(np.int64)
+            order = order[np.argsort(bucket[order], kind="stable")]
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             used, first = np.unique(bucket[order], return_index=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), distinct.take(pa.array(order)))
+            dealt, last = distinct.take(pa.array(order)), np.append(first[1:], len(order))
+            long = pc.binary_length(dealt).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, ends = dealt.buffers()[2], np.concatenate([[0], np.cumsum(long)])
+            raw = raw.to_pybytes() if raw else b""
+            own = [(planes(long[a:b]), _zstd()[0].compress(raw[ends[a] : ends[b]])) for a, b in zip(first, last, strict=True)]
             name = TaskContext.get().partitionId() << 32 | number
-            yield record({"block": [name] * len(used), "bucket": used, "at": first, "chunks": lists})
+            yield record({"block": [name] * len(used), "bucket": used, "at": first, "lengths": [a for a, _ in own], "chunks": [b for _, b in own]})
             places, ends = place[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(n)
             yield record({"block": [name] * len(n), "at": AFTER_CHUNKS + np.arange(len(n)), "places": [planes(places[e - k : e]) for e, k in zip(ends, n, strict=True)]} | {c: table[c].combine_chunks() for c in names})
 
@@ -163,7 +183,7 @@ def _column(values, kind, n: int):
 
 
 def segmented(chunks: DataFrame, model: bytes, by_word: bool) -> DataFrame:
-    """(block, at, counts, ids) of the chunks (block, bucket, at, chunks), sorted by bucket: each distinct chunk of a bucket is segmented once."""
+    """(block, at, counts, ids) of the chunks (block, bucket, at, lengths, chunks), sorted by bucket: each distinct chunk of a bucket is segmented once."""
     ddl = "block bigint, at bigint, counts binary, ids binary"
     schema = arrow_schema(ddl)
 
@@ -176,10 +196,10 @@ def segmented(chunks: DataFrame, model: bytes, by_word: bool) -> DataFrame:
             lone = np.array([sp.piece_to_id(MARK)], "<u4").tobytes()
         for b in batches:
             counts, ids = [], []
-            for bucket, own in zip(b["bucket"].to_pylist(), b["chunks"], strict=True):
+            for bucket, long, own in zip(b["bucket"].to_pylist(), b["lengths"], b["chunks"], strict=True):
                 if bucket != now:
                     now, known = bucket, {"": lone} if by_word else {}
-                own = own.as_py()
+                own = strings(from_planes(long.as_py()), _zstd()[1].decompress(own.as_py()))
                 new = [c for c in own if c not in known]
                 known.update(zip(new, (np.array(x, "<u4").tobytes() for x in sp.encode(new, num_threads=1)), strict=True))
                 got = [known[c] for c in own]
@@ -200,7 +220,7 @@ def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text",
     begin, end = ([sp.bos_id()] if add_bos else []), ([sp.eos_id()] if add_eos else [])
     blocks = stored(cut(docs, text, keep, BUCKETS_EACH * tasks, by_word), "pieces")
     names = [f"k{i}" for i in range(len(keep))]
-    chunks = blocks.filter("bucket is not null").select("block", "bucket", "at", "chunks").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    chunks = blocks.filter("bucket is not null").select("block", "bucket", "at", "lengths", "chunks").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     both = segmented(chunks, model, by_word).unionByName(blocks.filter("bucket is null").select("block", "at", "places", *names), allowMissingColumns=True)
     ddl = ", ".join(["ids binary", *(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))])
     schema = arrow_schema(ddl)

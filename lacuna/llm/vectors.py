@@ -37,9 +37,15 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
     if top < EXACT:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    within_64_bits(top)
     return a @ b.T
 
 
+def within_64_bits(top: float) -> None:
+    if top >= 2.0**62:
+        raise ValueError("vector components are too large for exact sums in 64 bits")
+
+
 def arrow_schema(ddl: str):
     """A schema in words as Arrow's; made on the driver and sent to tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema
