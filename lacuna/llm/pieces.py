@@ -6,7 +6,9 @@ model), merges never cross the place before a run of markers, so that a text is
 Texts are cut, task by task, into blocks of about BLOCK_BYTES. A block keeps its distinct chunks, dealt to buckets by hash, and each document as the places of
 its chunks among them. A bucket has a chunk from all blocks: there each distinct chunk is segmented once. The ids go back to their blocks and are
 joined to the documents by position. What is shuffled are distinct chunks of blocks and places, not words; a frequent word is in a block once, so that no
-key is hot. A task holds the distinct chunks of one bucket, or one block. More buckets than shuffle partitions keep tasks even.
+key is hot. A task holds the distinct chunks of one bucket, or one block. More buckets than shuffle partitions keep tasks even. Texts are read and cut twice, once for
+chunks and once for places, which costs less than to store both; a block is named by a hash of its chunks, so that blocks that were cut otherwise the second
+time (rows dealt to tasks anew) don't find theirs, and the job fails instead of joining wrong ids.
 
 A model that isn't separable (another normaliser, markers as suffixes, pieces over several words) gets whole texts as chunks: copies are segmented once.
 
@@ -18,13 +20,13 @@ ones may have any name.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
 from .vectors import arrow_schema
 
 MARK, BLOCK_BYTES = "\u2581", 4 << 20
@@ -116,8 +118,9 @@ def strings(lengths: np.ndarray, raw: bytes):
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)).to_pylist()
 
 
-def cut(docs: DataFrame, text: str, keep: Sequence[str], buckets: int, by_word: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents: a row for each bucket of a block's distinct chunks, sorted and compressed (at: the place of the first one), and one for each document (places)."""
+def cut(docs: DataFrame, text: str, keep: Sequence[str], buckets: int, by_word: bool, chunks_wanted: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of documents: a row for each bucket of a block's distinct chunks, sorted and compressed (at: the place of the first one), or one for each document
+    (places)."""
     names = [f"k{i}" for i in range(len(keep))]
     kept = [f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)]
     ddl = ", ".join(["block bigint", "bucket int", "at bigint", "lengths binary", "chunks binary", "places binary", *kept])
@@ -128,9 +131,8 @@ def cut(docs: DataFrame, text: str, keep: Sequence[str], buckets: int, by_word:
         import pandas as pd
         import pyarrow as pa
         import pyarrow.compute as pc
-        from pyspark import TaskContext
 
-        def block(table, number):
+        def block(table):
             chunks, n = chunks_of(table["text"].combine_chunks(), by_word)
             coded = chunks.dictionary_encode()
             distinct = coded.dictionary
@@ -144,17 +146,18 @@ def cut(docs: DataFrame, text: str, keep: Sequence[str], buckets: int, by_word:
             long = pc.binary_length(dealt).to_numpy(zero_copy_only=False).astype(np.int64)
             raw, ends = dealt.buffers()[2], np.concatenate([[0], np.cumsum(long)])
             raw = raw.to_pybytes() if raw else b""
-            own = [(planes(long[a:b]), _zstd()[0].compress(raw[ends[a] : ends[b]])) for a, b in zip(first, last, strict=True)]
-            name = TaskContext.get().partitionId() << 32 | number
-            yield record({"block": [name] * len(used), "bucket": used, "at": first, "lengths": [a for a, _ in own], "chunks": [b for _, b in own]})
+            name = int.from_bytes(hashlib.blake2b(long.tobytes() + raw, digest_size=8).digest(), "little", signed=True)
+            if chunks_wanted:
+                own = [(planes(long[a:b]), _zstd()[0].compress(raw[ends[a] : ends[b]])) for a, b in zip(first, last, strict=True)]
+                return record({"block": [name] * len(used), "bucket": used, "at": first, "lengths": [a for a, _ in own], "chunks": [b for _, b in own]})
             places, ends = place[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(n)
-            yield record({"block": [name] * len(n), "at": AFTER_CHUNKS + np.arange(len(n)), "places": [planes(places[e - k : e]) for e, k in zip(ends, n, strict=True)]} | {c: table[c].combine_chunks() for c in names})
+            return record({"block": [name] * len(n), "at": AFTER_CHUNKS + np.arange(len(n)), "places": [planes(places[e - k : e]) for e, k in zip(ends, n, strict=True)]} | {c: table[c].combine_chunks() for c in names})
 
         def record(columns):
             m = len(columns["at"])
             return pa.RecordBatch.from_arrays([_column(columns.get(f.name), f.type, m) for f in schema], schema=schema)
 
-        waiting, size, number = [], 0, 0
+        waiting, size = [], 0
         for b in batches:
             long = np.cumsum(pc.binary_length(b["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
@@ -166,10 +169,10 @@ def cut(docs: DataFrame, text: str, keep: Sequence[str], buckets: int, by_word:
                 size += int(long[stop - 1]) - done
                 start = stop
                 if size >= block_bytes:
-                    yield from block(pa.Table.from_batches(waiting), number)
-                    waiting, size, number = [], 0, number + 1
+                    yield block(pa.Table.from_batches(waiting))
+                    waiting, size = [], 0
         if waiting:
-            yield from block(pa.Table.from_batches(waiting), number)
+            yield block(pa.Table.from_batches(waiting))
 
     return rows.mapInArrow(run, ddl)
 
@@ -218,25 +221,29 @@ def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text",
     by_word, tasks = separable(model), int(spark.conf.get("spark.sql.shuffle.partitions"))
     sp = processor(model)
     begin, end = ([sp.bos_id()] if add_bos else []), ([sp.eos_id()] if add_eos else [])
-    blocks = stored(cut(docs, text, keep, BUCKETS_EACH * tasks, by_word), "pieces")
     names = [f"k{i}" for i in range(len(keep))]
-    chunks = blocks.filter("bucket is not null").select("block", "bucket", "at", "lengths", "chunks").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    both = segmented(chunks, model, by_word).unionByName(blocks.filter("bucket is null").select("block", "at", "places", *names), allowMissingColumns=True)
+    # the kept columns are read for chunks too, so that both plans deal rows alike
+    chunks = cut(docs, text, keep, BUCKETS_EACH * tasks, by_word, True).select("block", "bucket", "at", "lengths", "chunks").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    rows = cut(docs, text, keep, BUCKETS_EACH * tasks, by_word, False).select("block", "at", "places", *names)
+    both = segmented(chunks, model, by_word).unionByName(rows, allowMissingColumns=True)
     ddl = ", ".join(["ids binary", *(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))])
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, parts, table = None, [], None
+        now, parts, table, size = None, [], None, 0
         for b in batches:
             is_doc = b["places"].is_valid().to_numpy(zero_copy_only=False)
             out = []
-            for k, block in enumerate(b["block"].to_pylist()):
+            for k, (block, at) in enumerate(zip(b["block"].to_pylist(), b["at"].to_pylist(), strict=True)):
                 if block != now:
-                    now, parts, table = block, [], None
+                    now, parts, table, size = block, [], None, 0
                 if not is_doc[k]:
-                    parts.append((from_planes(b["counts"][k].as_py()), from_planes(b["ids"][k].as_py())))
+                    # blocks with the same chunks have one name and the same rows
+                    if at == size:
+                        parts.append((from_planes(b["counts"][k].as_py()), from_planes(b["ids"][k].as_py())))
+                        size += len(parts[-1][0])
                     continue
                 if table is None:
                     counts, ids = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in (0, 1))
@@ -250,6 +257,8 @@ def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text",
 
 def joined(places: np.ndarray, counts: np.ndarray, starts: np.ndarray, ids: np.ndarray, begin: list[int], end: list[int]) -> bytes:
     """The ids of the chunks at the places, one after the other."""
+    if len(places) and places.max() >= len(counts):
+        raise RuntimeError("a block's chunks are missing: the documents were dealt to tasks anew between two reads; store them first")
     n = counts[places]
     total = int(n.sum())
     take = np.repeat(starts[places] - (np.cumsum(n) - n), n) + np.arange(total)
