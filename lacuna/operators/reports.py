@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
 from .series import AT, BY, ordered
 from .stats import by_variable, correlations, missing_flags, with_totals
 
@@ -50,8 +51,7 @@ def storage(entries: DataFrame) -> DataFrame:
 
 def band(df: DataFrame, by: str, width: str) -> DataFrame:
     """Mean, deviation, extremes and percentiles of a width."""
-    q = F.percentile(width, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
-    out = df.groupBy(by).agg(F.avg(width).alias("mean"), F.stddev_pop(width).alias("sd"), F.min(width).alias("least"), F.max(width).alias("most"), q.alias("q"))
+    out = df.groupBy(by).agg(F.avg(width).alias("mean"), F.stddev_pop(width).alias("sd"), F.min(width).alias("least"), F.max(width).alias("most")).join(percentiles(df, [by], width, [0.25, 0.5, 0.75, 0.95]), by)
     return out.select(by, "mean", "sd", "least", "most", *(F.col("q")[i].alias(k) for i, k in enumerate(("p25", "p50", "p75", "p95"))))
 
 
@@ -188,13 +188,26 @@ def cv_plus(df: DataFrame, by: str, y: str, fold: str, alpha: float) -> DataFram
     return lo.select(by, (-F.col("q")).alias("lo")).join(hi.select(by, F.col("q").alias("hi")), by)
 
 
-def draws(df: DataFrame, x: str, fill: Column, sd: Column, id_: Column, m: int) -> DataFrame:
-    """The rows m times (draw 1 to m), with `value`: x, or where it is missing a normal draw around the fill. The draw depends on id and number alone, so
-    a task that runs again gives the same."""
-    u = (F.pmod((id_ + 7 * F.col("draw")) * 2654435761, F.lit(1000)) + 0.5) / 1000
-    v = F.pmod((id_ + 13 * F.col("draw")) * 40503, F.lit(997)) / 997.0
-    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(m)))).withColumn("value", F.coalesce(F.col(x), fill + sd * z))
+def normal_of(*keys: Column) -> Column:
+    """A standard normal number that depends on the keys alone (two 48-bit parts of their hash, as uniforms), so that a task that runs again gives the same, and
+    numbers of different keys are independent."""
+    h = F.md5(F.concat_ws("|", *(k.cast("string") for k in keys)))
+    u, v = ((F.conv(F.substring(h, p, 12), 16, 10).cast("double") + 0.5) / 2.0**48 for p in (1, 13))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
+
+
+def draws(df: DataFrame, by: str, x: str, id_: str, m: int) -> DataFrame:
+    """The rows m times (draw 1 to m), with `value`: x, or where it is missing a draw from the predictive distribution of its group under a normal model. Each group
+    and draw has its own variance (its posterior is a scaled inverse chi-square, by the cube-root approximation) and mean (normal about the observed mean);
+    a row then adds its own noise. Groups with fewer than two observed rows have no draws where x is missing."""
+    n, nu = F.col("n__"), F.col("n__") - 1
+    stats = df.groupBy(by).agg(F.count(x).alias("n__"), F.avg(x).alias("m__"), F.var_samp(x).alias("v__")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(m))))
+    chi = nu * F.pow(1 - 2 / (9 * nu) + normal_of(F.lit("variance"), F.col(by), F.col("draw")) * F.sqrt(2 / (9 * nu)), F.lit(3))
+    own = stats.filter("n__ > 1").withColumn("s__", F.sqrt(nu * F.col("v__") / chi)).withColumn("mu__", F.col("m__") + F.col("s__") / F.sqrt(n) * normal_of(F.lit("mean"), F.col(by), F.col("draw")))
+    # m rows a group
+    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(m)))).join(own.select(by, "draw", "mu__", "s__"), [by, "draw"], "left")
+    value = F.coalesce(F.col(x), F.col("mu__") + F.col("s__") * normal_of(F.lit("row"), F.col(id_), F.col("draw")))
+    return rows.withColumn("value", value).drop("mu__", "s__")
 
 
 def correlation_error(df: DataFrame, pairs: Sequence[tuple[str, str]], truth: str, filled: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,38 +31,33 @@ def within(stations: DataFrame, key: str, threshold: float, x: str = "x", y: str
     return a.join(b, ["gx", "gy"]).filter("i < j").withColumn("d", d).filter((F.col("d") > 0) & (F.col("d") < threshold)).select("i", "j", "d")
 
 
-def nearest(queries: DataFrame, donors: DataFrame, columns: Sequence[str], k: int, by: str | None = None) -> DataFrame:
-    """(q, donor, d, rank): the k nearest donors on the features that both have, distances scaled by all / shared. Donors are a bounded reference set,
-    which the caller limits; with `by`, only donors of the same group meet."""
-    a = queries.select("q", *([by] if by else []), *(F.col(c).alias(f"{c}_q") for c in columns))
-    b = donors.select("donor", *([by] if by else []), *(F.col(c).alias(f"{c}_d") for c in columns))
-    both = [F.col(f"{c}_q").isNotNull() & F.col(f"{c}_d").isNotNull() for c in columns]
-    shared = sum(x.cast("int") for x in both)
-    total = sum(F.when(x, F.pow(F.col(f"{c}_q") - F.col(f"{c}_d"), F.lit(2))).otherwise(0.0) for c, x in zip(columns, both, strict=True))
-    joined = a.join(F.broadcast(b), by) if by else a.crossJoin(F.broadcast(b))
-    d = joined.withColumn("d", F.sqrt(total * len(columns) / F.when(shared > 0, shared))).filter("d is not null")
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "donor"))).filter(F.col("rank") <= k).select("q", "donor", "d", "rank")
-
-
-def nearest_on_grid(queries: DataFrame, donors: DataFrame, k: int, x: str = "x", y: str = "y", strict: bool = False) -> DataFrame:
-    """(q, donor, d, rank): the k nearest donors in the plane, ties by donor. Points meet by an equi-join on grid cells and their neighbours; the answer holds
-    where the k-th distance is no more than a cell. Other queries go on with cells twice as wide, until a cell spans all donors. With `strict`
-    a donor of the query's own id doesn't count. Queries or donors without coordinates have no neighbours."""
+def nearest_on_grid(queries: DataFrame, donors: DataFrame, k: int, x: str = "x", y: str = "y", strict: bool = False, more: Sequence[str] = ()) -> DataFrame:
+    """(q, donor, d, rank): the k nearest donors in the plane (or on more axes), ties by donor. Points meet by an equi-join on grid cells and their neighbours; the
+    answer holds where the k-th distance is no more than a cell. Other queries go on with cells twice as wide, until a cell spans all donors. With
+    `strict` a donor of the query's own id doesn't count. Queries or donors that lack a coordinate have no neighbours."""
     from ..sources.files import kept
 
-    donors = donors.select("donor", F.col(x).alias("dx"), F.col(y).alias("dy")).filter("dx is not null and dy is not null")
-    left = queries.select("q", F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
-    box = donors.agg(F.count(F.lit(1)).alias("n"), F.min("dx").alias("x0"), F.max("dx").alias("x1"), F.min("dy").alias("y0"), F.max("dy").alias("y1")).first()
-    far = left.agg(F.max(F.greatest(F.abs(F.col("x") - (box["x0"] or 0.0)), F.abs(F.col("x") - (box["x1"] or 0.0)), F.abs(F.col("y") - (box["y0"] or 0.0)), F.abs(F.col("y") - (box["y1"] or 0.0)))).alias("far")).first()["far"] or 0.0
-    span = max(far, 1e-9)
-    cell = max(((box["x1"] or 0.0) - (box["x0"] or 0.0)) * ((box["y1"] or 0.0) - (box["y0"] or 0.0)) * (k + 1) / max(1, box["n"]), 1e-12) ** 0.5
+    axes = [x, y, *more]
+    at, to, cells = ([f"{p}{i}__" for i in range(len(axes))] for p in "abg")
+    whole = " and ".join(f"{c} is not null" for c in to)
+    donors = donors.select("donor", *(F.col(a).alias(c) for a, c in zip(axes, to, strict=True))).filter(whole)
+    left = queries.select("q", *(F.col(a).alias(c) for a, c in zip(axes, at, strict=True))).filter(" and ".join(f"{c} is not null" for c in at))
+    box = donors.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in to for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    ends = [(box[f"lo{c}"] or 0.0, box[f"hi{c}"] or 0.0) for c in to]
+    far = left.agg(F.max(F.greatest(*(F.abs(F.col(c) - e) for c, pair in zip(at, ends, strict=True) for e in pair))).alias("far")).first()["far"] or 0.0
+    span, volume = max(far, 1e-9), 1.0
+    for lo, hi in ends:
+        volume *= hi - lo
+    cell = max(volume * (k + 1) / max(1, box["n"]), 1e-6 ** len(axes)) ** (1 / len(axes))
     out = None
-    steps = F.array(*map(F.lit, (-1, 0, 1)))
     while True:
         last = cell >= span
-        a = left.withColumn("sx", F.explode(steps)).withColumn("sy", F.explode(steps)).withColumns({"gx": F.floor(F.col("x") / cell) + F.col("sx"), "gy": F.floor(F.col("y") / cell) + F.col("sy")})
-        b = donors.withColumns({"gx": F.floor(F.col("dx") / cell), "gy": F.floor(F.col("dy") / cell)})
-        d = a.join(b, ["gx", "gy"]).select("q", "donor", F.sqrt(F.pow(F.col("x") - F.col("dx"), F.lit(2)) + F.pow(F.col("y") - F.col("dy"), F.lit(2))).alias("d"))
+        a = left
+        for c, g in zip(at, cells, strict=True):
+            a = a.withColumn("step__", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(g, F.floor(F.col(c) / cell) + F.col("step__"))
+        b = donors.withColumns({g: F.floor(F.col(c) / cell) for c, g in zip(to, cells, strict=True)})
+        square = sum((F.pow(F.col(p) - F.col(o), F.lit(2)) for p, o in zip(at[1:], to[1:], strict=True)), F.pow(F.col(at[0]) - F.col(to[0]), F.lit(2)))
+        d = a.join(b, cells).select("q", "donor", F.sqrt(square).alias("d"))
         d = d.filter("q <> donor") if strict else d
         w = Window.partitionBy("q")
         d = d.withColumn("rank", F.row_number().over(w.orderBy("d", "donor"))).filter(F.col("rank") <= k)
@@ -117,49 +112,15 @@ def shape(kind: str, h, reach: float):
     return {"spherical": np.where(r <= 1, 1.5 * r - 0.5 * r**3, 1.0), "exponential": 1 - np.exp(-3 * r), "gaussian": 1 - np.exp(-3 * r**2)}[kind]
 
 
-def kriged(points: DataFrame, targets: DataFrame, model: tuple[str, float, float, float], kind: str = "ordinary", mean: float = 0.0, drift: Callable | None = None) -> DataFrame:
-    """(t, target, estimate, variance) for each time t: ordinary, simple or universal kriging. points: t, x, y, v (v null: unknown);
-    targets: target, x, y, a bounded table. One time is one group; its size is the number of stations."""
-    import numpy as np
-    import pandas as pd
-
-    name, nugget, sill, reach = model
-    goal = targets.select("target", "x", "y").toPandas()
-    terms = drift or (lambda x, y: np.stack([np.ones_like(x), x, y], axis=1))
-
-    def gamma(h):
-        return np.where(h > 0, nugget + (sill - nugget) * shape(name, h, reach), 0.0)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.dropna(subset=["v"])
-        out = pd.DataFrame({"t": pdf["t"].iloc[0], "target": goal["target"], "estimate": np.nan, "variance": np.nan})
-        if len(p) < 3:
-            return out
-        x, y, v = (p[c].to_numpy(float) for c in "xyv")
-        tx, ty = goal["x"].to_numpy(float), goal["y"].to_numpy(float)
-        k = gamma(np.hypot(x[:, None] - x, y[:, None] - y))
-        g = gamma(np.hypot(x[:, None] - tx, y[:, None] - ty))
-        if kind == "simple":
-            w = np.linalg.solve(sill - k + 1e-10 * np.eye(len(x)), sill - g)
-            return out.assign(estimate=mean + w.T @ (v - mean), variance=np.maximum(0, sill - (w * (sill - g)).sum(axis=0)))
-        f, ft = (terms(x, y), terms(tx, ty)) if kind == "universal" else (np.ones((len(x), 1)), np.ones((len(tx), 1)))
-        m = f.shape[1]
-        a = np.block([[k, f], [f.T, np.zeros((m, m))]])
-        b = np.concatenate([g, ft.T])
-        w = np.linalg.lstsq(a, b, rcond=None)[0]
-        return out.assign(estimate=w[: len(x)].T @ v, variance=np.maximum(0, (w * b).sum(axis=0)))
-
-    return points.select("t", "x", "y", "v").groupBy("t").applyInPandas(solve, "t long, target string, estimate double, variance double")
-
-
 def places(points: DataFrame, key: str, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
     """(k, x, y, v, n): one row per place, with its least key, mean value and number of values. Points without a place or a value don't count."""
     known = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(v).isNotNull())
     return known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.min(key).alias("k"), F.avg(v).alias("v"), F.count(F.lit(1)).alias("n")).select("k", "x", "y", "v", "n")
 
 
-def neighbourhood_system(x, y, v, n, at, model: tuple[str, float, float, float]) -> tuple[float, float]:
-    """(estimate, variance) at a place from its neighbours by ordinary kriging. A neighbour that is the mean of n values has an n-th of the nugget."""
+def neighbourhood_system(x, y, v, n, at, model: tuple[str, float, float, float], kind: str = "ordinary", mean: float = 0.0) -> tuple[float, float]:
+    """(estimate, variance) at a place from its neighbours: ordinary, simple (a known mean) or universal (a linear drift) kriging. A neighbour that is the mean of n
+    values has an n-th of the nugget."""
     import numpy as np
 
     name, nugget, sill, reach = model
@@ -168,16 +129,20 @@ def neighbourhood_system(x, y, v, n, at, model: tuple[str, float, float, float])
         return np.where(h > 0, nugget + (sill - nugget) * shape(name, h, reach), 0.0)
 
     m = len(x)
-    a = np.ones((m + 1, m + 1))
-    a[:m, :m] = gamma(np.hypot(x[:, None] - x, y[:, None] - y)) + np.diag(nugget * (1 - 1 / n))
-    a[m, m] = 0.0
-    b = np.append(gamma(np.hypot(x - at[0], y - at[1])), 1.0)
+    k, to = gamma(np.hypot(x[:, None] - x, y[:, None] - y)) + np.diag(nugget * (1 - 1 / n)), gamma(np.hypot(x - at[0], y - at[1]))
+    if kind == "simple":
+        w = np.linalg.lstsq(sill - k, sill - to, rcond=None)[0]
+        return float(mean + w @ (v - mean)), float(max(0.0, sill - w @ (sill - to)))
+    # the drift is taken about the place itself, in units of the range
+    f = np.stack([np.ones(m), (x - at[0]) / reach, (y - at[1]) / reach], 1) if kind == "universal" else np.ones((m, 1))
+    a = np.block([[k, f], [f.T, np.zeros((f.shape[1], f.shape[1]))]])
+    b = np.concatenate([to, [1.0], np.zeros(f.shape[1] - 1)])
     w = np.linalg.lstsq(a, b, rcond=None)[0]
     return float(w[:m] @ v), float(max(0.0, w @ b))
 
 
-def kriged_near(at: DataFrame, targets: DataFrame, model: tuple[str, float, float, float], k: int = 16, strict: bool = False) -> DataFrame:
-    """(target, estimate, variance): ordinary kriging of every target (target, x, y) from its k nearest places (see `places`), the moving neighbourhood:
+def kriged_near(at: DataFrame, targets: DataFrame, model: tuple[str, float, float, float], k: int = 16, strict: bool = False, kind: str = "ordinary", mean: float = 0.0) -> DataFrame:
+    """(target, estimate, variance): ordinary (or simple, or universal) kriging of every target (target, x, y) from its k nearest places (see `places`), the moving neighbourhood:
     each target is a system of k + 1 equations, whatever the number of places. With `strict` a place of the target's own id doesn't count
     (leave one out). Targets without coordinates, and all targets if there is no place, have no row."""
     import numpy as np
@@ -190,11 +155,10 @@ def kriged_near(at: DataFrame, targets: DataFrame, model: tuple[str, float, floa
 
     def solve(parts):
         for pdf in parts:
-            out = [neighbourhood_system(*(np.asarray(r[c], float) for c in ("x", "y", "v", "n")), (r["tx"], r["ty"]), model) for r in pdf.to_dict("records")]
+            out = [neighbourhood_system(*(np.asarray(r[c], float) for c in ("x", "y", "v", "n")), (r["tx"], r["ty"]), model, kind, mean) for r in pdf.to_dict("records")]
             yield pd.DataFrame({"target": pdf["target"], "estimate": [e for e, _ in out], "variance": [e for _, e in out]})
 
-    kind = dict(targets.dtypes)["target"]
-    return rows.mapInPandas(solve, f"target {kind}, estimate double, variance double")
+    return rows.mapInPandas(solve, f"target {dict(targets.dtypes)['target']}, estimate double, variance double")
 
 
 def trans_gaussian(points: DataFrame, key: str, model: tuple[str, float, float, float], k: int = 16, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
@@ -290,4 +254,4 @@ def inverse_distance(edges: DataFrame, values: DataFrame) -> DataFrame:
     return n.groupBy(F.col("i").alias("k")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("estimate"))
 
 
-__all__ = ["block_variogram", "cross_validated", "delaunay", "distances", "fitted_variogram", "inverse_distance", "kriged", "kriged_near", "moran", "nearest", "nearest_on_grid", "pairs", "places", "semivariogram", "trans_gaussian", "variogram", "within"]
+__all__ = ["block_variogram", "cross_validated", "delaunay", "distances", "fitted_variogram", "inverse_distance", "kriged_near", "moran", "nearest_on_grid", "pairs", "places", "semivariogram", "trans_gaussian", "variogram", "within"]

@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
 from .series import long_form
 
 
@@ -17,12 +18,12 @@ def by_variable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def basic(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, missing, mean, both deviations, extremes, linear quartiles, skewness, excess kurtosis: one pass."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = by_variable(df, columns).groupBy("variable").agg(
+    """Count, missing, mean, both deviations, extremes, linear quartiles, skewness, excess kurtosis: one pass, and one for the quartiles."""
+    long = by_variable(df, columns)
+    out = long.groupBy("variable").agg(
         F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd_pop"), F.stddev_samp("value").alias("sd"),
-        F.var_samp("value").alias("var"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"))
-    out = out.withColumns({"q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2]}).drop("q")
+        F.var_samp("value").alias("var"), F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"))
+    out = out.join(percentiles(long, ["variable"], "value", [0.25, 0.5, 0.75]), "variable", "left").withColumns({"q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2]}).drop("q")
     n = F.col("n")
     return out.withColumns({
         "iqr": F.col("q3") - F.col("q1"), "missing_ratio": F.col("missing") / (n + F.col("missing")),

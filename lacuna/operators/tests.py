@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .ranks import medians
 from .series import AT, BY, autocorrelation, ordered
 from .stats import ranked
 
@@ -27,7 +28,7 @@ def ljung_box(df: DataFrame, x: str, lags: int = 10) -> DataFrame:
 def runs_z(df: DataFrame, x: str) -> DataFrame:
     """Runs test about the median: (series, runs, z)."""
     o = df.filter(F.col(x).isNotNull())
-    d = o.join(o.groupBy(BY).agg(F.median(x).alias("md")), BY).withColumn("b", F.col(x) >= F.col("md")).withColumn("pb", F.lag("b").over(ordered()))
+    d = o.join(medians(o, [BY], x, "md"), BY).withColumn("b", F.col(x) >= F.col("md")).withColumn("pb", F.lag("b").over(ordered()))
     a = d.groupBy(BY).agg((F.count_if(F.col("b") != F.col("pb")) + 1).alias("runs"), F.count_if("b").alias("n1"), F.count_if(~F.col("b")).alias("n2"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     mean = 2 * n1 * n2 / (n1 + n2) + 1
@@ -121,8 +122,9 @@ def paired_t(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
 
 
 def wilcoxon(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """Signed-rank sums of the non-zero differences (average ranks)."""
-    d = df.select(group, (F.col(a) - F.col(b)).alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))
+    """Signed-rank sums of the non-zero differences (average ranks). Differences are taken to nine digits, so that last bits neither split ties nor stand for
+    a difference."""
+    d = df.select(group, F.round(F.col(a) - F.col(b), 9).alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))
     r = ranked(d, [group], "m", False)
     return r.groupBy(group).agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("minus"), F.count(F.lit(1)).alias("n"))
 

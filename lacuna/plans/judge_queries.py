@@ -13,6 +13,7 @@ from ..operators import series as S
 from ..operators import spatial as P
 from ..operators import stats as T
 from ..operators import tests as H
+from ..operators.ranks import percentiles
 from .series_queries import LIN, PREV, W, ACF
 from .tables import G, L, r6, register, rounded, sensors, table, variables
 
@@ -166,7 +167,7 @@ def tst_14_diebold_mariano(spark, sf_dir):
     return rounded(H.diebold_mariano(d, "series", "i", "e1", "e2", 2))
 
 
-@register("tst_19_21_paired", FILLED + """, d AS (SELECT series, abs(lin - truth) - abs(mean_fill - truth) AS d FROM f WHERE x IS NULL), r AS (SELECT series, d, rank() OVER (PARTITION BY series ORDER BY abs(d)) + (count(*) OVER (PARTITION BY series, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+@register("tst_19_21_paired", FILLED + """, d AS (SELECT series, abs(lin - truth) - abs(mean_fill - truth) AS d FROM f WHERE x IS NULL), e AS (SELECT series, round(d, 9) AS d FROM d), r AS (SELECT series, d, rank() OVER (PARTITION BY series ORDER BY abs(d)) + (count(*) OVER (PARTITION BY series, abs(d)) - 1) / 2.0 AS r FROM e WHERE d <> 0),
 w AS (SELECT series, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS minus FROM r GROUP BY series)
 SELECT series, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, count(*) AS n, round(avg(d) / stddev_samp(d), 6) AS cohen_d, CAST(any_value(plus) AS DOUBLE) AS plus, CAST(any_value(minus) AS DOUBLE) AS minus,
   CASE WHEN abs(avg(d) / stddev_samp(d)) < 0.2 THEN 'negligible' WHEN abs(avg(d) / stddev_samp(d)) < 0.5 THEN 'small' WHEN abs(avg(d) / stddev_samp(d)) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM d JOIN w USING (series) GROUP BY series""")
@@ -198,7 +199,7 @@ def tst_23_trend(spark, sf_dir):
 @register("tst_27_outlier_ratio", f"""WITH {G}, q AS (SELECT series, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM g GROUP BY series) SELECT g.series, round(avg((x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))::INT), 6) AS ratio FROM g JOIN q USING (series) WHERE x IS NOT NULL GROUP BY g.series""")
 def tst_27_outlier_ratio(spark, sf_dir):
     d = sensors(spark, sf_dir).filter("x is not null")
-    q = d.groupBy("series").agg(F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"))
+    q = percentiles(d, ["series"], "x", [0.25, 0.75]).select("series", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     far = 1.5 * (F.col("q3") - F.col("q1"))
     return rounded(d.join(q, "series").groupBy("series").agg(F.avg(((F.col("x") < F.col("q1") - far) | (F.col("x") > F.col("q3") + far)).cast("int")).alias("ratio")))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels as K
 from ..operators import series as S
+from ..operators import statespace
 from ..operators import stats as T
+from ..operators.ranks import medians, numbered
 
 #: fill(df with series, i and the column, column, output column, parameters) -> df with the output column
 Fill = Callable[..., DataFrame]
@@ -33,6 +36,20 @@ def register_method(name: str, fill: Fill, kind: str = "plug-in", doc: str = "",
     METHODS[name] = Method(name, fill, kind, doc, defaults)
 
 
+@contextmanager
+def plugged_in(name: str, fill: Fill, kind: str = "plug-in", doc: str = "", **defaults) -> Iterator[None]:
+    """A method that is registered within, and gone (or what it was before) after."""
+    before = METHODS.get(name)
+    register_method(name, fill, kind, doc, **defaults)
+    try:
+        yield
+    finally:
+        if before is None:
+            del METHODS[name]
+        else:
+            METHODS[name] = before
+
+
 def _whole(f):
     return lambda df, x, out, **p: f(df, x, out, **p)
 
@@ -59,6 +76,10 @@ def _constant(aggregate):
     return run
 
 
+def _median(df: DataFrame, x: str, out: str) -> DataFrame:
+    return df.join(medians(df, [S.BY], x, "c__"), S.BY, "left").withColumn(out, F.coalesce(x, "c__")).drop("c__")
+
+
 def _mode(df: DataFrame, x: str, out: str) -> DataFrame:
     counts = df.filter(F.col(x).isNotNull()).groupBy(S.BY, x).count()
     best = counts.groupBy(S.BY).agg(F.min(F.struct((-F.col("count")).alias("n"), x)).alias("b")).select(S.BY, F.col(f"b.{x}").alias("c__"))
@@ -67,14 +88,14 @@ def _mode(df: DataFrame, x: str, out: str) -> DataFrame:
 
 def _sampled(df: DataFrame, x: str, out: str, seed: int = 42) -> DataFrame:
     """A seeded random observed value of the series: observed rows are numbered, each gap picks a number."""
-    seen = df.filter(F.col(x).isNotNull()).select(S.BY, F.row_number().over(S.ordered()).alias("k__"), F.col(x).alias("c__"))
+    seen = numbered(df.filter(F.col(x).isNotNull()).select(S.BY, S.AT, F.col(x).alias("c__")), [S.BY], [S.AT], "k__").drop(S.AT)
     n = seen.groupBy(S.BY).agg(F.count(F.lit(1)).alias("n__"))
     gaps = df.join(n, S.BY, "left").withColumn("k__", F.when(F.col(x).isNull(), F.pmod(F.xxhash64(S.BY, S.AT, F.lit(seed)), F.col("n__")).cast("int") + 1))
     return gaps.join(seen, [S.BY, "k__"], "left").withColumn(out, F.coalesce(x, "c__")).drop("k__", "c__", "n__")
 
 
 def _kalman(df: DataFrame, x: str, **p) -> DataFrame:
-    f = S.kalman(df, x, **p).select(S.BY, S.AT, "filtered")
+    f = statespace.smoothed(df, x, statespace.local_level(**p), smooth=False).select(S.BY, S.AT, "filtered")
     return df.select(S.BY, S.AT, x).join(f, [S.BY, S.AT]).select(S.BY, S.AT, F.coalesce(x, "filtered").alias("filled"))
 
 
@@ -94,7 +115,7 @@ def adaptive(df: DataFrame, x: str, out: str) -> DataFrame:
 
 for _name, _fill, _kind, _doc, _defaults in (
     ("mean", _constant(F.avg), "simple", "mean of the series", {}),
-    ("median", _constant(F.median), "simple", "median of the series", {}),
+    ("median", _median, "simple", "median of the series", {}),
     ("mode", _mode, "simple", "most frequent value, smallest on ties", {}),
     ("random_sample", _sampled, "simple", "seeded draw of an observed value", {}),
     ("forward_fill", _window(S.forward_fill), "simple", "last value", {"limit": None}),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as N
 from ..operators import catalog as C
 from ..operators import missing as M
+from ..operators import quantile as Z
 from ..operators import reports as P
 from ..operators import series as S
 from ..operators import spatial
@@ -218,9 +219,10 @@ def imp_23_text_fill(spark, sf_dir):
 @register("imp_50_52_udf_01_02_imputer", f"WITH {G}, m AS (SELECT series, max(x) AS m FROM g GROUP BY series) SELECT series, i, round(coalesce(x, m), 6) AS filled FROM g JOIN m USING (series)")
 def imp_50_52_udf_01_02_imputer(spark, sf_dir):
     """A plug-in method, registered and run through the imputer's fit and transform."""
-    R.register_method("largest", lambda df, x, out: df.join(F.broadcast(df.groupBy("series").agg(F.max(x).alias("m__"))), "series").withColumn(out, F.coalesce(x, "m__")).drop("m__"), doc="largest value of the series")
+    largest = R.plugged_in("largest", lambda df, x, out: df.join(F.broadcast(df.groupBy("series").agg(F.max(x).alias("m__"))), "series").withColumn(out, F.coalesce(x, "m__")).drop("m__"), doc="largest value of the series")
     d = sensors(spark, sf_dir).select("series", "i", "x")
-    return rounded(R.Imputer("largest", "x", out="filled").fit(d).transform(d).drop("x"))
+    with largest:
+        return rounded(R.Imputer("largest", "x", out="filled").fit(d).transform(d).drop("x"))
 
 
 @register("udf_03_chunks", "SELECT event_type AS series, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -261,6 +263,21 @@ def cnf_03_06_quantile_band(spark, sf_dir):
     return rounded(P.quantile_band(d, "series", "truth", "lo", "hi", F.col("event_id") % 2 == 0, 0.1))
 
 
+@register("cnf_03_quantile_regression", FILLED.replace("WITH", "WITH RECURSIVE", 1) + """, t AS (SELECT series, event_id % 3 AS part, truth AS y, lin FROM f WHERE x IS NULL), u AS (SELECT avg(lin) AS m, stddev_pop(lin) AS s, avg(y) AS my, stddev_pop(y) AS sy FROM t WHERE part = 0),
+d AS (SELECT (lin - m) / s AS x, y, sy FROM t, u WHERE part = 0), b AS (SELECT tau, 0 AS k, my AS b0, 0.0::DOUBLE AS b1 FROM u, (VALUES (0.05::DOUBLE), (0.95::DOUBLE)) v(tau) UNION ALL
+  SELECT tau, k + 1, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx), (sw * sxy - sx * sy) / (sw * sxx - sx * sx) FROM (SELECT tau, k, sum(w) AS sw, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * y + 2 * tau - 1) AS sy, sum(w * x * y + (2 * tau - 1) * x) AS sxy
+    FROM (SELECT tau, k, x, y, 1 / (abs(y - b0 - b1 * x) + greatest(pow(0.5, k), 1e-4) * sy) AS w FROM b, d WHERE k < 20) GROUP BY tau, k)),
+l AS (SELECT t.*, lo.b0 + lo.b1 * (lin - m) / s AS lo, hi.b0 + hi.b1 * (lin - m) / s AS hi FROM t, u, b lo, b hi WHERE lo.k = 20 AND hi.k = 20 AND lo.tau < 0.5 AND hi.tau > 0.5),
+k AS (SELECT series, greatest(lo - y, y - hi) AS s, row_number() OVER (PARTITION BY series ORDER BY greatest(lo - y, y - hi)) AS k, count(*) OVER (PARTITION BY series) AS n FROM l WHERE part = 1), q AS (SELECT series, s AS margin FROM k WHERE k = least(n, ceil((n + 1) * 0.9)))
+SELECT series, round(any_value(margin), 4) AS margin, round(avg((y BETWEEN lo - margin AND hi + margin)::INT), 6) AS coverage, round(avg(hi - lo + 2 * margin), 4) AS width FROM l JOIN q USING (series) WHERE part = 2 GROUP BY series""")
+def cnf_03_quantile_regression(spark, sf_dir):
+    """Conformalised quantile regression of the truth on the linear fill: lines fitted on a third of the gaps, widened on a third, judged on the rest."""
+    part = F.col("event_id") % 3
+    d = Z.conformal_quantiles(filled(spark, sf_dir).filter("x is null"), "series", "truth", ["lin"], part == 0, part == 1, 0.1).filter(part == 2)
+    hit = F.col("truth").between(F.col("lo"), F.col("hi")).cast("int")
+    return d.groupBy("series").agg(F.round(F.first("margin"), 4).alias("margin"), F.round(F.avg(hit), 6).alias("coverage"), F.round(F.avg(F.col("hi") - F.col("lo")), 4).alias("width"))
+
+
 @register("cnf_04_cv_plus", f"""WITH {G}, s AS (SELECT series, event_id % 5 AS fold, sum(x) AS s, count(x) AS n FROM g WHERE x IS NOT NULL GROUP BY 1, 2), m AS (SELECT series, fold, (sum(s) OVER (PARTITION BY series) - s) / (sum(n) OVER (PARTITION BY series) - n) AS mu FROM s),
 e AS (SELECT g.series, mu + abs(x - mu) AS up, abs(x - mu) - mu AS down FROM g JOIN m ON m.series = g.series AND m.fold = g.event_id % 5 WHERE x IS NOT NULL), k AS (SELECT series, list_sort(list(up)) AS u, list_sort(list(down)) AS d, CAST(least(count(*), ceil((count(*) + 1) * 0.9)) AS BIGINT) AS k FROM e GROUP BY 1),
 q AS (SELECT series, -d[k] AS lo, u[k] AS hi FROM k) SELECT series, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(avg((truth BETWEEN lo - 1e-9 AND hi + 1e-9)::INT), 6) AS coverage FROM g JOIN q USING (series) WHERE x IS NULL GROUP BY series""")
@@ -272,13 +289,18 @@ def cnf_04_cv_plus(spark, sf_dir):
     return rounded(d.filter("x is null").join(q, "series").groupBy("series").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.avg(hit).alias("coverage")))
 
 
-@register("imp_39_met_13_multiple", f"""WITH {G}, p AS (SELECT series, avg(x) AS m, stddev_pop(x) AS s FROM g GROUP BY 1), d AS (SELECT g.series, draw, coalesce(x, m + s * sqrt(-2 * ln((((event_id + 7 * draw) * 2654435761) % 1000 + 0.5) / 1000)) * cos(2 * pi() * ((((event_id + 13 * draw) * 40503) % 997) / 997.0))) AS v FROM g JOIN p USING (series), range(1, 6) k(draw)),
+def _normal(*keys: str) -> str:
+    h = "md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + "))"
+    u, v = (f"((('0x' || substr({h}, {p}, 12))::BIGINT + 0.5) / pow(2, 48))" for p in (1, 13))
+    return f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
+
+
+@register("imp_39_met_13_multiple", f"""WITH {G}, p AS (SELECT series, count(x)::DOUBLE AS n, avg(x) AS m, var_samp(x) AS v FROM g GROUP BY 1), w AS (SELECT series, draw, n, m, sqrt((n - 1) * v / ((n - 1) * pow(1 - 2 / (9 * (n - 1)) + {_normal("'variance'", 'series', 'draw')} * sqrt(2 / (9 * (n - 1))), 3))) AS s FROM p, range(1, 6) k(draw)),
+o AS (SELECT series, draw, s, m + s / sqrt(n) * {_normal("'mean'", 'series', 'draw')} AS mu FROM w), d AS (SELECT series, draw, coalesce(x, mu + s * {_normal("'row'", 'event_id', 'draw')}) AS v FROM g JOIN o USING (series)),
 e AS (SELECT series, draw, avg(v) AS q, var_samp(v) / count(*) AS u FROM d GROUP BY 1, 2) SELECT series, round(avg(q), 6) AS pooled, round(avg(u) + 1.2 * var_samp(q), 6) AS total, round(1.2 * var_samp(q) / (avg(u) + 1.2 * var_samp(q)), 6) AS fmi FROM e GROUP BY series""")
 def imp_39_met_13_multiple(spark, sf_dir):
-    """Five imputations, each series' mean in each of them, pooled by Rubin's rules."""
-    d = sensors(spark, sf_dir)
-    m = d.groupBy("series").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    v = P.draws(d.join(m, "series"), "x", F.col("m"), F.col("s"), F.col("event_id"), 5)
+    """Five imputations, each with a mean and a variance of its own, each series' mean in each of them, pooled by Rubin's rules."""
+    v = P.draws(sensors(spark, sf_dir), "series", "x", "event_id", 5)
     each = v.groupBy("series", "draw").agg(F.avg("value").alias("q"), (F.var_samp("value") / F.count("value")).alias("u"))
     return rounded(H.rubin(each, "series", "q", "u").select("series", "pooled", "total", "fmi"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series as S
+from ..operators import statespace
+from ..operators.ranks import medians
 from .tables import G, r6, register, rounded, sensors
 
 W = "PARTITION BY series ORDER BY i"
@@ -128,7 +130,7 @@ SELECT series, CAST(sum(CASE WHEN b <> pb THEN 1 ELSE 0 END) + 1 AS BIGINT) AS r
 def win_17_23_runs_durbin(spark, sf_dir):
     o = sensors(spark, sf_dir).filter("x is not null")
     w = S.ordered()
-    d = o.join(o.groupBy("series").agg(F.median("x").alias("md")), "series").withColumns({"b": F.col("x") >= F.col("md"), "d": F.col("x") - F.lag("x").over(w)})
+    d = o.join(medians(o, ["series"], "x", "md"), "series").withColumns({"b": F.col("x") >= F.col("md"), "d": F.col("x") - F.lag("x").over(w)})
     d = d.withColumns({"pb": F.lag("b").over(w), "pd": F.lag("d").over(w)})
     return rounded(d.groupBy("series").agg((F.count_if(F.col("b") != F.col("pb")) + 1).alias("runs"), (F.sum(F.pow(F.col("d") - F.col("pd"), 2)) / F.sum(F.col("d") * F.col("d"))).alias("durbin_watson")))
 
@@ -137,8 +139,9 @@ def win_17_23_runs_durbin(spark, sf_dir):
 SELECT o.series, round(median(abs(d - md)) * 1.4826 / any_value(sd), 6) AS noise FROM o JOIN m USING (series) GROUP BY o.series""")
 def win_21_noise(spark, sf_dir):
     o = sensors(spark, sf_dir).filter("x is not null").withColumn("d", F.col("x") - F.lag("x").over(S.ordered()))
-    m = o.groupBy("series").agg(F.median("d").alias("md"), F.stddev_samp("x").alias("sd"))
-    return rounded(o.join(m, "series").groupBy("series").agg((F.median(F.abs(F.col("d") - F.col("md"))) * 1.4826 / F.first("sd")).alias("noise")))
+    far = o.join(medians(o, ["series"], "d", "md"), "series").withColumn("far", F.abs(F.col("d") - F.col("md")))
+    sd = o.groupBy("series").agg(F.stddev_samp("x").alias("sd"))
+    return rounded(medians(far, ["series"], "far", "mad").join(sd, "series").select("series", (F.col("mad") * 1.4826 / F.col("sd")).alias("noise")))
 
 
 @register("win_22_stationarity", f"""WITH {G}, o AS (SELECT series, x, row_number() OVER ({W}) - 1 AS k, count(*) OVER (PARTITION BY series) AS n FROM g WHERE x IS NOT NULL),
@@ -202,7 +205,29 @@ k AS (SELECT series, 0::BIGINT AS i, m0 AS m, 1.0::DOUBLE AS p FROM z UNION ALL
     CASE WHEN g.x IS NULL THEN p + 1e-5 ELSE (1 - (p + 1e-5) / (p + 1e-5 + 1e-2)) * (p + 1e-5) END FROM k JOIN g ON g.series = k.series AND g.i = k.i + 1)
 SELECT series, i, round(m, 6) AS filtered FROM k WHERE i > 0""")
 def imp_12_kalman(spark, sf_dir):
-    return rounded(S.kalman(sensors(spark, sf_dir), "x"))
+    return rounded(statespace.smoothed(sensors(spark, sf_dir), "x", statespace.local_level(), smooth=False).select("series", "i", "filtered"))
+
+
+@register("imp_12_kalman_smoother", f"""WITH RECURSIVE {G}, z AS (SELECT series, arg_min(x, i) FILTER (WHERE x IS NOT NULL) AS m0, max(i) AS n FROM g GROUP BY series),
+k AS (SELECT series, 0::BIGINT AS i, m0 AS m, 1.0::DOUBLE AS p FROM z UNION ALL
+  SELECT k.series, g.i, CASE WHEN g.x IS NULL THEN m ELSE m + (p + 0.5) / (p + 0.5 + 4) * (g.x - m) END,
+    CASE WHEN g.x IS NULL THEN p + 0.5 ELSE (1 - (p + 0.5) / (p + 0.5 + 4)) * (p + 0.5) END FROM k JOIN g ON g.series = k.series AND g.i = k.i + 1),
+b AS (SELECT k.series, k.i, m AS s, p AS v FROM k JOIN z ON z.series = k.series AND k.i = n UNION ALL
+  SELECT k.series, k.i, k.m + k.p / (k.p + 0.5) * (b.s - k.m), k.p + pow(k.p / (k.p + 0.5), 2) * (b.v - k.p - 0.5) FROM b JOIN k ON k.series = b.series AND k.i = b.i - 1 WHERE k.i > 0)
+SELECT series, i, round(s, 6) AS smoothed, round(v, 6) AS smoothed_var, round(s - 1.96 * sqrt(v + 4), 6) AS lo, round(s + 1.96 * sqrt(v + 4), 6) AS hi FROM b""")
+def imp_12_kalman_smoother(spark, sf_dir):
+    """Local level with all rows in view, with the interval of a value: forward and backward scans."""
+    model = statespace.local_level(0.5, 4.0)
+    return rounded(statespace.interval(statespace.smoothed(sensors(spark, sf_dir), "x", model), model).select("series", "i", "smoothed", "smoothed_var", "lo", "hi"))
+
+
+@register("imp_37_structural")
+def imp_37_structural(spark, sf_dir):
+    """Level, trend and a daily season of two harmonics; the gaps take the smoothed value (tests hold it against a plain loop)."""
+    d = sensors(spark, sf_dir).select("series", "i", "x")
+    model = statespace.structural(0.5, 1e-4, 0.01, 24, 2, 4.0)
+    out = statespace.interval(statespace.smoothed(d, "x", model), model).join(d, ["series", "i"])
+    return rounded(out.select("series", "i", F.coalesce("x", "smoothed").alias("filled"), "smoothed", "lo", "hi"), 5)
 
 
 @register("imp_22_seasonal", f"""WITH {G}, mf AS (SELECT *, coalesce(x, avg(x) OVER (PARTITION BY series)) AS y FROM g),

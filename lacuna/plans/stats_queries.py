@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import missing as M
 from ..operators import stats as T
 from ..operators import validate as V
+from ..operators.ranks import percentiles
 from .tables import G, L, r6, register, rounded, sensors, table, variables
 
 ABC = ["a", "b", "c"]
@@ -94,7 +95,7 @@ SELECT CAST(bin AS BIGINT) AS bin, n, round(p, 6) AS coverage, round((p + 1.9207
 def agg_25_coverage(spark, sf_dir):
     """Interval coverage by quantile bin with Wilson intervals."""
     p = variables(spark, sf_dir, False).filter("a is not null and b is not null").select("a", F.expr("b between a - 10 and a + 40").alias("hit"))
-    t = T.with_totals(p, q=F.percentile("a", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+    t = p.crossJoin(F.broadcast(percentiles(p, [], "a", [0.25, 0.5, 0.75])))
     k = t.withColumn("bin", sum((F.col("a") > F.col("q")[i]).cast("long") for i in range(3)))
     c = k.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("int")).alias("p"))
     n, q = F.col("n"), F.col("p")
@@ -199,7 +200,7 @@ SELECT g.series, i, (event_id * 2654435761) % 1000 < 200 AS mcar, CASE WHEN trut
   i % 100 < 24 AS block, g.series = 'click' AS outage, i % 5 = 0 AS systematic, (event_id * 2654435761) % 1000 < 80 OR i % 60 < 5 OR i % 24 = 0 AS mixed FROM g JOIN q USING (series)""")
 def sim_01_07_masks(spark, sf_dir):
     d = sensors(spark, sf_dir)
-    q = d.groupBy("series").agg(F.percentile("truth", F.lit(0.8)).alias("q"))
+    q = percentiles(d, ["series"], "truth", [0.8]).select("series", F.col("q")[0].alias("q"))
     i, e = F.col("i"), F.col("event_id")
     return d.join(q, "series").select("series", "i", M.mcar(e, 0.2).alias("mcar"), M.mnar(F.col("truth"), F.col("q"), e, 0.2).alias("mnar"), M.blocks(i, 100, 24).alias("block"), (F.col("series") == "click").alias("outage"), (i % 5 == 0).alias("systematic"), (M.mcar(e, 0.08) | M.blocks(i, 60, 5) | (i % 24 == 0)).alias("mixed"))
 

@@ -147,10 +147,10 @@ def test_gaussian_and_low_rank_fills(spark):
 
 
 def test_kriging_is_exact_at_its_points(spark):
-    pts = spark.createDataFrame([(0, float(i), float(i * i % 7), float(i % 5)) for i in range(8)], "t long, x double, y double, v double")
+    pts = spark.createDataFrame([(i, float(i), float(i * i % 7), float(i % 5)) for i in range(8)], "k long, x double, y double, v double")
     at = spark.createDataFrame([("p3", 3.0, 2.0)], "target string, x double, y double")
-    for kind in ("ordinary", "universal"):
-        r = spatial.kriged(pts, at, ("exponential", 0.0, 4.0, 6.0), kind).first()
+    for kind in ("ordinary", "universal", "simple"):
+        r = spatial.kriged_near(spatial.places(pts, "k"), at, ("exponential", 0.0, 4.0, 6.0), 8, kind=kind, mean=2.0).first()
         assert r["estimate"] == pytest.approx(3.0, abs=1e-6) and r["variance"] == pytest.approx(0, abs=1e-6)
 
 
