@@ -5,8 +5,11 @@ versioned table says which shard holds which slot. Rebalancing edits that table:
 they are unless their shard is over its share. Everything is DataFrame expressions; the only rows that
 meet in one place are the slots (a fixed number, whatever the data).
 
-Defined results: null text counts as no bytes; null keys hash like any value; rows that are equal in key
-and text land in one slot; an empty table gives an empty result and an all-zero map; column names of the
+A slot comes from key, text and the copy's number: rows that are equal in key and text are numbered within the task that reads them, so that a record that is
+a third of all rows is spread over slots like any other rows. Sizes and slots (no texts) are stored once, and all steps read these.
+
+Defined results: null text counts as no bytes; null keys hash like any value; copies of a row are interchangeable (which of them
+has which number is left open, the numbers given out aren't); an empty table gives an empty result and an all-zero map; column names of the
 input don't clash because only key and text are read.
 """
 
@@ -15,21 +18,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 N_SLOTS = 4096
 ROW_OVERHEAD = 16
 
 
 def sized(df: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS, overhead: int = ROW_OVERHEAD) -> DataFrame:
-    """Columns doc_id, size, text_crc32, vslot. The text takes part in the hash, so that a repeated key doesn't fill one slot."""
+    """Columns doc_id, size, text_crc32, vslot. The text takes part in the hash, so that a repeated key doesn't fill one slot, and so does a copy's number among
+    equal rows of its task, so that a repeated row doesn't either."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    return df.select(
+    rows = df.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(raw) + overhead).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n_slots)).cast("int").alias("vslot"),
+        F.xxhash64(F.col(key), F.col(text)).alias("record"),
+        F.spark_partition_id().alias("task"),
     )
+    copy = F.row_number().over(Window.partitionBy("task", "record").orderBy("size"))
+    return rows.withColumn("copy", copy).select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("record", "copy"), F.lit(n_slots)).cast("int").alias("vslot"))
 
 
 def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -92,7 +99,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS,
     """Documents with their shard under the latest map; the map's versions are kept at path."""
     spark = docs.sparkSession
     path = path or shared_dir(spark, "slot-map")
-    rows = sized(docs, n_slots=n_slots)
+    rows = stored(sized(docs, n_slots=n_slots), "sizes")
     loads = slot_loads(rows, n_slots)
     at = f"{path}/loads"
     loads.coalesce(1).write.mode("overwrite").parquet(at)

@@ -476,6 +476,16 @@ def test_shards_are_level_and_places_gapless(spark, odd, none):
     assert sharding.shard_documents(none, 4, 64).count() == 0
 
 
+def test_a_record_that_is_a_third_of_all_rows_fills_no_slot(spark):
+    rows = [(i, "x" * (i * 37 % 400), None, None, 0) for i in range(3000)] + [(7, "y" * 190, None, None, 0)] * 1500
+    out = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(3), 40, 4096).toPandas()
+    load = out.groupby("shard")["size"].sum()
+    assert len(out) == 4500 and len(load) == 40 and load.max() - load.min() < 0.02 * load.mean()
+    assert out.groupby("vslot").size().max() < 40
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
 def test_rebalancing_moves_little(spark, tmp_path):
     loads = spark.range(64).select(F.col("id").cast("int").alias("vslot"), F.lit(1).cast("long").alias("n_rows"), F.lit(100).cast("long").alias("n_bytes"))
     level = sharding.rebalanced(loads, sharding.first_map(spark, 4, 64), 4).toPandas()
