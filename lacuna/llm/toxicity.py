@@ -2,11 +2,14 @@
 
 Linear classifiers over the distinct lower-cased words of a text and their beginnings (letters only) are trained with numpy from confirmed toxic
 examples (P) and unlabelled text (U). The risk is  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]);  when the second part
-falls below zero, the step goes against it (the non-negative correction). The prior is the share of toxic rows among labelled ones.
-Several classifiers see different two thirds of U; their logits are averaged.
+falls below zero, the step goes against it (the non-negative correction). Several classifiers see different two thirds of U; their logits are averaged.
 
-Bounds (documented parameters): at most max_positive toxic and max_unlabelled other labelled texts are sampled by a hash of the
-id; of the latter only the text is used. Scoring reads every whole text.
+U is drawn from all documents, labelled or not; labels other than toxic are never used. The prior (the share of toxic texts in U) is a parameter, or it is estimated
+without negative labels: a classifier of two thirds of P and U scores the rest, and the prior is the least ratio, over cutoffs that most of P is above, of the shares of U
+and of P above the cutoff (what is above it in U is at least prior times what is in P).
+
+Bounds (documented parameters): about max_positive toxic and max_unlabelled other texts at most are sampled by a hash of the
+id. Scoring reads every whole text.
 
 Defined results: null and empty texts, and texts without known words, get the score of the bias alone; null labels and labels
 without a document don't train; repeated label rows count once; without any toxic example all scores are next to 0 (the sigmoid of -30); equal texts get equal scores.
@@ -46,18 +49,19 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def sampled(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[DataFrame, float]:
-    """(features w of the sampled texts with their sides p and u, prior)."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    n_pos, n_all = n.get(1, 0), max(1, sum(n.values()))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    # U is drawn from all labelled rows alike, toxic ones too: it stands for unlabelled text
-    pick = known.select("doc_id", ((F.col("toxic") == 1) & (part < int(1e6 * min(1, max_positive / max(1, n_pos))))).alias("p"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1e6 * min(1, max_unlabelled / n_all))).alias("u"))
-    # at most about max_positive + max_unlabelled rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick.filter("p or u")), "doc_id").select("text", "p", "u")
+def sampled(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+    """Features w of the sampled texts with their sides p and u. docs are those that may train; labels are read for toxic ones alone."""
+    toxic = labels.filter("doc_id is not null and toxic = 1").select("doc_id").distinct()
+    n_pos, n_all = toxic.count(), docs.count()
+
+    def part(salt: int, most: int, n: int):
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(1e6 * min(1, most / max(1, n)))
+
+    # at most about max_positive rows
+    picked = F.broadcast(toxic.filter(part(0, max_positive, n_pos)).withColumn("p", F.lit(True)))
+    rows = docs.select("doc_id", "text").withColumn("u", part(1, max_unlabelled, n_all)).join(picked, "doc_id", "left").select("text", F.coalesce("p", F.lit(False)).alias("p"), "u").filter("p or u")
     sets = map_arrow(rows, lambda x: {"w": [sorted(features(t)) for t in x["text"].to_pylist()], "p": x["p"], "u": x["u"]}, "w array<string>, p boolean, u boolean")
-    return stored(sets, "toxicity-sample"), n_pos / n_all
+    return stored(sets, "toxicity-sample")
 
 
 def telling(sets: DataFrame, min_z: float = MIN_Z) -> list[str]:
@@ -105,6 +109,25 @@ def fitted(pos: list[list[int]], unl: list[list[int]], names: list[str], prior:
     return {k: float(total_w[i]) for i, k in enumerate(names) if abs(total_w[i]) > 1e-4}, float(total_b)
 
 
+def logits(rows: list[list[int]], names: list[str], model: tuple[dict[str, float], float]) -> np.ndarray:
+    weights = [model[0].get(k, 0.0) for k in names]
+    return np.array([model[1] + sum(weights[i] for i in r) for r in rows], float)
+
+
+def estimated_prior(pos: list[list[int]], unl: list[list[int]], names: list[str], guess: float = 0.1) -> float:
+    """The share of toxic texts in U, from P and U alone. Rows come in an order that says nothing about them; each third is scored by a classifier of the others. Without P: 0."""
+    if not pos or not unl:
+        return 0.0
+    out = []
+    for k in range(3):
+        model = fitted([r for i, r in enumerate(pos) if i % 3 != k], [r for i, r in enumerate(unl) if i % 3 != k], names, guess, 1)
+        p, u = logits(pos[k::3], names, model), logits(unl[k::3], names, model)
+        if len(p) and len(u):
+            cuts = np.quantile(p, np.linspace(0.02, 0.5, 25))
+            out.append(min(max((u >= c).mean(), 1 / len(u)) / (p >= c).mean() for c in cuts))
+    return float(min(np.mean(out), 0.9)) if out else guess
+
+
 def scored(docs: DataFrame, model: tuple[dict[str, float], float], keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, and the columns to keep."""
     weights, bias = model
@@ -118,14 +141,19 @@ def scored(docs: DataFrame, model: tuple[dict[str, float], float], keep: Sequenc
     return map_arrow(rows, make, "doc_id long, held_out boolean, score double, predicted int" + kept_ddl(docs, keep))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    """A model from the rows whose id hash modulo 5 isn't 0. Only telling features and, of the sample, their places reach the driver."""
-    sets, prior = sampled(docs, labels.filter(id_bucket("doc_id", 5) != 0))
+def trained(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple[dict[str, float], float]:
+    """A model from the rows whose id hash modulo 5 isn't 0; without a prior it is estimated. Only telling features and, of the sample, their places reach the driver."""
+    learn = id_bucket("doc_id", 5) != 0
+    sets = sampled(docs.filter(learn), labels.filter(learn))
     names = telling(sets)
     place = {w: i for i, w in enumerate(names)}
     rows = map_arrow(sets, lambda x: {"w": [[place[w] for w in ws if w in place] for ws in x["w"].to_pylist()], "p": x["p"], "u": x["u"]}, "w array<int>, p boolean, u boolean").collect()
     rows.sort(key=lambda r: (r["w"], r["p"], r["u"]))
-    return fitted([r["w"] for r in rows if r["p"]], [r["w"] for r in rows if r["u"]], names, prior)
+    pos, unl = ([r["w"] for r in rows if r[c]] for c in "pu")
+    if prior is None:
+        # the order by content says nothing about a row's side
+        prior = estimated_prior(*(sorted(x, key=lambda w: hash(tuple(w))) for x in (pos, unl)), names)
+    return fitted(pos, unl, names, prior)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
