@@ -8,28 +8,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import kept
 from .series import AT, BY, observed_before
 
 FILLED = "series string, i long, filled double"
 
 
-def per_series(df: DataFrame, x: str, solve: Callable) -> DataFrame:
-    """(series, i, filled): solve(rows, values, observed mask) -> values; observed values stay."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        i, v = pdf["i"].to_numpy(float), pdf["x"].to_numpy(float)
-        seen = ~np.isnan(v)
-        out = v.copy()
-        if seen.any() and not seen.all():
-            out[~seen] = np.asarray(solve(i, v, seen), float)[~seen]
-        return pd.DataFrame({"series": pdf["series"], "i": pdf["i"], "filled": out})
-
-    return df.select(F.col(BY).alias("series"), F.col(AT).alias("i"), F.col(x).alias("x")).groupBy("series").applyInPandas(run, FILLED)
-
-
 def in_blocks(rows: DataFrame, place: str, size: int, halo: int, solve: Callable) -> DataFrame:
     """(series, i, filled): rows (series, i, x, a place, more columns of the series) in blocks of `size` places; a block also sees the observed rows up to
     `halo` places beyond it. solve(rows, values, observed mask, wanted mask, frame) -> values of the wanted rows, which are the block's gaps."""
@@ -170,23 +154,6 @@ def or_mean(filled: DataFrame, rows: DataFrame) -> DataFrame:
     return filled.join(m, F.col("series").eqNullSafe(F.col("s__"))).select("series", "i", F.coalesce("filled", "mean").alias("filled"))
 
 
-def fourier(df: DataFrame, x: str, terms: int = 10) -> DataFrame:
-    """The strongest frequencies of the observed values in order, evaluated at each row."""
-
-    def solve(i, v, seen):
-        import numpy as np
-
-        y = v[seen]
-        f = np.fft.rfft(y - y.mean())
-        keep = np.argsort(-np.abs(f), kind="stable")[:terms]
-        n, t = len(y), (i - i[0])[:, None]
-        scale = np.where((keep == 0) | (2 * keep == n), 1.0, 2.0) / n
-        wave = np.cos(2 * np.pi * keep * t / n) * f[keep].real - np.sin(2 * np.pi * keep * t / n) * f[keep].imag
-        return y.mean() + (wave * scale).sum(axis=1)
-
-    return per_series(df, x, solve)
-
-
 def kernel_ridge(df: DataFrame, x: str, length: float = 12.0, ridge: float = 0.1, size: int = 200) -> DataFrame:
     """Ridge regression with a Laplacian kernel on row numbers around the series' mean, by blocks that see ten lengths on either side; the mean where
     nothing observed is that near."""
@@ -227,11 +194,14 @@ def forest(df: DataFrame, key: str, columns: list[str], rounds: int = 2, trees:
     from pyspark.ml.regression import RandomForestRegressor
 
     means = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
-    d = df.select(key, *columns, *(F.coalesce(F.col(c), F.lit(means[c])).alias(f"{c}__f") for c in columns)).persist()
+    names = [key, *columns, *(f"{c}__f" for c in columns)]
+    d = kept(df.select(key, *columns, *(F.coalesce(F.col(c), F.lit(means[c])).alias(f"{c}__f") for c in columns)), "forest")
     for _ in range(rounds):
         for c in columns:
             others = [f"{o}__f" for o in columns if o != c]
             v = VectorAssembler(inputCols=others, outputCol="features__").transform(d)
             model = RandomForestRegressor(featuresCol="features__", labelCol=c, predictionCol="guess__", numTrees=trees, maxDepth=6, seed=seed).fit(v.filter(F.col(c).isNotNull()))
             d = model.transform(v).withColumn(f"{c}__f", F.coalesce(F.col(c), F.col("guess__"))).drop("features__", "guess__")
+        # each round is stored, so that plans don't grow with the rounds
+        d = kept(d.select(*names), "forest")
     return d.select(key, *(F.col(f"{c}__f").alias(c) for c in columns))

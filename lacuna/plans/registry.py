@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels as K
 from ..operators import series as S
-from ..operators import statespace
+from ..operators import spectra, statespace
 from ..operators import stats as T
 from ..operators.ranks import medians, numbered
 
@@ -135,7 +135,7 @@ for _name, _fill, _kind, _doc, _defaults in (
     ("seasonal", _whole(S.seasonal), "seasonal", "trend and season, then linear", {"period": 24}),
     ("kalman", _joined(_kalman), "state space", "random-walk filter", {}),
     ("gaussian_process", _joined(K.gaussian_process), "kernel", "RBF and noise", {}),
-    ("fourier", _joined(K.fourier), "kernel", "strongest frequencies", {}),
+    ("fourier", _joined(spectra.fourier), "kernel", "strongest frequencies", {}),
     ("kernel_ridge", _joined(K.kernel_ridge), "kernel", "Laplacian kernel ridge", {}),
     ("adaptive", adaptive, "ensemble", "context-weighted members", {}),
 ):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as N
 from ..operators import catalog as C
 from ..operators import missing as M
+from ..operators import neighbours
 from ..operators import quantile as Z
 from ..operators import reports as P
 from ..operators import series as S
@@ -463,10 +464,17 @@ def cat_04_integrity(spark, sf_dir):
 # streams, run to the end over files
 
 
+BATCHES = 4
+
+
 def _stream(spark, sf_dir, name):
     path = files.scratch(spark, name)
-    sensors(spark, sf_dir).select("series", "i", "x").repartition(1).sortWithinPartitions("i").write.parquet(f"{path}/in")
-    return path, spark.readStream.schema("series string, i long, x double").parquet(f"{path}/in")
+    # files of consecutive rows, in the order of their time stamps; each is a micro-batch
+    rows = sensors(spark, sf_dir).select("series", "i", "x")
+    top = rows.agg(F.max("i")).first()[0] or 1
+    for k in range(BATCHES):
+        rows.filter((F.col("i") > k * top // BATCHES) & (F.col("i") <= (k + 1) * top // BATCHES)).repartition(1).write.mode("append").parquet(f"{path}/in")
+    return path, spark.readStream.schema("series string, i long, x double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 
 @register("str_01_05_two_pass_mean", f"WITH {G} SELECT series, i, round(coalesce(x, (SELECT avg(x) FROM g)), 6) AS x FROM g")
@@ -483,6 +491,32 @@ def str_03_win_16_carried_fill(spark, sf_dir):
     return rounded(spark.read.parquet(f"{path}/out"))
 
 
+KNN = """one AS (SELECT r, a, b, c FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r ORDER BY a, b, c) = 1), ref AS (SELECT md5(CAST(r AS VARCHAR)) AS pos, a, b, c FROM one ORDER BY 1, r LIMIT 128),
+st AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM ref), gap AS (SELECT row_number() OVER () AS u, r, a, b, c FROM l WHERE a IS NULL OR b IS NULL OR c IS NULL),
+dist AS (SELECT g.*, ref.pos, ref.a AS ra, ref.b AS rb, ref.c AS rc, round(sqrt((coalesce(pow((g.a - ref.a) / sa, 2), 0) + coalesce(pow((g.b - ref.b) / sb, 2), 0) + coalesce(pow((g.c - ref.c) / sc, 2), 0)) * 3 / nullif((g.a IS NOT NULL)::INT + (g.b IS NOT NULL)::INT + (g.c IS NOT NULL)::INT, 0)), 9) AS d FROM gap g, ref, st),
+top AS (SELECT *, min(d) OVER (PARTITION BY u) AS low FROM dist WHERE d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY u ORDER BY d, pos) <= 5), wt AS (SELECT *, CASE WHEN low = 0 THEN (d = 0)::INT ELSE 1 / d END AS w FROM top),
+est AS (SELECT u, sum(w * ra) / sum(w) AS ea, sum(w * rb) / sum(w) AS eb, sum(w * rc) / sum(w) AS ec FROM wt GROUP BY u)
+SELECT gap.r, round(coalesce(a, ea, ma), 6) AS a, round(coalesce(b, eb, mb), 6) AS b, round(coalesce(c, ec, mc), 6) AS c FROM gap LEFT JOIN est USING (u), st"""
+
+
+@register("imp_14_knn", f"WITH {L}, {KNN}")
+def imp_14_knn(spark, sf_dir):
+    """Gaps of three variables from the five nearest of 128 whole rows, over the variables that a row has."""
+    d = variables(spark, sf_dir).select("r", *ABC)
+    out = neighbours.knn_filled(d.filter("a is null or b is null or c is null"), neighbours.reference(d, "r", ABC, 128), ABC)
+    return rounded(out.select("r", *(F.col(f"{c}_filled").alias(c) for c in ABC)))
+
+
+@register("str_02_knn", f"WITH {L}, {KNN}")
+def str_02_knn(spark, sf_dir):
+    """The same from a stream of four micro-batches that keeps the reference as it goes."""
+    path = files.scratch(spark, "knn")
+    variables(spark, sf_dir).select("r", *(F.col(c).cast("double").alias(c) for c in ABC)).repartition(BATCHES, "r").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("r long, a double, b double, c double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streams.knn_reference(stream, path, "r", ABC, 128)
+    return rounded(streams.knn_fills(spark, path, "r", "long", ABC).select("r", *(F.col(f"{c}_filled").alias(c) for c in ABC)))
+
+
 @register("str_08_chunk_run", "SELECT event_type AS series, event_id, round(value * 2, 6) AS doubled FROM events WHERE value > 20")
 def str_08_chunk_run(spark, sf_dir):
     path = files.scratch(spark, "chunks")

@@ -116,7 +116,7 @@ def imp_44_per_block(spark, sf_dir):
     return rounded(d.join(m, ["series", "b"]).select("series", "i", F.coalesce("x", "m").alias("filled")))
 
 
-for _name, _fill in (("imp_05_spline", K.spline), ("imp_09_gaussian_process", K.gaussian_process), ("imp_10_fourier", K.fourier), ("imp_40_kernel_ridge", K.kernel_ridge)):
+for _name, _fill in (("imp_05_spline", K.spline), ("imp_09_gaussian_process", K.gaussian_process), ("imp_40_kernel_ridge", K.kernel_ridge)):
     def _query(spark, sf_dir, fill=_fill):
         return rounded(fill(sensors(spark, sf_dir), "x"), 4)
 

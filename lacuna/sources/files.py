@@ -84,6 +84,10 @@ def read(spark: SparkSession, path: str, *, date_column: str | None = None, colu
         df = rows_of_json(spark.read.option("multiLine", True).json(path))
     elif kind == "excel":
         df = excel(spark, path)
+    elif kind == "netcdf":
+        from .netcdf import read_netcdf
+
+        df = read_netcdf(spark, path, time=date_column)
     elif kind == "arrow":
         import pyarrow.feather as feather
 
@@ -181,6 +185,10 @@ def write(df: DataFrame, path: str, kind: str | None = None, *, mode: str = "err
         w.parquet(path)
     elif kind == "orc":
         w.orc(path)
+    elif kind == "netcdf":
+        from .netcdf import write_netcdf
+
+        write_netcdf(df, path, mode="overwrite" if mode == "overwrite" else "append")
     else:
         raise NotSupported(f"{kind} can't be written here")
 

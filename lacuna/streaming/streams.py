@@ -68,3 +68,44 @@ def two_pass_mean(spark: SparkSession, path: str, columns: list[str], out: str,
     means = batch.agg(*(F.avg(c).alias(c) for c in columns)).first()
     stream = spark.readStream.schema(batch.schema).format(kind).load(path)
     return run_to_files(stream.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in columns}), out, checkpoint, kind)
+
+
+def knn_reference(stream: DataFrame, path: str, key: str, columns: list[str], size: int) -> dict:
+    """Runs what is available, micro-batch by micro-batch: the reference so far (a bottom-k sample by hash, which merges) is written anew with each batch, and rows with gaps
+    wait under the path. Each batch has folders of its own, written over if it runs again, and builds on the last reference before it, so that a restart from the
+    checkpoint gives the same. Returns the last progress."""
+    from ..operators.neighbours import reference
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(key, *columns)
+        old = _references(spark, path, epoch, f"`{key}` {dict(batch.dtypes)[key]}", columns)
+        whole = rows if old is None else rows.unionByName(old.select(key, *columns))
+        reference(whole, key, columns, size).coalesce(1).write.mode("overwrite").parquet(f"{path}/reference/{epoch:09d}")
+        rows.filter(" OR ".join(f"`{c}` IS NULL" for c in columns)).write.mode("overwrite").parquet(f"{path}/waiting/{epoch:09d}")
+
+    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return dict(q.lastProgress or {})
+
+
+def _references(spark: SparkSession, path: str, before: int, key: str, columns: list[str]) -> DataFrame | None:
+    """The last reference written before a batch."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/reference")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+    names = [n for n in names if n.isdigit() and int(n) < before]
+    schema = ", ".join(["pos string", key, *(f"`{c}` double" for c in columns)])
+    return spark.read.schema(schema).parquet(f"{path}/reference/{names[-1]}") if names else None
+
+
+def knn_fills(spark: SparkSession, path: str, key: str, kind: str, columns: list[str], k: int = 5) -> DataFrame:
+    """The waiting rows of knn_reference, filled from the last reference; before any batch there are none."""
+    from ..operators.neighbours import knn_filled
+
+    last = _references(spark, path, 1 << 62, f"`{key}` {kind}", columns)
+    schema = ", ".join([f"`{key}` {kind}", *(f"`{c}` double" for c in columns)])
+    if last is None:
+        return spark.createDataFrame([], ", ".join([schema, *(f"`{c}_filled` double" for c in columns)]))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/waiting")
+    return knn_filled(rows, last, columns, k)

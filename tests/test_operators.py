@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.functions import special
-from lacuna.operators import catalog, ensemble, kernels, series, spatial, validate
+from lacuna.operators import catalog, ensemble, kernels, series, spatial, spectra, validate
 from lacuna.operators import tests as hypo
 from lacuna.plans import registry
 from lacuna.sources import files
@@ -114,7 +114,7 @@ def test_processes_by_blocks_are_near_those_of_the_whole_series(spark):
 
 def test_fourier_finds_a_wave(spark):
     v = [math.sin(2 * math.pi * t / 8) for t in range(64)]
-    out = got(kernels.fourier(line(spark, [*v, None]), "x"), "filled")
+    out = got(spectra.fourier(line(spark, [*v, None]), "x"), "filled")
     assert abs(out[-1]) < 1e-6
 
 
