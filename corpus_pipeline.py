@@ -12,14 +12,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are in a language: those with letters whose cosine with a learned language isn't too low for their length."""
+    """Keeps documents that are in a language: those with letters whose cosine with a learned language isn't too low for their length.
+
+    Null and empty texts and texts without letters go; nulls in other columns don't matter (a null lang teaches nothing); very long texts are read whole; equal texts
+    fare alike, repeated rows too; an empty table, or one without any lang, keeps nothing; extra columns are dropped."""
     ship(spark)
     rows = language.predicted(docs, language.learned(docs), keep=COLUMNS[1:])
     return rows.filter((F.col("lang_pred") != "und") & (F.col("score") >= language.least_cosine(F.char_length("text")))).select(COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that aren't predicted to be toxic."""
+    """Keeps documents that aren't predicted to be toxic.
+
+    Null and empty texts have the score of the bias alone and stay; nulls in other columns don't matter; very long texts are read whole; equal texts fare alike,
+    repeated rows too; without a toxic label nothing goes; an empty table stays empty; extra columns are dropped."""
     ship(spark)
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scored(docs, model, keep=COLUMNS[1:]).filter("predicted = 0").select(COLUMNS)
@@ -29,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest id of each group: five-word shingles, similarity 0.8 or more.
 
     Rows without an id are linked with nothing and all kept. Rows that share an id and a text are one document; different texts of one id are
-    documents of their own (in a group of such, the one with the smallest text hash stays).
+    documents of their own (in a group of such, the one with the smallest text hash stays). Null and empty texts, and texts without words, are linked with nothing; extra
+    columns are dropped.
     """
     ship(spark)
     rows, more = _nodes(docs.filter("doc_id is not null"))
@@ -66,7 +73,10 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, stored in the order of the mix: sources' shares go by the square root of their sizes. A row is known by its file and its
-    place there, so that repeated rows and rows without an id need no numbers of their own; texts are shuffled to their position and then by it."""
+    place there, so that repeated rows and rows without an id need no numbers of their own; texts are shuffled to their position and then by it.
+
+    docs must be read from files. A null source is a source of its own; no row is lost or doubled, whatever is null, empty, equal or long; an empty table stays empty; extra
+    columns are dropped."""
     row = ["file_name", "row_index"]
     docs = docs.select(*COLUMNS, *(F.col(f"_metadata.{c}").alias(c) for c in row))
     rows = docs.join(mixing.mixed(docs, keep=row).select(*row, "position"), row)
@@ -75,7 +85,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens, in stored order."""
+    """Pieces of all documents in sequences of at most 4096 tokens, in stored order.
+
+    docs must be read from files. Null and empty texts are documents of the end token alone; very long texts are cut into pieces; repeated rows and rows without an
+    id are packed like others; of equally good cuts the encoder's order decides; an empty table has no pieces; extra columns aren't read."""
     ship(spark)
     rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file_name"))
     pieces = packing.packed(rows, packing.default_tokenizer())

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a reference, at most; it is broadcast.
-REFERENCE = 512
+#: Rows of a reference, at most; tasks get it with their code. Rows that a task compares with it at a time.
+REFERENCE, BATCH = 512, 2048
 
 
 def reference(rows: DataFrame, key: str, columns: Sequence[str], size: int = REFERENCE) -> DataFrame:
@@ -22,26 +22,37 @@ def reference(rows: DataFrame, key: str, columns: Sequence[str], size: int = REF
 def knn_filled(rows: DataFrame, donors: DataFrame, columns: Sequence[str], k: int = 5, standardise: bool = True) -> DataFrame:
     """rows with <column>_filled: a gap takes the mean of the column over its k nearest donors, weighted by 1 / distance (donors at no distance, if there are any, count
     alone). The distance is Euclidean over the variables that the row has, scaled up by all / shared; with `standardise`, in deviations of the donors. A row without any
-    value takes the donors' mean. donors: as `reference` gives them (a bounded number, broadcast as one row); nothing is shuffled."""
-    one = donors.agg(F.sort_array(F.collect_list(F.struct("pos", *(F.col(c).alias(f"d_{c}") for c in columns)))).alias("ref__"), *(F.avg(c).alias(f"m__{c}") for c in columns), *(F.stddev_pop(c).alias(f"s__{c}") for c in columns))
-    joined = rows.crossJoin(F.broadcast(one))  # one row of at most REFERENCE donors
-    has = [F.col(c).isNotNull() for c in columns]
-    shared = sum((h.cast("int") for h in has), F.lit(0))
-
-    def distance(d: Column) -> Column:
-        total = F.lit(0.0)
-        for c, h in zip(columns, has, strict=True):
-            by = F.when(F.col(f"s__{c}") > 0, F.col(f"s__{c}")).otherwise(1.0) if standardise else F.lit(1.0)
-            total = total + F.when(h, F.pow((F.col(c) - d[f"d_{c}"]) / by, F.lit(2))).otherwise(0.0)
-        return F.round(F.sqrt(total * len(columns) / shared), 9)
-
-    near = F.when((shared > 0) & (shared < len(columns)), F.slice(F.array_sort(F.transform("ref__", lambda d: F.struct(distance(d).alias("d"), d["pos"].alias("pos"), *(d[f"d_{c}"].alias(c) for c in columns)))), 1, k))
-    out = joined.withColumn("near__", near)
-
-    def filled(c: str) -> Column:
-        exact = F.exists("near__", lambda d: d["d"] == 0)
-        weight = lambda d: F.when(exact, (d["d"] == 0).cast("double")).otherwise(1 / F.when(d["d"] > 0, d["d"]))
-        add = lambda f: F.aggregate("near__", F.lit(0.0), lambda a, d: a + f(d))
-        return F.coalesce(F.col(c), add(lambda d: weight(d) * d[c]) / add(weight), F.col(f"m__{c}"))
-
-    return out.withColumns({f"{c}_filled": filled(c) for c in columns}).drop("near__", "ref__", *(f"{p}__{c}" for c in columns for p in "ms"))
+    value takes the donors' mean; without donors gaps stay. donors: as `reference` gives them (at most REFERENCE rows, which go to the tasks); nothing is shuffled."""
+    import numpy as np
+    import pandas as pd
+
+    ref = donors.orderBy("pos").select("pos", *columns).limit(REFERENCE).collect()
+    d = np.array([[r[c] for c in columns] for r in ref], float).reshape(len(ref), len(columns))
+    mean = d.mean(0) if len(d) else np.full(len(columns), np.nan)
+    by = np.where(d.std(0) > 0, d.std(0), 1.0) if standardise and len(d) else np.ones(len(columns))
+
+    def fill(x: np.ndarray) -> np.ndarray:
+        has = ~np.isnan(x)
+        shared, out = has.sum(1), np.where(has, x, mean)
+        rows = np.flatnonzero((shared > 0) & (shared < len(columns))) if len(d) else np.empty(0, int)
+        total = np.zeros((len(rows), len(d)))
+        for j in range(len(columns)):
+            total += np.where(has[rows, j, None], ((x[rows, j, None] - d[:, j]) / by[j]) ** 2, 0.0)
+        far = np.round(np.sqrt(total * len(columns) / shared[rows, None]), 9)
+        # a stable sort: ties go to the donor that comes first
+        near = np.argsort(far, axis=1, kind="stable")[:, :k]
+        far = np.take_along_axis(far, near, 1)
+        exact = far[:, :1] == 0
+        w = np.where(exact, far == 0, 1 / np.where(far > 0, far, 1.0))
+        guess = (w[:, :, None] * d[near]).sum(1) / w.sum(1)[:, None]
+        out[rows] = np.where(has[rows], x[rows], guess)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [fill(np.stack([pdf[c].to_numpy(float) for c in columns], 1)[at : at + BATCH]) for at in range(0, len(pdf), BATCH)]
+            filled = np.concatenate(out) if out else np.empty((0, len(columns)))
+            yield pdf.assign(**{f"{c}_filled": filled[:, j] for j, c in enumerate(columns)})
+
+    got = rows.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), *(f"`{c}_filled` double" for c in columns)]))
+    return got.withColumns({f"{c}_filled": F.when(~F.isnan(f"{c}_filled"), F.col(f"{c}_filled")) for c in columns})

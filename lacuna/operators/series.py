@@ -24,22 +24,37 @@ def rows(lo: int | None, hi: int | None, by: str = BY, at: str = AT) -> WindowSp
     return ordered(by, at).rowsBetween(Window.unboundedPreceding if lo is None else lo, Window.unboundedFollowing if hi is None else hi)
 
 
-def forward_fill(x: Column, limit: int | None = None) -> Column:
-    return F.last(x, ignorenulls=True).over(rows(None if limit is None else -limit, 0))
+NEAR = ("pv", "pi", "nv", "ni")
 
 
-def backward_fill(x: Column, limit: int | None = None) -> Column:
-    """The next value. Without a limit the window runs from the end, as Spark works out a frame up to the end anew for every row."""
-    if limit is None:
-        return F.last(x, ignorenulls=True).over(Window.partitionBy(BY).orderBy(F.desc(AT)).rowsBetween(Window.unboundedPreceding, 0))
-    return F.first(x, ignorenulls=True).over(rows(0, limit))
+def last_seen(limit: int | None = None) -> Column:
+    """Of what `neighbours` gives: the last value, at most `limit` rows before."""
+    return F.col("pv") if limit is None else F.when(F.col(AT) - F.col("pi") <= limit, F.col("pv"))
+
+
+def next_seen(limit: int | None = None) -> Column:
+    """Of what `neighbours` gives: the next value, at most `limit` rows after."""
+    return F.col("nv") if limit is None else F.when(F.col("ni") - F.col(AT) <= limit, F.col("nv"))
+
+
+def forward_filled(df: DataFrame, x: str, out: str, limit: int | None = None) -> DataFrame:
+    return neighbours(df, x).withColumn(out, last_seen(limit)).drop(*NEAR)
+
+
+def backward_filled(df: DataFrame, x: str, out: str, limit: int | None = None) -> DataFrame:
+    return neighbours(df, x).withColumn(out, next_seen(limit)).drop(*NEAR)
 
 
 def both_fills(df: DataFrame, x: str, out: str, limit: int | None = None) -> DataFrame:
     """Forward, then backward over what is left; the second pass sees the first."""
     if limit is None:
         return neighbours(df, x).withColumn(out, F.coalesce("pv", "nv")).drop("pv", "pi", "nv", "ni")
-    return df.withColumn(out, forward_fill(F.col(x), limit)).withColumn(out, backward_fill(F.col(out), limit))
+
+    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn(out, F.last(x, ignorenulls=True).over(w.rowsBetween(-limit, 0)))
+        return d.withColumn(out, F.first(out, ignorenulls=True).over(w.rowsBetween(0, limit)))
+
+    return locally(df, 2 * limit, add)
 
 
 def neighbours(df: DataFrame, x: str, chunk: int = CHUNK) -> DataFrame:
@@ -178,8 +193,7 @@ def hermite(df: DataFrame, x: str, out: str, slopes: DataFrame) -> DataFrame:
     spans = slopes.select(BY, F.col("at").alias(AT), F.col("y").alias("y0"), F.col("d").alias("d0"), F.lead("at").over(w).alias("at1"), F.lead("y").over(w).alias("y1"), F.lead("d").over(w).alias("d1"), F.col("at").alias("at0"))
     names = ("y0", "d0", "at1", "y1", "d1", "at0")
     rest = df.join(spans, [BY, AT], "left").withColumn("span", F.when(F.col("at0").isNotNull(), F.struct(*names)))
-    span = forward_fill(F.col("span"))
-    rest = rest.withColumn("span", span).drop(*names).select("*", *(F.col("span")[c].alias(c) for c in names)).drop("span")
+    rest = forward_filled(rest.drop(*names), "span", "carried").select("*", *(F.col("carried")[c].alias(c) for c in names)).drop("span", "carried")
     h, t = F.col("at1") - F.col("at0"), F.try_divide(F.col(AT) - F.col("at0"), F.col("at1") - F.col("at0"))
     value = (2 * t**3 - 3 * t**2 + 1) * F.col("y0") + (t**3 - 2 * t**2 + t) * h * F.col("d0") + (-2 * t**3 + 3 * t**2) * F.col("y1") + (t**3 - t**2) * h * F.col("d1")
     return rest.withColumn(out, F.coalesce(F.col(x), value)).drop("y0", "d0", "at1", "y1", "d1", "at0")

@@ -118,8 +118,8 @@ for _name, _fill, _kind, _doc, _defaults in (
     ("median", _median, "simple", "median of the series", {}),
     ("mode", _mode, "simple", "most frequent value, smallest on ties", {}),
     ("random_sample", _sampled, "simple", "seeded draw of an observed value", {}),
-    ("forward_fill", _window(S.forward_fill), "simple", "last value", {"limit": None}),
-    ("backward_fill", _window(S.backward_fill), "simple", "next value", {"limit": None}),
+    ("forward_fill", _whole(S.forward_filled), "simple", "last value", {"limit": None}),
+    ("backward_fill", _whole(S.backward_filled), "simple", "next value", {"limit": None}),
     ("both_fill", _whole(S.both_fills), "simple", "last value, then next", {}),
     ("linear", _whole(S.linear), "interpolation", "straight lines by row", {}),
     ("pchip", _whole(S.pchip), "interpolation", "monotone cubic", {}),

@@ -34,9 +34,9 @@ def slice_linear_fill(spark, sf_dir):
 SELECT series, i, {r6('ffill', 'ffill_2', 'bfill', 'bfill_2')}, round(first_value(ffill IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS both,
   round(first_value(ffill_2 IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 6) AS both_2 FROM f""")
 def win_01_03_fills(spark, sf_dir):
-    d, x = sensors(spark, sf_dir), F.col("x")
-    d = d.withColumns({"ffill": S.forward_fill(x), "ffill_2": S.forward_fill(x, 2), "bfill": S.backward_fill(x), "bfill_2": S.backward_fill(x, 2)})
-    d = S.both_fills(S.both_fills(d, "x", "both"), "x", "both_2", 2)
+    d = S.neighbours(sensors(spark, sf_dir), "x")
+    d = d.withColumns({"ffill": S.last_seen(), "ffill_2": S.last_seen(2), "bfill": S.next_seen(), "bfill_2": S.next_seen(2), "both": F.coalesce("pv", "nv")}).drop(*S.NEAR)
+    d = S.both_fills(d, "x", "both_2", 2)
     return rounded(d.select("series", "i", "ffill", "ffill_2", "bfill", "bfill_2", "both", "both_2"))
 
 

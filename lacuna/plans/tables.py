@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import numbered
-from ..sources.files import kept
+from ..sources.files import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,13 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as gappy series: series, i, event_id, ts, user_id, truth, x."""
-    e = table(spark, sf_dir, "events")
     files = tuple(sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in _statuses(spark, f"{sf_dir}/events.parquet")))
     known = spark.__dict__.setdefault("_lacuna_sensors", {})
-    if files not in known:
-        rows = e.select(F.col("event_type").alias("series"), "event_id", "ts", "user_id", F.col("value").alias("truth"), F.when(~F.expr(GAP), F.col("value")).alias("x"))
-        known[files] = kept(numbered(rows, ["series"], ["ts", "event_id"]).select("series", "i", "event_id", "ts", "user_id", "truth", "x"), "sensors")
-    return known[files]
+    if files not in known or not _exists(spark, known[files]):
+        rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), "event_id", "ts", "user_id", F.col("value").alias("truth"), F.when(~F.expr(GAP), F.col("value")).alias("x"))
+        known[files] = scratch(spark, "sensors")
+        numbered(rows, ["series"], ["ts", "event_id"]).select("series", "i", "event_id", "ts", "user_id", "truth", "x").write.parquet(known[files])
+    return spark.read.parquet(known[files])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def _statuses(spark: SparkSession, path: str):

@@ -233,7 +233,7 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r["a"], r["b"]) for r in files.read(spark, str(j)).collect()) == [(1.0, 3.0), (2.0, None)]
     assert files.from_ipc(spark, files.to_ipc(d.select("pm25"))).count() == 3
     with pytest.raises(files.NotSupported):
-        files.read(spark, "x.nc")
+        files.read(spark, "x.h5")
     good, bad = files.read_many(spark, [str(p), str(tmp_path / "none.csv")])
     assert len(good) == 1 and len(bad) == 1
     assert files.format_of("a/b.csv.gz") == "csv" and files.format_of("x.h5") == "hdf5"

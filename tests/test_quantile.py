@@ -19,10 +19,10 @@ def test_fit_equals_the_best_line_through_two_points(spark):
     x = g.uniform(0, 10, 60)
     y = 2 + 0.7 * x + g.exponential(1 + 0.3 * x)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": 1.0}))
-    fit = Q.quantile_fit(df, "y", ["x", "z"], [0.1, 0.5, 0.9], iterations=80)
+    fit = Q.quantile_fit(df, "y", ["x", "z"], [0.1, 0.5, 0.9], iterations=40)
     for tau, b in fit.items():
         best = min(loss(y, y[i] + (y[j] - y[i]) / (x[j] - x[i]) * (x - x[i]), tau) for i in range(60) for j in range(i) if x[i] != x[j])
-        assert loss(y, b[0] + b[1] * x, tau) <= best * 1.001 and b[2] == 0.0
+        assert loss(y, b[0] + b[1] * x, tau) <= best * 1.005 and b[2] == 0.0
 
 
 def test_without_rows(spark):
