@@ -29,6 +29,7 @@ from .common import id_bucket, kept_ddl, map_arrow, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_POSITIVE, MAX_UNLABELLED, MODELS, STEPS, MIN_Z = 4000, 12000, 3, 80, 4.0
+MOST_PRIOR, GUESS_ROWS = 0.5, 100
 
 
 def features(text: str | None) -> set[str]:
@@ -115,9 +116,12 @@ def logits(rows: list[list[int]], names: list[str], model: tuple[dict[str, float
 
 
 def estimated_prior(pos: list[list[int]], unl: list[list[int]], names: list[str], guess: float = 0.1) -> float:
-    """The share of toxic texts in U, from P and U alone. Rows come in an order that says nothing about them; each third is scored by a classifier of the others. Without P: 0."""
+    """The share of toxic texts in U, from P and U alone. Rows come in an order that says nothing about them; each third is scored by a classifier of the others. Without P: 0.
+    The ratio is a bound from above; where it is over MOST_PRIOR (or no feature tells anything) the sample is too small to tell P from U, and the guess stands. It also counts as much as GUESS_ROWS positives, as a few texts bound little."""
     if not pos or not unl:
         return 0.0
+    if not names:
+        return guess
     out = []
     for k in range(3):
         model = fitted([r for i, r in enumerate(pos) if i % 3 != k], [r for i, r in enumerate(unl) if i % 3 != k], names, guess, 1)
@@ -125,7 +129,9 @@ def estimated_prior(pos: list[list[int]], unl: list[list[int]], names: list[str]
         if len(p) and len(u):
             cuts = np.quantile(p, np.linspace(0.02, 0.5, 25))
             out.append(min(max((u >= c).mean(), 1 / len(u)) / (p >= c).mean() for c in cuts))
-    return float(min(np.mean(out), 0.9)) if out else guess
+    if not out or np.mean(out) > MOST_PRIOR:
+        return guess
+    return float((len(pos) * np.mean(out) + GUESS_ROWS * guess) / (len(pos) + GUESS_ROWS))
 
 
 def scored(docs: DataFrame, model: tuple[dict[str, float], float], keep: Sequence[str] = ()) -> DataFrame:

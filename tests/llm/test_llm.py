@@ -84,6 +84,8 @@ def test_prior_is_found_without_negative_labels():
     names = [f"w{k}" for k in range(40)]
     assert abs(toxicity.estimated_prior(pos, unl, names) - 0.15) < 0.04
     assert toxicity.estimated_prior([], unl, names) == 0.0
+    # nothing tells P from U: the guess stands
+    assert toxicity.estimated_prior(unl[:30], unl[30:], names) == 0.1 == toxicity.estimated_prior(pos, unl, [])
 
 
 def test_steps_lower_the_corrected_risk():
