@@ -1,4 +1,4 @@
-"""Training-data operators: ten components plus the queries that apply them to whole tables.
+"""Training-data operators: thirteen components plus the queries that apply them to whole tables.
 
 Nothing outside this subpackage imports it.
 """
