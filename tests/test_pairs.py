@@ -58,3 +58,17 @@ def test_pairs_are_dealt_to_all_tasks(spark, stations):
     one = stations[1].coalesce(1)
     for out in (spatial.distances(one, "k", "y", "x"), spatial.within(one, "k", 3.0)):
         assert sum(r > 0 for r in out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) == n
+
+
+def test_near_variogram_and_moran_equal_all_pairs(stations):
+    pdf, df = stations
+    p = both(pdf)
+    near = p[p.d < 4].assign(bin=lambda p: np.where(p.d == 0, 0, 1 + np.floor(p.d / 4 * 5)))
+    want = near.groupby("bin").agg(n=("d", "size"), distance=("d", "mean"), gamma=("m", lambda m: (m**2).mean() / 2))
+    got = geostat.near_variogram(df, "k", 4.0, 5).toPandas().set_index("bin").sort_index()
+    assert np.array_equal(got["n"], want["n"]) and np.allclose(got["distance"], want["distance"]) and np.allclose(got["gamma"], want["gamma"])
+    e = near[near.d > 0]
+    w, mean, s2, n = 1 / e.d, pdf.v.mean(), pdf.v.var(ddof=0), len(pdf)
+    r = spatial.moran(df, "k", 4.0).first()
+    assert r.edges == len(e)
+    assert r.moran == pytest.approx((w * (e.vi - mean) * (e.vj - mean)).sum() / w.sum() / s2) and r.geary == pytest.approx((n - 1) * (w * e.m**2).sum() / (2 * w.sum() * n * s2))
