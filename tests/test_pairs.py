@@ -60,6 +60,26 @@ def test_pairs_are_dealt_to_all_tasks(spark, stations):
         assert sum(r > 0 for r in out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) == n
 
 
+@pytest.mark.parametrize("name", ["matheron", "cressie", "genton"])
+def test_semivariogram_equals_all_pairs(small, stations, name):
+    pdf, df = stations
+    p = both(pdf).assign(bin=lambda p: np.minimum(np.floor(p.d / p.d.max() * 6), 5))
+    gamma = {"matheron": lambda m: (m**2).mean() / 2, "cressie": lambda m: np.sqrt(m).mean() ** 4 / (0.457 + 0.494 / len(m)) / 2, "genton": lambda m: (2.2191 * m.quantile(0.25)) ** 2 / 2}[name]
+    want = p.groupby("bin").agg(n=("d", "size"), distance=("d", "mean"), gamma=("m", gamma))
+    got = spatial.semivariogram(df, "k", 6, estimator=name).toPandas().set_index("bin").sort_index()
+    assert np.array_equal(got["n"], want["n"]) and np.allclose(got["distance"], want["distance"]) and np.allclose(got["gamma"], want["gamma"], rtol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["matheron", "cressie", "genton"])
+def test_semivariogram_of_odd_rows(spark, name):
+    """A pair without a value counts, but not for gamma; one without a place falls into the last bin; no rows, no bins."""
+    d = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 0.0, 3.0, 5.0), (3, 0.0, 1.0, None), (4, None, 1.0, 2.0), (None, 9.0, 9.0, 9.0)], "k long, x double, y double, v double")
+    got = {r.bin: r for r in spatial.semivariogram(d, "k", 3, estimator=name).collect()}
+    assert {b: r.n for b, r in got.items()} == {1: 1, 2: 5}
+    assert got[1].gamma is None and got[2].gamma == pytest.approx({"matheron": (16 + 1 + 9) / 3 / 2, "cressie": ((2 + 1 + 3**0.5) / 3) ** 4 / (0.457 + 0.494 / 5) / 2, "genton": (2.2191 * 2) ** 2 / 2}[name])
+    assert spatial.semivariogram(d.filter("k < 2"), "k", 3, estimator=name).count() == 0
+
+
 def test_near_variogram_and_moran_equal_all_pairs(stations):
     pdf, df = stations
     p = both(pdf)
@@ -72,3 +92,16 @@ def test_near_variogram_and_moran_equal_all_pairs(stations):
     r = spatial.moran(df, "k", 4.0).first()
     assert r.edges == len(e)
     assert r.moran == pytest.approx((w * (e.vi - mean) * (e.vj - mean)).sum() / w.sum() / s2) and r.geary == pytest.approx((n - 1) * (w * e.m**2).sum() / (2 * w.sum() * n * s2))
+
+
+def test_many_points_of_few_places(spark):
+    """100,000 points of two places: 5e9 pairs, which nothing makes."""
+    n = 100_000
+    d = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 2).cast("double").alias("x"), F.lit(0.0).alias("y"), (F.col("id") % 4).cast("double").alias("v"))
+    half = n // 2
+    got = {r.bin: r for r in geostat.near_variogram(d, "k", 6.0).collect()}
+    assert {b: r.n for b, r in got.items()} == {0: half * (half - 1), 3: half * half}
+    assert got[0].gamma == pytest.approx(4 * (half / 2) ** 2 * 2 / (half * (half - 1)) / 2) and got[3].gamma == pytest.approx((1 + 1 + 9 + 1) / 4 / 2)
+    assert spatial.moran(d, "k", 4.0).first().edges == half * half
+    for name in ("matheron", "cressie", "genton"):
+        assert {r.n for r in spatial.semivariogram(d, "k", 2, estimator=name).collect()} == {half * (half - 1), half * half}
