@@ -105,3 +105,13 @@ def test_many_points_of_few_places(spark):
     assert spatial.moran(d, "k", 4.0).first().edges == half * half
     for name in ("matheron", "cressie", "genton"):
         assert {r.n for r in spatial.semivariogram(d, "k", 2, estimator=name).collect()} == {half * (half - 1), half * half}
+
+
+def test_nearest_donors_of_crowded_places(spark):
+    """60,000 donors at three places and as many queries: a query meets the first donors of a place, not all of them."""
+    n = 60_000
+    d = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 3 % 2).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    near = spatial.nearest_on_grid(d.withColumnRenamed("k", "q"), d.withColumnRenamed("k", "donor"), 3, strict=True)
+    assert near.count() == 3 * n
+    rows = {q: [r.donor for r in near.filter(F.col("q") == q).orderBy("rank").collect()] for q in (0, 4, 59_999)}
+    assert rows == {0: [3, 6, 9], 4: [1, 7, 10], 59_999: [2, 5, 8]}
