@@ -258,3 +258,18 @@ def test_content_hash_ignores_order(spark):
 def test_pipeline_rejects_unknown_operations(spark):
     with pytest.raises(ValueError, match="not allowed"):
         registry.run_pipeline(line(spark, [1.0]), [{"op": "eval"}])
+
+
+def test_column_documents_lose_no_rows(spark, tmp_path):
+    """Fifty documents from several tasks: each has a file of its own."""
+    from lacuna.plans import report_queries
+
+    n = 4000
+    spark.range(n, numPartitions=7).select(F.col("id").alias("event_id"), (F.col("id") / 8).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = report_queries.src_07_json_columns(spark, str(tmp_path))
+        assert sorted((r.event_id, r.value) for r in out.collect()) == [(float(i), round(i / 8 + 1e-12, 4)) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
