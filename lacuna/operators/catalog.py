@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import kept
+
 
 class Table:
     """A keyed table at a path. Writes append a version; reads keep the newest row of each key. Deletes are rows too."""
@@ -50,9 +52,16 @@ def fresh(entries: DataFrame, now, max_age_days: int = 30) -> DataFrame:
 
 
 def evicted(entries: DataFrame, need: int) -> DataFrame:
-    """The least recently used entries whose sizes free `need` bytes. A cache index is a small table."""
-    before = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("last_accessed", "key").rowsBetween(Window.unboundedPreceding, -1))
-    return entries.withColumn("freed", F.coalesce(before, F.lit(0))).filter(F.col("freed") < need).drop("freed")
+    """The least recently used entries whose sizes free `need` bytes. Entries are dealt to ranges of their order and stored, since ranges are sampled; what a range
+    frees is a small table, and sums run within a range only."""
+    n, columns = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.columns
+    cut = kept(entries.repartitionByRange(n, "last_accessed", "key").withColumn("range__", F.spark_partition_id()), "entries")
+    sums = kept(cut.groupBy("range__").agg(F.sum("size").alias("s__")), "sums")
+    earlier = F.sum("s__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(F.col("range__").alias("r__"), F.coalesce(earlier, F.lit(0)).alias("start__"))  # a row for each range
+    before = F.sum("size").over(Window.partitionBy("range__").orderBy("last_accessed", "key").rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut.withColumn("freed__", F.coalesce(before, F.lit(0))).join(F.broadcast(starts), F.col("range__") == F.col("r__"))
+    return placed.filter(F.col("freed__") + F.col("start__") < need).select(*columns)
 
 
 def content_hash(df: DataFrame) -> DataFrame:

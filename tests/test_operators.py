@@ -273,3 +273,19 @@ def test_column_documents_lose_no_rows(spark, tmp_path):
         assert sorted((r.event_id, r.value) for r in out.collect()) == [(float(i), round(i / 8 + 1e-12, 4)) for i in range(n)]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_eviction_by_ranges(spark):
+    """As one running sum gives it, with equal times, unknown sizes and an order that is spread over ranges, none of which is a whole."""
+    g = np.random.default_rng(4)
+    pdf = pd.DataFrame({"key": g.permutation(3000), "size": g.integers(0, 50, 3000).astype(float), "last_accessed": g.integers(0, 200, 3000)})
+    rows = [(int(k), None if k % 17 == 0 else int(s), int(t)) for k, s, t in pdf.itertuples(index=False)]
+    d = spark.createDataFrame(rows, "key long, size long, last_accessed long")
+    freed, want = 0, set()
+    for k, s, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if freed < 20_000:
+            want.add(k)
+        freed += s or 0
+    out = catalog.evicted(d, 20_000)
+    assert out.columns == d.columns and {r.key for r in out.collect()} == want
+    assert "range__" in out._jdf.queryExecution().toString() and catalog.evicted(d.limit(0), 5).count() == 0
