@@ -289,3 +289,17 @@ def test_eviction_by_ranges(spark):
     out = catalog.evicted(d, 20_000)
     assert out.columns == d.columns and {r.key for r in out.collect()} == want
     assert "range__" in out._jdf.queryExecution().toString() and catalog.evicted(d.limit(0), 5).count() == 0
+
+
+def test_reference_groups_only_the_first_keys(spark):
+    from lacuna.operators import neighbours
+
+    d = spark.range(5000).select("id", (F.col("id") % 7).cast("double").alias("a"), F.lit(1.0).alias("b"))
+    want = d.withColumn("pos", F.md5(F.col("id").cast("string"))).orderBy("pos").limit(16).select("pos", "id", "a", "b").collect()
+    out = neighbours.reference(d, "id", ["a", "b"], 16)
+    assert out.collect() == want and "Range (0" not in out._jdf.queryExecution().toString()
+    # keys that repeat, with other values: the smallest counts
+    many = d.unionByName(d.withColumn("a", F.col("a") + 1))
+    for rows in (many, many.crossJoin(spark.range(5).select())):
+        assert neighbours.reference(rows, "id", ["a", "b"], 16).collect() == want
+    assert neighbours.reference(d.limit(9), "id", ["a", "b"], 16).count() == 9
