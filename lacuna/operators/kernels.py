@@ -3,9 +3,10 @@ rows, so that a group's size is bounded whatever a series' length. Fourier and o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import kept
@@ -189,19 +190,88 @@ def online_weights(wide: DataFrame, truth: str, methods: list[str], rate: float
 
 
 def forest(df: DataFrame, key: str, columns: list[str], rounds: int = 2, trees: int = 10, seed: int = 42) -> DataFrame:
-    """Chained random forests (MLlib): means first, then each column from the others, round by round."""
+    """Chained random forests (MLlib): means first, then each column from the others, round by round. Trees see their features in bins, so they are grown from
+    the cells of these bins: all rows are bagged into cells in one pass for all trees and levels. Columns without any value stay null."""
+    rows = kept(df.select(key, *(F.when(~F.isnan(v), v).alias(c) for c in columns for v in [F.col(c).cast("double")])), "forest")
+    means = rows.agg(*(F.avg(c).alias(c) for c in columns)).first()
+    known = [c for c in columns if means[c] is not None]
+    names = [key, *columns, *(f"{c}__f" for c in columns)]
+    d = rows.select("*", *(F.coalesce(F.col(c), F.lit(means[c]).cast("double")).alias(f"{c}__f") for c in columns))
+    if len(known) > 1:
+        at, left = cuts(d, [f"{c}__f" for c in known[1:]]), [c for _ in range(rounds) for c in known]
+        while left:
+            c = left.pop(0)
+            binned, bins = in_bins(d, {o: at[o] for o in (f"{o}__f" for o in known if o != c)})
+            cells = kept(bagged(binned, [key, *columns], c, bins, trees, seed), "cells")
+            guesses = kept(grown(cells, bins, trees, seed), "guesses")
+            d = binned.join(guesses, bins, "left").withColumn(f"{c}__f", F.coalesce(F.col(c), F.col("guess__"))).select(*names)
+            if left and len(left) % len(known) == 0:
+                # each round is stored, so that plans don't grow with the rounds
+                d = kept(d, "forest")
+            if left:
+                at |= cuts(d, [f"{c}__f"])
+    return d.select(key, *(F.col(f"{c}__f").alias(c) for c in columns))
+
+
+def cuts(d: DataFrame, columns: list[str], bins: int = 32) -> dict[str, list[float]]:
+    """Where each column is cut into at most so many bins: between all its values where these are as few, else at its quantiles."""
+    ranks = F.array(*(F.lit(k / bins) for k in range(1, bins)))
+    one = d.agg(*(F.percentile_approx(c, ranks).alias(c) for c in columns), *(F.approx_count_distinct(c).alias(f"{c}__n") for c in columns)).first()
+    few = [c for c in columns if one[f"{c}__n"] <= 2 * bins]
+    values = d.agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in few)).first().asDict() if few else {}
+    between = {c: [(a + b) / 2 for a, b in zip(v, v[1:])] for c, v in values.items() if 1 < len(v) <= bins}
+    return {c: sorted(set(between.get(c, one[c])) - {-math.inf, math.inf}) or [0.0] for c in columns}
+
+
+def in_bins(d: DataFrame, at: dict[str, list[float]]) -> tuple[DataFrame, list[str]]:
+    """d with the number of each column's bin, and the names of these."""
+    from pyspark.ml.feature import Bucketizer
+
+    bins = [f"{c}_bin__" for c in at]
+    binned = Bucketizer(splitsArray=[[-math.inf, *a, math.inf] for a in at.values()], inputCols=list(at), outputCols=bins).transform(d)
+    return binned.withColumns({b: F.col(b).cast("int") for b in bins}), bins
+
+
+def bagged(d: DataFrame, row: list[str], y: str, bins: list[str], trees: int, seed: int) -> DataFrame:
+    """(bins, tree, w, y): per cell of the bins and tree the weight and the mean y of the tree's bag. A row with y is in a bag as often as a Poisson number of mean 1
+    says, which a hash of its columns `row` gives: the same on any partitions. Rows without y only leave their cell, as tree -1, since they need its guess."""
+    d = d.select(*bins, F.col(y).alias("y__"), F.xxhash64(F.lit(seed), *row).alias("row__"))
+    of = F.when(F.col("y__").isNotNull(), F.array(*map(F.lit, range(trees)))).otherwise(F.array(F.lit(-1)))
+    d = d.select(*bins, "y__", "row__", F.explode(of).alias("tree")).withColumn("n", F.when(F.col("tree") < 0, 1.0).otherwise(poisson(F.xxhash64("row__", "tree"))))
+    cells = d.filter("n > 0").groupBy(*bins, "tree").agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("y__")).alias("y"))
+    return cells.withColumn("y", F.col("y") / F.col("w"))
+
+
+def poisson(bits: Column) -> Column:
+    """A Poisson number of mean 1 from 64 random bits (12 at most: one in 10**10 is larger)."""
+    below = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+    out = F.lit(12.0)
+    for k in reversed(range(12)):
+        out = F.when(bits < int(below[k] * 2.0**64) - 2**63, float(k)).otherwise(out)
+    return out
+
+
+def grown(cells: DataFrame, bins: list[str], trees: int, seed: int) -> DataFrame:
+    """(bins, guess__): the mean of the trees (a tree that drew no row has no say) in cells that have rows to fill. Variance within a cell lies on the same side of any
+    split, so weights and means of the cells grow the trees of their rows."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    means = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
-    names = [key, *columns, *(f"{c}__f" for c in columns)]
-    d = kept(df.select(key, *columns, *(F.coalesce(F.col(c), F.lit(means[c])).alias(f"{c}__f") for c in columns)), "forest")
-    for _ in range(rounds):
-        for c in columns:
-            others = [f"{o}__f" for o in columns if o != c]
-            v = VectorAssembler(inputCols=others, outputCol="features__").transform(d)
-            model = RandomForestRegressor(featuresCol="features__", labelCol=c, predictionCol="guess__", numTrees=trees, maxDepth=6, seed=seed).fit(v.filter(F.col(c).isNotNull()))
-            d = model.transform(v).withColumn(f"{c}__f", F.coalesce(F.col(c), F.col("guess__"))).drop("features__", "guess__")
-        # each round is stored, so that plans don't grow with the rounds
-        d = kept(d.select(*names), "forest")
-    return d.select(key, *(F.col(f"{c}__f").alias(c) for c in columns))
+    cells = VectorAssembler(inputCols=bins, outputCol="features__").transform(cells)
+
+    def tree(t: int):
+        of = RandomForestRegressor(featuresCol="features__", labelCol="y", weightCol="w", predictionCol=f"guess{t}", numTrees=1, bootstrap=False,
+                                   featureSubsetStrategy="onethird" if trees > 1 else "all", maxDepth=6, seed=seed + t)
+        return of.fit(cells.filter(F.col("tree") == t))
+
+    drawn = sorted(r.tree for r in cells.filter("tree >= 0").select("tree").distinct().collect())
+    with ThreadPool(8) as pool:
+        models = pool.map(inheritable_thread_target(cells.sparkSession)(tree), drawn)
+    out = cells.filter("tree < 0")
+    for m in models:
+        out = m.transform(out)
+    guess = sum((F.col(f"guess{t}") for t in drawn), F.lit(0.0)) / len(drawn) if drawn else F.lit(None).cast("double")
+    return out.select(*bins, guess.alias("guess__"))
