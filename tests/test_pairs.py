@@ -1,5 +1,7 @@
 """Pairs of points by places: against all pairs on few rows, and on many points of few places, where making the pairs would take minutes."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -60,6 +62,20 @@ def test_pairs_are_dealt_to_all_tasks(spark, stations):
         assert sum(r > 0 for r in out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) == n
 
 
+def test_pairs_are_not_held_by_blocks(spark, stations):
+    """Generated code holds all rows that one of its input rows makes: the two sides of a block are opened by different stages of it, in the same tasks."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (spatial.distances(stations[1], "k", "y", "x"), spatial.within(stations[1], "k", 3.0)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            last = re.findall(r"\*\((\d+)\) Generate explode\((?:k|l)__", plan)
+            assert len(last) == 2 and len(set(last)) == 2
+            assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 @pytest.mark.parametrize("name", ["matheron", "cressie", "genton"])
 def test_semivariogram_equals_all_pairs(small, stations, name):
     pdf, df = stations
